@@ -1,0 +1,52 @@
+"""Every registered query against its SQL form."""
+
+import pytest
+
+import __spark_entry__ as entry
+from tests.oracle import DATA, connect, duck_rows, spark_rows
+
+QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+FOLDER = f"{DATA}/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = connect(FOLDER)
+    yield con
+    con.close()
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_matches_sql(spark, duck, name):
+    columns, rows = spark_rows(QUERIES[name](spark, FOLDER))
+    expected_columns, expected = duck_rows(duck, ORACLES[name])
+    assert columns == expected_columns
+    assert len(rows) == len(expected)
+    assert rows == expected
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+def test_without_sql_runs(spark, name):
+    assert QUERIES[name](spark, FOLDER).count() > 0
+
+
+def test_flagship_known_answer(spark):
+    rows = QUERIES["user_features"](spark, FOLDER)
+    assert rows.columns == ["group_id", "feat", "value", "group_norm"]
+    assert rows.count() == 9600
+    assert rows.where("value is null").count() == 384
+
+
+def test_t_statistics_known_answer(spark):
+    found = {r.feat: r.t_statistic for r in QUERIES["paired_ttest"](spark, FOLDER).collect()}
+    assert found == {
+        "click": -1.474533,
+        "error": -0.765707,
+        "purchase": -1.680121,
+        "signup": 0.349725,
+        "view": -0.264795,
+    }
+
+
+def test_entry(spark):
+    assert entry.entry(spark).count() > 0
