@@ -29,28 +29,23 @@ def encode_rows(
     """``ids, embedding, error`` for every row.
 
     ``make_model`` runs once per task and returns a function from a frame of
-    ``inputs`` to one vector per row. When a batch fails its rows are tried one
-    by one, and a row that fails alone has a null embedding and the message of
-    its error. Lazy and row-local, so it also accepts a stream.
+    ``inputs`` to one vector per row. A batch that fails is halved and tried
+    again; a row that fails alone has a null embedding and the message of its
+    error. Lazy and row-local, so it also accepts a stream.
     """
 
-    def run(model: Model, batch: pd.DataFrame) -> list[list[float]]:
-        vectors_ = np.asarray(model(batch[inputs]), dtype="float32")
-        if vectors_.ndim != 2 or len(vectors_) != len(batch):
-            raise ValueError(f"{len(batch)} rows in, shape {vectors_.shape} out")
-        return list(vectors_)
-
-    def guarded(model: Model, batch: pd.DataFrame) -> pd.DataFrame:
-        out = batch[ids].copy()
+    def run(model: Model, batch: pd.DataFrame) -> list[tuple]:
+        """(vector, error) per row; a failing batch is halved until a row fails alone."""
         try:
-            out["embedding"], out["error"] = run(model, batch), None
-        except Exception as whole:  # noqa: BLE001 - any model failure is data here
+            vecs = np.asarray(model(batch), dtype="float32")
+            if vecs.ndim != 2 or len(vecs) != len(batch):
+                raise ValueError(f"{len(batch)} rows in, shape {vecs.shape} out")
+            return [(v, None) for v in vecs]
+        except Exception as failure:  # noqa: BLE001 - any model failure is data here
             if len(batch) == 1:
-                out["embedding"], out["error"] = None, f"{type(whole).__name__}: {whole}"
-            else:
-                singles = [guarded(model, batch.iloc[[i]]) for i in range(len(batch))]
-                out = pd.concat(singles)
-        return out
+                return [(None, f"{type(failure).__name__}: {failure}")]
+            half = len(batch) // 2
+            return run(model, batch.iloc[:half]) + run(model, batch.iloc[half:])
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first = next(frames, None)
@@ -59,7 +54,9 @@ def encode_rows(
         model = make_model()
         for frame in chain([first], frames):
             for start in range(0, len(frame), batch_size):
-                yield guarded(model, frame.iloc[start : start + batch_size])
+                batch = frame.iloc[start : start + batch_size]
+                vecs, errors = zip(*run(model, batch[inputs]))
+                yield batch[ids].assign(embedding=list(vecs), error=list(errors))
 
     rows = df.select(*dict.fromkeys([*ids, *inputs]))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*ids).schema]

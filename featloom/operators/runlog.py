@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import inf
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -88,31 +91,34 @@ def plateau_lr(
     A loss counts as better when below ``best * (1 - threshold)``. More than
     ``patience`` epochs without a better one multiply the rate by ``factor``.
     Each state depends on the one before, so a run's epochs are walked in
-    order, one run per task slot. Steps are summed to epochs beforehand, so a
-    run costs three numbers per epoch however many steps it has.
+    order: rows are partitioned by run and sorted, and a task streams through
+    them with the state of one run in hand.
     """
+    run_type = epochs.schema[run].dataType.simpleString()
     points = (
         epochs.where((F.col(phase) == val) & F.col("sum_loss").isNotNull())
         .select(F.col(run).alias("run"), F.col(epoch).cast("long").alias("epoch"), "sum_loss")
+        .repartition("run")
+        .sortWithinPartitions("run", "epoch")
     )
 
-    def replay(points: pd.DataFrame) -> pd.DataFrame:
-        points = points.sort_values("epoch")
-        best, bad, rate, rows = float("inf"), 0, lr, []
-        for loss in points["sum_loss"]:
-            if loss < best * (1 - threshold):
-                best, bad = loss, 0
-            else:
-                bad += 1
-            if bad > patience:
-                rate, bad = rate * factor, 0
-            rows.append((rate, bad))
-        rates, bads = zip(*rows)
-        return points[["run", "epoch"]].assign(lr=rates, bad_epochs=bads)
-
-    run_type = points.schema["run"].dataType.simpleString()
-    return (
-        points.groupBy("run")
-        .applyInPandas(replay, f"run {run_type}, epoch long, lr double, bad_epochs int")
-        .withColumnsRenamed({"run": run, "epoch": epoch})
-    )
+    def replay(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, best, bad, rate = None, inf, 0, lr
+        for frame in frames:
+            rates, bads = [], []
+            for name, loss in zip(frame["run"], frame["sum_loss"]):
+                if name != current:
+                    current, best, bad, rate = name, inf, 0, lr
+                if loss < best * (1 - threshold):
+                    best, bad = loss, 0
+                else:
+                    bad += 1
+                if bad > patience:
+                    rate, bad = rate * factor, 0
+                rates.append(rate)
+                bads.append(bad)
+            yield frame[["run", "epoch"]].assign(lr=rates, bad_epochs=bads)
+
+    return points.mapInPandas(
+        replay, f"run {run_type}, epoch long, lr double, bad_epochs int"
+    ).withColumnsRenamed({"run": run, "epoch": epoch})

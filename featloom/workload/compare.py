@@ -17,9 +17,11 @@ ALIGNED = """
 # range after u = tan(theta) * sqrt(nu), which makes the integrand cos^(nu - 1).
 TTEST = f"""
     WITH d AS (SELECT feat, abs(truth - baseline) - abs(truth - pred) AS d FROM ({ALIGNED})),
-    s AS (SELECT feat, count(*) AS n, count(d) AS k,
-                 avg(d) / (stddev_samp(d) / sqrt(count(d))) AS t FROM d GROUP BY feat),
-    q AS (SELECT feat, n, t, n - 1 AS nu, atan(abs(t) / sqrt(n - 1)) AS lo FROM s WHERE n = k),
+    s AS (SELECT feat, count(*) AS users, count(d) AS n,
+                 CASE WHEN count(*) = count(d)
+                      THEN avg(d) / (stddev_samp(d) / sqrt(count(d))) END AS t
+          FROM d GROUP BY feat),
+    q AS (SELECT feat, n, t, n - 1 AS nu, atan(abs(t) / sqrt(n - 1)) AS lo FROM s),
     p AS (SELECT feat, sum((CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
                            * pow(cos(lo + (pi() / 2 - lo) * i / 2000), nu - 1))
                        * (pi() / 2 - lo) / 6000 AS tail

@@ -100,7 +100,8 @@ def _cells(rows):
 @query(
     "UDF-1 VEC-1",
     f"""SELECT message_id, i - 1 AS pos,
-               round(x[i] / sqrt(list_dot_product(x, x)), 4) + 0.0 AS value
+               round(cast(cast(x[i] / sqrt(list_dot_product(x, x)) AS float) AS double), 4) + 0.0
+               AS value
         FROM ({FEATURES}), range(1, 4) AS d(i)""",
 )
 def encoded_messages(v):
