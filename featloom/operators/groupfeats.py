@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from featloom import fixed
 from featloom.functions import text
 from featloom.operators import chunked
-from featloom.operators.reshape import nan_to_null, with_group_norm
+from featloom.operators.reshape import with_group_norm
 from featloom.operators.sizing import width_of
 
 
@@ -56,9 +56,7 @@ def group_mean(
     joined = attach_features(
         segments.select(group, key), feats.select(key, vector.alias(vec)), key, null_safe
     ).select(group, vec)
-    means = chunked.aggregate_chunks(
-        joined, [group], F.col(vec), lambda x: F.avg(nan_to_null(x)), width=dims
-    )
+    means = chunked.aggregate_chunks(joined, [group], F.col(vec), chunked.MEAN, width=dims)
     group_id = F.col(group) if id_type is None else F.col(group).cast(id_type)
     long = chunked.positions(means, [group]).select(
         group_id.alias("group_id"), name.alias("feat"), "value"

@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from featloom.operators.sizing import has_at_most
-
 KEY_BITS = 32
 BUCKET_BITS = 16
 COPY_BLOCK = 1 << 16
@@ -33,6 +31,13 @@ def _sortable(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
 
 
+def _is_even(keyed: DataFrame) -> bool:
+    """Whether no bucket is far above the mean: one thin scan, combined map-side."""
+    sizes = keyed.groupBy("_bucket").count()
+    row = sizes.agg(F.max("count").alias("top"), F.sum("count").alias("total")).first()
+    return (row["top"] or 0) <= COPY_BLOCK + 4 * (row["total"] or 0) / (1 << BUCKET_BITS)
+
+
 def _offsets(keyed: DataFrame, weight: Column) -> DataFrame:
     """Rows before each bucket: at most ``2**BUCKET_BITS`` rows by construction."""
     before = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -53,17 +58,15 @@ def dense_index(
     how they are partitioned. A supplied key must be spread evenly over
     ``[0, 2**KEY_BITS)``.
 
-    Rows that are copies of each other cannot be told apart, and enough of them
-    would overload their bucket. A count of row hashes finds such groups first;
-    with any present, copies are collapsed map-side, numbered by range and
-    spread out again in blocks.
+    Copies of one row cannot be told apart by any key, and enough of them
+    would overload their bucket. The bucket counts show that beforehand; then
+    copies are collapsed map-side, numbered by range and spread out again in
+    blocks.
     """
     columns = df.columns
     key = hash_key(columns, seed) if shuffle_key is None else shuffle_key.cast("long")
-    prints = [F.xxhash64(F.lit(s), *columns).alias(f"_h{s}") for s in (1, 2)]
-    crowds = df.select(*prints).groupBy("_h1", "_h2").count().where(F.col("count") > COPY_BLOCK)
     keyed = df.withColumn("_key", key).withColumn("_bucket", _bucket("_key"))
-    if has_at_most(crowds, 0):
+    if _is_even(keyed):
         return _rank(keyed, ["_key", *_sortable(df)], F.lit(1)).select(
             *columns, (F.col("_base") + F.col("_start")).alias(out)
         )
@@ -111,37 +114,42 @@ def exact_split(
     columns = df.columns
     hashed = hash_key(key or columns, seed) if shuffle_key is None else shuffle_key.cast("long")
     keyed = df.withColumn("_key", hashed)
-    low = F.col("_key").bitwiseAND((1 << (KEY_BITS - BUCKET_BITS)) - 1)
-
-    counts = keyed.groupBy(_bucket("_key").alias("_part")).count()
-    total = counts.agg(F.sum("count")).scalar()
-    wanted = F.floor(F.lit(float(fraction)) * total)
-    coarse = _cut(counts, wanted)
-    bucket, before = coarse.select("_part").scalar(), coarse.select("_before").scalar()
-
-    inside = keyed.where(_bucket("_key") == bucket).groupBy(low.alias("_part")).count()
-    fine = _cut(inside, wanted - before)
-    cut = F.shiftleft(bucket, KEY_BITS - BUCKET_BITS) + fine.select("_part").scalar()
-    room = wanted - before - fine.select("_before").scalar()
-
-    tag = F.when(F.col("_key") < cut, "train").otherwise("validation")
-    clear = keyed.where(F.col("_key") != cut).select(*columns, tag.alias(out))
-    ties = dense_index(keyed.where(F.col("_key") == cut).select(*columns), seed=seed, out="_rank")
-    tied = ties.select(
-        *columns, F.when(F.col("_rank") < room, "train").otherwise("validation").alias(out)
+    low_bits = KEY_BITS - BUCKET_BITS
+
+    def tagged(rows: DataFrame, is_train: Column) -> DataFrame:
+        return rows.select(*columns, F.when(is_train, "train").otherwise("validation").alias(out))
+
+    coarse = _cut(keyed.groupBy(_bucket("_key").alias("part")).count(), fraction=fraction)
+    if coarse is None:
+        return tagged(keyed, F.lit(True))
+    inside = keyed.where(_bucket("_key") == coarse["part"])
+    low = F.col("_key").bitwiseAND((1 << low_bits) - 1)
+    fine = _cut(
+        inside.groupBy(low.alias("part")).count(), wanted=coarse["wanted"] - coarse["before"]
     )
-    return clear.unionByName(tied)
+    cut = (coarse["part"] << low_bits) + fine["part"]
+    room = fine["wanted"] - fine["before"]
+    if room == fine["count"]:
+        return tagged(keyed, F.col("_key") <= cut)
+    ties = dense_index(keyed.where(F.col("_key") == cut).select(*columns), seed=seed, out="_rank")
+    clear = keyed.where(F.col("_key") != cut)
+    return tagged(clear, F.col("_key") < cut).unionByName(tagged(ties, F.col("_rank") < room))
 
 
-def _cut(counts: DataFrame, wanted: Column) -> DataFrame:
-    """First part whose running count reaches ``wanted``, and the rows before it."""
-    running = F.sum("count").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, 0))
+def _cut(counts: DataFrame, fraction: float | None = None, wanted: int | None = None):
+    """First part whose running count reaches the wanted rows: one row of numbers.
+
+    ``counts`` has at most ``2**BUCKET_BITS`` rows, whatever the table's size.
+    """
+    running = F.sum("count").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, 0))
+    total = F.sum("count").over(W.partitionBy())
+    goal = F.floor(F.lit(fraction) * total) if wanted is None else F.lit(wanted)
     return (
-        counts.withColumn("_run", running)
-        .where(F.col("_run") >= wanted)
-        .orderBy("_part")
-        .limit(1)
-        .select(F.col("_part").cast("long"), (F.col("_run") - F.col("count")).alias("_before"))
+        counts.select("part", "count", running.alias("run"), goal.cast("long").alias("wanted"))
+        .where("run >= wanted")
+        .orderBy("part")
+        .select("part", "count", "wanted", (F.col("run") - F.col("count")).alias("before"))
+        .first()
     )
 
 

@@ -25,7 +25,7 @@ def mean_pool(
         rows,
         [seq],
         F.col("_v"),
-        lambda x: F.sum(x.cast("double") * F.col("_m")),
+        "sum(cast({x} AS double) * _m)",
         carry={"_total": F.sum("_m")},
     )
     floor = F.greatest(F.col("_total"), F.lit(MASK_FLOOR))

@@ -25,12 +25,12 @@ def outcome_stats(
 
 def embedding_distribution(feats: DataFrame, vec: str = "embedding", ddof: int = 0) -> DataFrame:
     """One row: the mean over dimensions of the per-dimension mean and std."""
-    std = F.stddev_pop if ddof == 0 else F.stddev_samp
+    std = "stddev_pop" if ddof == 0 else "stddev_samp"
     per_entry = chunked.aggregate_chunks(
         feats.select(vec),
         [],
         F.col(vec),
-        lambda x: F.struct(F.avg(x).alias("mean"), std(x).alias("std")),
+        f"struct(avg({{x}}) AS mean, {std}({{x}}) AS std)",
         size=16,
     )
     return chunked.positions(per_entry, [], size=16).agg(
@@ -41,18 +41,20 @@ def embedding_distribution(feats: DataFrame, vec: str = "embedding", ddof: int =
 def zscore_rescale(
     segments: DataFrame,
     by: str = "dataset_name",
-    mean: Column | float = 0.0,
-    std: Column | float = 1.0,
+    target: DataFrame | tuple[float, float] = (0.0, 1.0),
     cols: list[str] = fixed.OUTCOMES,
 ) -> DataFrame:
     """z-score per corpus, then rescale to a target mean and std.
 
-    A corpus whose std is zero, or of a single row, gives null. For a target
-    taken from an embedding table pass its one-row statistics as scalars:
-    ``dist.select("mean").scalar()``.
+    ``target`` is two numbers or the one-row frame of
+    :func:`embedding_distribution`. A corpus whose std is zero, or of a single
+    row, gives null.
     """
-    mean = mean if isinstance(mean, Column) else F.lit(float(mean))
-    std = std if isinstance(std, Column) else F.lit(float(std))
+    if isinstance(target, DataFrame):
+        both = target.select(F.struct("mean", "std")).scalar()
+        mean, std = both["mean"], both["std"]
+    else:
+        mean, std = F.lit(float(target[0])), F.lit(float(target[1]))
     stats = broadcast_if_small(
         outcome_stats(segments, by, cols), probe=segments.select(by).distinct()
     )
@@ -76,7 +78,7 @@ def pad_to_batch(df: DataFrame, batch: str, arr: str, fill: float = 0.0) -> Data
     The width comes from a grouped maximum, not a window: a window would hold
     every sequence of a batch in one task.
     """
-    widths = broadcast_if_small(batch_widths(df, batch, arr))
+    widths = broadcast_if_small(batch_widths(df, batch, arr), probe=df.select(batch).distinct())
     return (
         df.join(widths, batch)
         .withColumn(arr, vectors.pad(F.col(arr), F.col("width"), fill))
@@ -105,7 +107,9 @@ def truncate_mask(
     real = F.array_repeat(F.lit(1), F.size(tokens))
     if batch is None:
         return cut.withColumn("attention_mask", real)
-    widths = broadcast_if_small(batch_widths(cut, batch, tokens))
+    widths = broadcast_if_small(
+        batch_widths(cut, batch, tokens), probe=df.select(batch).distinct()
+    )
     missing = F.col("width") - F.size(tokens)
     return (
         cut.join(widths, batch)

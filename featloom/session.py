@@ -13,6 +13,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Without the call site of every expression: plans with hundreds of cells build faster.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

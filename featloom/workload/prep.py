@@ -41,9 +41,7 @@ def outcome_stats(v):
     + " FROM {segments}, dist WINDOW w AS (PARTITION BY dataset_name)",
 )
 def rescaled_outcomes(v):
-    dist = prep.embedding_distribution(v.feats)
-    mean, std = dist.select("mean").scalar(), dist.select("std").scalar()
-    scaled = prep.zscore_rescale(v.segments, mean=mean, std=std)
+    scaled = prep.zscore_rescale(v.segments, target=prep.embedding_distribution(v.feats))
     return scaled.select("message_id", *[r6(c).alias(c) for c in OUTCOMES])
 
 

@@ -88,10 +88,13 @@ class Views:
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:
             sql = VIEWS[name]
-            return self.spark.sql(sql, **{n: getattr(self, n) for n in _names(sql)})
-        if name in BASE:
-            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        raise AttributeError(name)
+            df = self.spark.sql(sql, **{n: getattr(self, n) for n in _names(sql)})
+        elif name in BASE:
+            df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        else:
+            raise AttributeError(name)
+        setattr(self, name, df)
+        return df
 
 
 def with_views(sql: str) -> str:
