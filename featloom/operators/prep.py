@@ -51,17 +51,18 @@ def zscore_rescale(
     row, gives null.
     """
     if isinstance(target, DataFrame):
-        both = target.select(F.struct("mean", "std")).scalar()
-        mean, std = both["mean"], both["std"]
+        goal = target.select(F.struct("mean", "std")).scalar()
     else:
-        mean, std = F.lit(float(target[0])), F.lit(float(target[1]))
+        goal = F.struct(*[F.lit(float(x)).alias(n) for x, n in zip(target, ("mean", "std"))])
+    # The target rides on the statistics, so its subquery is planned once.
     stats = broadcast_if_small(
-        outcome_stats(segments, by, cols), probe=segments.select(by).distinct()
+        outcome_stats(segments, by, cols).withColumn("_goal", goal),
+        probe=segments.select(by).distinct(),
     )
     scaled = {
-        c: F.try_divide(
-            F.col(c).cast("double") - F.col(f"{c}_mean"), F.col(f"{c}_std")
-        ) * std + mean
+        c: F.expr(
+            f"try_divide(cast(`{c}` AS double) - `{c}_mean`, `{c}_std`) * _goal.std + _goal.mean"
+        )
         for c in cols
     }
     return segments.join(stats, by, "left").withColumns(scaled).select(*segments.columns)
