@@ -1,0 +1,255 @@
+"""CSV, typed tables, sinks, manifests. No database is started: the JDBC paths
+are checked for the options they hand to Spark."""
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from featloom.operators import reshape
+from featloom.plans import feature_tables
+from featloom.sinks import tables
+from featloom.sources import jdbc, media
+from featloom.sources.csv import read_csv
+
+
+def write(path, text):
+    path.write_text(text, encoding="utf-8")
+    return str(path)
+
+
+def test_missing_tokens_become_null(spark, tmp_path):
+    tokens = ["", "NA", "null", "None", "nan", "n/a", "NA-1", "<NA>", "#N/A", "naïve"]
+    body = "".join(f'{i},"{t}",z\n' for i, t in enumerate(tokens))
+    df = read_csv(spark, write(tmp_path / "t.csv", "i,s,k\n" + body))
+    got = {r.i: r.s for r in df.collect()}
+    assert {t: got[i] for i, t in enumerate(tokens) if got[i] is not None} == {
+        "NA-1": "NA-1", "naïve": "naïve"
+    }
+
+
+def test_quoted_newline_and_schema(spark, tmp_path):
+    path = write(tmp_path / "q.csv", 'n,id,message\n3,03,"plain, ""quoted"""\n4,04,"multi\nline"\n')
+    schema = T.StructType(
+        [T.StructField("n", T.IntegerType()), T.StructField("id", T.StringType()),
+         T.StructField("message", T.StringType())]
+    )
+    rows = sorted(map(tuple, read_csv(spark, path, schema).collect()))
+    assert rows == [(3, "03", 'plain, "quoted"'), (4, "04", "multi\nline")]
+
+
+def test_inferred_types(spark, tmp_path):
+    path = write(
+        tmp_path / "i.csv",
+        "a,b,c,d,e,f,g\n1,1,1.5,True,x,NA,True\n2,NA,2,False,7,,NA\n-3,3,1e3,True,2.5,nan,False\n",
+    )
+    df = read_csv(spark, path)
+    assert dict(df.dtypes) == {
+        "a": "bigint", "b": "double", "c": "double", "d": "boolean", "e": "string",
+        "f": "double", "g": "string",
+    }
+    assert [r.b for r in df.orderBy("a").collect()] == [3.0, 1.0, None]
+
+
+def test_type_map(spark):
+    schema = T.StructType(
+        [T.StructField(n, t) for n, t in (
+            ("user_id", T.LongType()), ("message_id", T.LongType()), ("filename", T.StringType()),
+            ("n", T.LongType()), ("x", T.DoubleType()), ("ok", T.BooleanType()),
+            ("ts", T.TimestampType()), ("message", T.StringType()))]
+    )
+    got = {f.name: f.dataType for f in tables.typed_schema(schema)}
+    assert got == {
+        "user_id": T.IntegerType(), "message_id": T.VarcharType(24),
+        "filename": T.VarcharType(100), "n": T.IntegerType(), "x": T.FloatType(),
+        "ok": T.BooleanType(), "ts": T.TimestampType(), "message": T.StringType(),
+    }
+    assert tables.table_type("user_id", T.StringType()) == T.VarcharType(24)
+    assert tables.table_type("n", T.LongType(), wide_ints=True) == T.LongType()
+    over = tables.typed_schema(schema, {"x": T.DoubleType()})
+    assert over["x"].dataType == T.DoubleType()
+
+
+def test_typed_fails_on_overflow(spark):
+    wide = spark.createDataFrame([(2**40,)], "n long")
+    with pytest.raises(Exception, match="OVERFLOW"):
+        tables.typed(wide).collect()
+    assert tables.typed(wide, wide_ints=True).first().n == 2**40
+    long = spark.createDataFrame([("x" * 25,)], "message_id string")
+    with pytest.raises(Exception, match="longer than 24"):
+        tables.typed(long).collect()
+
+
+def test_csv_to_catalog_table(spark, tmp_path):
+    path = write(
+        tmp_path / "s.csv", "user_id,message_id,filename,message,ope\n7,m1,a.wav,hi,1.5\n8,m2,,x,2\n"
+    )
+    feature_tables.csv_to_table(spark, path, "loaded_segments")
+    rows = spark.table("loaded_segments").collect()
+    assert [tuple(r) for r in rows] == [(7, "m1", "a.wav", "hi", 1.5)]
+    assert spark.table("loaded_segments").dtypes[0] == ("user_id", "int")
+    with pytest.raises(Exception, match="ALREADY_EXISTS"):
+        feature_tables.csv_to_table(spark, path, "loaded_segments")
+
+
+def test_csv_round_trip(spark, tmp_path):
+    df = spark.createDataFrame(
+        [(1, 'say "hi", you', 0.5), (2, "two\nlines", None)], "i long, s string, x double"
+    )
+    tables.write_csv(df, str(tmp_path / "out"))
+    assert sorted(read_csv(spark, str(tmp_path / "out")).collect()) == sorted(df.collect())
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        tables.write_csv(df, str(tmp_path / "out"))
+
+
+def test_long_table_is_clustered_and_guarded(spark, tmp_path):
+    df = spark.range(2000).select(
+        (F.col("id") % 50).alias("message_id"), F.concat(F.lit("f"), F.col("id") % 40).alias("feat"),
+        F.col("id").cast("double").alias("value"),
+    )
+    long = reshape.with_group_norm(df.withColumnRenamed("message_id", "group_id"))
+    path = str(tmp_path / "long")
+    tables.write_long(long, path)
+    back = spark.read.parquet(path)
+    assert back.columns == tables.LONG_COLUMNS and back.count() == 2000
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        tables.write_long(long, path)
+
+
+def test_fill_user_features_from_csv(spark, tmp_path):
+    segments = write(
+        tmp_path / "whole.csv", "user_id,message_id,filename,message\n7,1,a,b\n7,2,a,b\n8,3,c,d\n"
+    )
+    feats = write(tmp_path / "wtc_embeddings.csv", "message_id,f0000,f0001\n1,0.5,1\n2,1.5,\n")
+    out = str(tmp_path / "feat")
+    feature_tables.fill_user_features(spark, segments, feats, out)
+    got = spark.read.parquet(out)
+    assert dict(got.dtypes)["group_id"] == "int"
+    assert {(r.group_id, r.feat): r.value for r in got.collect()} == {
+        (7, "f0000"): 1.0, (7, "f0001"): 1.0, (8, "f0000"): None, (8, "f0001"): None
+    }
+    other = write(tmp_path / "other.csv", "message_id,f0000\n1,0.5\n")
+    with pytest.raises(ValueError, match="no corpus"):
+        feature_tables.fill_user_features(spark, segments, other, str(tmp_path / "x"))
+
+
+def test_csv_to_long(spark, tmp_path):
+    path = write(tmp_path / "any.csv", "g,f1,longer\na,1,2\nb,,3\n")
+    feature_tables.csv_to_long(spark, path, "g", str(tmp_path / "l"))
+    got = spark.read.parquet(str(tmp_path / "l"))
+    assert sorted(map(tuple, got.collect())) == [("a", "f1", 1.0, 1.0), ("a", "longer", 2.0, 2.0)]
+
+
+def test_wide_embedding_csv(spark, tmp_path):
+    df = spark.createDataFrame(
+        [("a", "m1", [0.5, 1.5]), ("b", "m2", [2.5, 3.5])],
+        "dataset_name string, message_id string, embedding array<float>",
+    )
+    tables.write_embeddings_csv(df, str(tmp_path / "e"))
+    back = read_csv(spark, str(tmp_path / "e" / "dataset_name=b"))
+    assert back.columns == ["message_id", "f0000", "f0001"]
+    assert [tuple(r) for r in back.collect()] == [("m2", 2.5, 3.5)]
+
+
+def test_manifest(spark, tmp_path):
+    for name in ("b.WAV", "a.wav", "a.mp3", "c.Wav", "d.txt", "e.M4A"):
+        (tmp_path / name).write_bytes(b"123")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "x.wav").write_bytes(b"1")
+    rows = media.manifest(spark, str(tmp_path)).collect()
+    assert [(r.path.rsplit("/", 1)[1], r.stem, r.suffix, r.length) for r in rows] == [
+        ("a.mp3", "a", ".mp3", 3), ("a.wav", "a", ".wav", 3),
+        ("b.WAV", "b", ".wav", 3), ("e.M4A", "e", ".m4a", 3),
+    ]
+    assert media.manifest(spark, str(tmp_path / "c.Wav")).count() == 1
+    with pytest.raises(ValueError, match="unsupported format"):
+        media.manifest(spark, str(tmp_path / "d.txt"))
+    with pytest.raises(ValueError, match="does not exist"):
+        media.manifest(spark, str(tmp_path / "nothing"))
+
+
+def test_manifest_does_not_read_content(spark, tmp_path):
+    (tmp_path / "a.wav").write_bytes(b"123")
+    plan = media.manifest(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan
+
+
+def test_corpus_of_the_file_read(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    write(folder / "hitop_x.csv", "a\n1\n")
+    write(folder / "wtc_x.csv", "a\n2\n")
+    write(folder / "else.csv", "a\n3\n")
+    df = spark.read.option("header", True).csv(str(folder))
+    got = {r.a: (r.dataset_name, r.id_type) for r in media.with_corpus(df).collect()}
+    assert got == {"1": ("hitop", "string"), "2": ("wtc", "int"), "3": (None, None)}
+
+
+class Recorder:
+    """Stands for a reader or writer and notes what it is told."""
+
+    def __init__(self, row=(3, 903)):
+        self.seen, self.row, self.queries = {}, row, []
+
+    def format(self, name):
+        self.seen = {"format": name}
+        return self
+
+    def option(self, key, value):
+        self.seen[key] = value
+        return self
+
+    def options(self, **more):
+        self.seen.update(more)
+        return self
+
+    def mode(self, mode):
+        self.seen["mode"] = mode
+        return self
+
+    def load(self):
+        self.queries.append(dict(self.seen))
+        return self
+
+    def save(self):
+        return self.load()
+
+    def first(self):
+        return self.row
+
+    def jdbc(self, url, table, predicates, properties):
+        self.queries.append({"url": url, "dbtable": table, "predicates": predicates, **properties})
+        return self
+
+
+class Session:
+    def __init__(self, reader):
+        self.read = reader
+
+
+def test_jdbc_read_is_split(spark):
+    r = Recorder()
+    jdbc.read_table(Session(r), "jdbc:x", "t", "id", partitions=30, user="me")
+    ends, scan = r.queries
+    assert ends["query"] == "SELECT MIN(id) AS lo, MAX(id) AS hi FROM t"
+    assert (scan["lowerBound"], scan["upperBound"], scan["numPartitions"]) == ("3", "903", 30)
+    assert scan["dbtable"] == "t" and scan["user"] == "me" and "query" not in scan
+
+
+def test_jdbc_read_of_an_empty_table_and_by_predicates(spark):
+    r = Recorder(row=(None, None))
+    jdbc.read_table(Session(r), "jdbc:x", "t", "id")
+    assert "partitionColumn" not in r.queries[-1]
+    jdbc.read_table(Session(r), "jdbc:x", "t", predicates=["a < 1", "a >= 1"])
+    assert r.queries[-1]["predicates"] == ["a < 1", "a >= 1"]
+
+
+def test_jdbc_write_options(spark, monkeypatch):
+    r = Recorder()
+    df = spark.createDataFrame([(1, "m", 0.5)], "user_id long, message_id string, x double")
+    monkeypatch.setattr(type(df), "write", property(lambda self: r))
+    tables.write_jdbc(df, "jdbc:x", "t", user="me")
+    assert r.queries[-1] == {
+        "format": "jdbc", "url": "jdbc:x", "dbtable": "t", "batchsize": 10_000,
+        "numPartitions": 32, "user": "me", "mode": "errorifexists",
+        "createTableColumnTypes": "message_id VARCHAR(24)",
+    }
