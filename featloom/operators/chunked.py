@@ -18,10 +18,9 @@ CHUNK = 32
 MEAN = "avg(CASE WHEN NOT isnan({x}) THEN {x} END)"
 
 
-def chunks(vec: Column, size: int = CHUNK, width: Column | int | None = None) -> Column:
-    """``vec`` as an array of slices; with ``width``, a null vector has them too."""
-    width = F.size(vec) if width is None else F.lit(width) if isinstance(width, int) else width
-    starts = F.when(width > 0, F.sequence(F.lit(1), width, F.lit(size)))
+def chunks(vec: Column, size: int = CHUNK) -> Column:
+    """``vec`` as an array of slices."""
+    starts = F.when(F.size(vec) > 0, F.sequence(F.lit(1), F.size(vec), F.lit(size)))
     return F.transform(starts, lambda i: F.slice(vec, i, size))
 
 
@@ -32,6 +31,7 @@ def aggregate_chunks(
     entry: str,
     carry: dict[str, Column] | None = None,
     size: int = CHUNK,
+    groups: DataFrame | None = None,
     width: int | None = None,
 ) -> DataFrame:
     """Group by ``keys`` and chunk; ``entry`` aggregates one vector position.
@@ -40,15 +40,24 @@ def aggregate_chunks(
     of cells cost one call to the JVM instead of several each. Returns ``keys, chunk, entries, width`` and the aggregates of ``carry``,
     whose input columns must be columns of ``df``. ``entries`` has null cells
     behind the end of the last chunk; :func:`positions` and :func:`gather`
-    drop them.
+    drop them. ``groups`` holds distinct keys that must be in the result even
+    without a vector, as null entries up to ``width``: they join the
+    aggregate's input rather than its output.
     """
     inputs = [c for c in df.columns if c not in keys]
     cut = df.select(
         *keys,
         *inputs,
-        (F.lit(width) if width else F.size(vec)).alias("_width"),
-        F.posexplode(chunks(vec, size, width)).alias("chunk", "_slice"),
+        F.size(vec).alias("_width"),
+        F.posexplode(chunks(vec, size)).alias("chunk", "_slice"),
     )
+    if groups is not None:
+        empty = groups.select(
+            *keys,
+            F.lit(width).alias("_width"),
+            F.explode(F.sequence(F.lit(0), F.lit((width - 1) // size))).alias("chunk"),
+        )
+        cut = cut.unionByName(empty, allowMissingColumns=True)
     cells = ", ".join(entry.replace("{x}", f"get(_slice, {i})") for i in range(size))
     extra = [c.alias(name) for name, c in (carry or {}).items()]
     return cut.groupBy(*keys, "chunk").agg(

@@ -26,24 +26,29 @@ TAU = 0.1
 class Tile:
     """One block of students against one block of students and teachers."""
 
-    def __init__(self, table: pa.Table, tau: float):
-        left = table["_left"].to_numpy(zero_copy_only=False)
-        right = table["_right"].to_numpy(zero_copy_only=False)
+    def __init__(self, left: pa.Table, right: pa.Table, tau: float):
         self.tau = tau
-        self.diagonal = bool((left & right).any())
-        self._x, self._y = _unit(table["x"]), _unit(table["y"])
+        self.diagonal = left is right
         self._left, self._right = left, right
-        if "label" in table.column_names:
-            labels = table["label"].to_numpy(zero_copy_only=False)
-            self.same_label = labels[left][:, None] == labels[right][None, :]
+
+    @cached_property
+    def _x(self) -> np.ndarray:
+        return _unit(self._left["x"])
 
     @cached_property
     def xy(self) -> np.ndarray:
-        return self._x[self._left] @ self._y[self._right].T
+        return self._x @ _unit(self._right["y"]).T
 
     @cached_property
     def xx(self) -> np.ndarray:
-        return self._x[self._left] @ self._x[self._right].T
+        return self._x @ (self._x if self.diagonal else _unit(self._right["x"])).T
+
+    @cached_property
+    def same_label(self) -> np.ndarray:
+        rows, columns = (
+            t["label"].to_numpy(zero_copy_only=False) for t in (self._left, self._right)
+        )
+        return rows[:, None] == columns[None, :]
 
     @cached_property
     def off(self) -> np.ndarray:
@@ -90,28 +95,22 @@ def per_student(
     rows = pairs.select(
         F.col(batch).alias("batch"),
         F.monotonically_increasing_id().alias("row"),
-        F.col("x").cast("array<double>").alias("x"),
-        F.col("y").cast("array<double>").alias("y"),
+        "x",
+        "y",
         *extra,
     )
     sizes = pairs.groupBy(F.col(batch).alias("batch")).count()
     large = sizes.where(F.col("count") > BLOCK_ROWS).select(
         "batch", F.ceil(F.col("count") / BLOCK_ROWS).alias("_blocks")
     )
-    one_tile = has_at_most(large, 0)
-    if one_tile:
-        placed = rows.withColumns(
-            {"_p": F.lit(0), "_q": F.lit(0), "_left": F.lit(True), "_right": F.lit(True)}
-        )
-    else:
-        placed = _place(rows, large)
-
-    partials = placed.groupBy("batch", "_p", "_q").applyInArrow(
-        _reducer(measure, names, tau),
-        _partial_schema(rows, names),
+    schema = _partial_schema(rows, names)
+    if has_at_most(large, 0):
+        return rows.groupBy("batch").applyInArrow(_reducer(measure, names, tau), schema)
+    partials = (
+        _place(rows, large)
+        .groupBy("batch", "_p", "_q")
+        .applyInArrow(_reducer(measure, names, tau), schema)
     )
-    if one_tile:
-        return partials
     return partials.groupBy("batch", "row").agg(*[F.sum(n).alias(n) for n in names])
 
 
@@ -154,15 +153,15 @@ def _partial_schema(rows: DataFrame, names: list[str]) -> str:
 
 def _reducer(measure: Measure, names: list[str], tau: float):
     def reduce_tile(table: pa.Table) -> pa.Table:
-        table = table.sort_by("row")
-        left = table.filter(table["_left"])
-        columns = {"batch": left["batch"], "row": left["row"]}
-        if left.num_rows:
-            with np.errstate(divide="ignore"):
-                columns |= {n: pa.array(v) for n, v in measure(Tile(table, tau)).items()}
-        else:
-            columns |= {n: pa.array([], pa.float64()) for n in names}
-        return pa.table(columns)
+        left = right = table
+        if "_left" in table.column_names and table["_p"][0] != table["_q"][0]:
+            left, right = table.filter(table["_left"]), table.filter(table["_right"])
+        sums = {n: np.zeros(0) for n in names}
+        if left.num_rows and right.num_rows:
+            sums = measure(Tile(left, right, tau))
+        elif left.num_rows:
+            sums = {n: np.zeros(left.num_rows) for n in names}
+        return pa.table({"batch": left["batch"], "row": left["row"], **sums})
 
     return reduce_tile
 

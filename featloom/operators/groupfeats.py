@@ -15,17 +15,21 @@ from featloom.operators.sizing import width_of
 
 
 def attach_features(
-    segments: DataFrame, feats: DataFrame, key: str = "message_id", null_safe: bool = False
+    segments: DataFrame,
+    feats: DataFrame,
+    key: str = "message_id",
+    null_safe: bool = False,
+    how: str = "left",
 ) -> DataFrame:
-    """Left join of segments to features.
+    """Join of segments to features, by default a left join.
 
     A duplicate feature row multiplies the segment, an unmatched segment keeps
     null features. Null keys match only with ``null_safe``.
     """
     if not null_safe:
-        return segments.join(feats, key, "left")
+        return segments.join(feats, key, how)
     right = feats.withColumnRenamed(key, "_key")
-    return segments.join(right, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+    return segments.join(right, F.col(key).eqNullSafe(F.col("_key")), how).drop("_key")
 
 
 def group_mean(
@@ -42,8 +46,9 @@ def group_mean(
     """Mean of every feature over a group's segments, as a long feature table.
 
     Missing entries are skipped; a group without any match keeps its rows with
-    a null value. The join and one partial-combined aggregate are the only
-    shuffles. ``feats_only`` prunes the vector before the join.
+    a null value. Only matched segments are joined and aggregated; the distinct
+    groups enter the aggregate beside them. ``feats_only`` prunes the vector
+    before the join.
     """
     dims = dims or width_of(feats, vec)
     vector = F.col(vec)
@@ -53,10 +58,17 @@ def group_mean(
         vector = F.array(*[F.get(vec, F.lit(i)) for i in index])
         name = F.element_at(F.array(*map(F.lit, feats_only)), F.col("pos").cast("int") + 1)
         dims = len(index)
-    joined = attach_features(
-        segments.select(group, key), feats.select(key, vector.alias(vec)), key, null_safe
+    matched = attach_features(
+        segments.select(group, key), feats.select(key, vector.alias(vec)), key, null_safe, "inner"
     ).select(group, vec)
-    means = chunked.aggregate_chunks(joined, [group], F.col(vec), chunked.MEAN, width=dims)
+    means = chunked.aggregate_chunks(
+        matched,
+        [group],
+        F.col(vec),
+        chunked.MEAN,
+        groups=segments.select(group).distinct(),
+        width=dims,
+    )
     group_id = F.col(group) if id_type is None else F.col(group).cast(id_type)
     long = chunked.positions(means, [group]).select(
         group_id.alias("group_id"), name.alias("feat"), "value"

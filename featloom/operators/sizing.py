@@ -16,7 +16,7 @@ def has_at_most(df: DataFrame, rows: int) -> bool:
 
 
 def broadcast_if_small(
-    small: DataFrame, probe: DataFrame | None = None, rows: int = BROADCAST_ROWS
+    small: DataFrame, probe: DataFrame | None = None, rows: int | None = None
 ) -> DataFrame:
     """``small`` with a broadcast hint when it proves to be small, else without.
 
@@ -25,7 +25,8 @@ def broadcast_if_small(
     the statistics' key, which may have two values. ``probe`` is a cheaper
     frame of the same row count, such as the distinct group keys.
     """
-    return F.broadcast(small) if has_at_most(small if probe is None else probe, rows) else small
+    limit = BROADCAST_ROWS if rows is None else rows
+    return F.broadcast(small) if has_at_most(small if probe is None else probe, limit) else small
 
 
 def width_of(df: DataFrame, vec: str) -> int:

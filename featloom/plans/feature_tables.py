@@ -73,8 +73,3 @@ def csv_to_long(spark: SparkSession, csv: str, group: str, target: str) -> None:
     except ValueError:
         id_type = "string"
     tables.write_long(frame_to_long(read_csv(spark, csv), group, id_type), target)
-
-
-def csv_to_table(spark: SparkSession, csv: str, table: str, wide_ints: bool = False) -> None:
-    """CSV as a typed catalog table of complete rows."""
-    tables.save_typed(read_csv(spark, csv), table, wide_ints=wide_ints)

@@ -72,6 +72,42 @@ def save_typed(
     typed(complete, overrides, wide_ints).write.mode("errorifexists").saveAsTable(table)
 
 
+def save_bucketed(
+    df: DataFrame, table: str, key: str, buckets: int, mode: str = "errorifexists"
+) -> None:
+    """Catalog table bucketed and sorted by its join key.
+
+    Segments and features saved with the same key and bucket count are joined
+    without shuffling either, which at scale is the cost of per-user features.
+    Rows are first brought to their bucket, so there is one file per bucket.
+    """
+    (
+        df.repartition(buckets, key)
+        .write.mode(mode)
+        .bucketBy(buckets, key)
+        .sortBy(key)
+        .saveAsTable(table)
+    )
+
+
+def _jdbc(
+    df: DataFrame,
+    url: str,
+    table: str,
+    column_types: dict[str, str],
+    mode: str,
+    connections: int,
+    batch_size: int,
+    options: dict[str, str],
+) -> None:
+    writer = df.write.format("jdbc").option("url", url).option("dbtable", table)
+    writer = writer.option("batchsize", batch_size).option("numPartitions", connections)
+    if column_types:
+        named = ", ".join(f"{name} {kind}" for name, kind in column_types.items())
+        writer = writer.option("createTableColumnTypes", named)
+    writer.options(**options).mode(mode).save()
+
+
 def write_jdbc(
     df: DataFrame,
     url: str,
@@ -82,24 +118,39 @@ def write_jdbc(
     wide_ints: bool = False,
     **options: str,
 ) -> None:
-    """Load a frame into a SQL server with typed columns and batched inserts.
+    """Load complete rows into a SQL server with typed columns and batched inserts.
 
     Each task inserts its partition in one transaction. A task that is retried
     after its commit repeats rows, so load into a staging table and rename it
     when the job has succeeded.
     """
-    schema = typed_schema(df.schema, wide_ints=wide_ints)
-    sized = [
-        f"{f.name} VARCHAR({f.dataType.length})"
-        for f in schema
+    sizes = {
+        f.name: f"VARCHAR({f.dataType.length})"
+        for f in typed_schema(df.schema, wide_ints=wide_ints)
         if isinstance(f.dataType, T.VarcharType)
-    ]
-    writer = typed(df, wide_ints=wide_ints).write.format("jdbc").option("url", url)
-    writer = writer.option("dbtable", table).option("batchsize", batch_size)
-    writer = writer.option("numPartitions", connections).options(**options)
-    if sized:
-        writer = writer.option("createTableColumnTypes", ", ".join(sized))
-    writer.mode(mode).save()
+    }
+    rows = typed(reshape.drop_incomplete(df), wide_ints=wide_ints)
+    _jdbc(rows, url, table, sizes, mode, connections, batch_size, options)
+
+
+def write_long_jdbc(
+    long: DataFrame,
+    url: str,
+    table: str,
+    feat_length: int | None = None,
+    mode: str = "errorifexists",
+    connections: int = 32,
+    batch_size: int = 10_000,
+    **options: str,
+) -> None:
+    """Load a long feature table; the longest feature name sizes ``feat``."""
+    if feat_length is None:
+        feat_length = reshape.longest_feature(long).first()["max_length"] or 1
+    sizes = {"feat": f"VARCHAR({feat_length})"}
+    if isinstance(long.schema["group_id"].dataType, T.StringType):
+        sizes["group_id"] = f"VARCHAR({fixed.VARCHAR_SIZES['user_id']})"
+    rows = long.select(*LONG_COLUMNS)
+    _jdbc(rows, url, table, sizes, mode, connections, batch_size, options)
 
 
 def write_long(long: DataFrame, path: str, mode: str = "errorifexists") -> None:

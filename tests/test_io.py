@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from featloom.operators import reshape
-from featloom.plans import feature_tables
+from featloom.plans import feature_tables, table_io
 from featloom.sinks import tables
 from featloom.sources import jdbc, media
 from featloom.sources.csv import read_csv
@@ -83,12 +83,12 @@ def test_csv_to_catalog_table(spark, tmp_path):
     path = write(
         tmp_path / "s.csv", "user_id,message_id,filename,message,ope\n7,m1,a.wav,hi,1.5\n8,m2,,x,2\n"
     )
-    feature_tables.csv_to_table(spark, path, "loaded_segments")
+    table_io.csv_to_table(spark, path, "loaded_segments")
     rows = spark.table("loaded_segments").collect()
     assert [tuple(r) for r in rows] == [(7, "m1", "a.wav", "hi", 1.5)]
     assert spark.table("loaded_segments").dtypes[0] == ("user_id", "int")
     with pytest.raises(Exception, match="ALREADY_EXISTS"):
-        feature_tables.csv_to_table(spark, path, "loaded_segments")
+        table_io.csv_to_table(spark, path, "loaded_segments")
 
 
 def test_csv_round_trip(spark, tmp_path):
@@ -248,8 +248,17 @@ def test_jdbc_write_options(spark, monkeypatch):
     df = spark.createDataFrame([(1, "m", 0.5)], "user_id long, message_id string, x double")
     monkeypatch.setattr(type(df), "write", property(lambda self: r))
     tables.write_jdbc(df, "jdbc:x", "t", user="me")
-    assert r.queries[-1] == {
+    common = {
         "format": "jdbc", "url": "jdbc:x", "dbtable": "t", "batchsize": 10_000,
         "numPartitions": 32, "user": "me", "mode": "errorifexists",
-        "createTableColumnTypes": "message_id VARCHAR(24)",
     }
+    assert r.queries[-1] == {**common, "createTableColumnTypes": "message_id VARCHAR(24)"}
+    long = spark.createDataFrame(
+        [("u", "f0001", 0.5, 0.5)], "group_id string, feat string, value double, group_norm double"
+    )
+    tables.write_long_jdbc(long, "jdbc:x", "t", user="me")
+    types = "feat VARCHAR(5), group_id VARCHAR(24)"
+    assert r.queries[-1] == {**common, "createTableColumnTypes": types}
+    ints = long.withColumn("group_id", F.lit(1))
+    tables.write_long_jdbc(ints, "jdbc:x", "t", feat_length=9, user="me")
+    assert r.queries[-1]["createTableColumnTypes"] == "feat VARCHAR(9)"
