@@ -48,8 +48,13 @@ def null_if_token(value: Column, tokens: list[str] = fixed.PANDAS_NA) -> Column:
 
 
 def feature_name(position: Column) -> Column:
-    """``f0000``, ``f0001``, ... for a 0-based position."""
-    return F.format_string(fixed.FEATURE_FORMAT, position)
+    """``f0000``, ``f0001``, ... for a 0-based position.
+
+    Padding instead of a format string, which is parsed again for every row.
+    """
+    digits = position.cast("string")
+    padded = F.when(F.length(digits) < 4, F.lpad(digits, 4, "0")).otherwise(digits)
+    return F.concat(F.lit("f"), padded)
 
 
 def corpus_of(path: Column, corpora=tuple(fixed.CORPUS_ID_TYPES)) -> Column:

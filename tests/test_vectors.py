@@ -127,6 +127,6 @@ def test_model_names(spark):
 
 
 def test_feature_names_and_ascii(spark):
-    df = column(spark, [(7, "naïve – ok"), (1033, "plain")], "i int, s string")
+    df = column(spark, [(7, "naïve – ok"), (12345, "plain")], "i int, s string")
     got = df.select(text.feature_name(F.col("i")), text.strip_non_ascii(F.col("s"))).collect()
-    assert [tuple(r) for r in got] == [("f0007", "nave  ok"), ("f1033", "plain")]
+    assert [tuple(r) for r in got] == [("f0007", "nave  ok"), ("f12345", "plain")]
