@@ -10,4 +10,12 @@ plans       end-to-end jobs composed from the above
 streaming   which operators also accept a streaming DataFrame
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions of this package travel with the tasks that run them, so it need not
+# be installed on the workers.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

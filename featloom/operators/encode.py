@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 from itertools import chain
+from types import ModuleType
+from uuid import uuid4
 
 import numpy as np
 import pandas as pd
@@ -18,6 +21,15 @@ from featloom.session import ensure_checkpoint_dir
 Model = Callable[[pd.DataFrame], np.ndarray]
 
 
+def _held(token: str, make_model: Callable[[], Model]) -> Model:
+    """The model of this job, built once per Python worker and kept between its tasks."""
+    held = sys.modules.setdefault("featloom_model", ModuleType("featloom_model"))
+    if getattr(held, "token", None) != token:
+        held.model = None  # let go of another job's model before loading the next
+        held.model, held.token = make_model(), token
+    return held.model
+
+
 def encode_rows(
     df: DataFrame,
     make_model: Callable[[], Model],
@@ -28,8 +40,8 @@ def encode_rows(
 ) -> DataFrame:
     """``ids, embedding, error`` for every row.
 
-    ``make_model`` runs once per task and returns a function from a frame of
-    ``inputs`` to one vector per row. A batch that fails is halved and tried
+    ``make_model`` runs once per Python worker and returns a function from a
+    frame of ``inputs`` to one vector per row. A batch that fails is halved and tried
     again; a row that fails alone has a null embedding and the message of its
     error. Lazy and row-local, so it also accepts a stream.
     """
@@ -51,13 +63,14 @@ def encode_rows(
         first = next(frames, None)
         if first is None:
             return
-        model = make_model()
+        model = _held(token, make_model)
         for frame in chain([first], frames):
             for start in range(0, len(frame), batch_size):
                 batch = frame.iloc[start : start + batch_size]
                 vecs, errors = zip(*run(model, batch[inputs]))
                 yield batch[ids].assign(embedding=list(vecs), error=list(errors))
 
+    token = uuid4().hex
     rows = df.select(*dict.fromkeys([*ids, *inputs]))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*ids).schema]
     schema = ", ".join([*fields, "embedding array<float>", "error string"])

@@ -59,6 +59,18 @@ def test_the_model_runs_once_for_both_outputs(spark):
     assert calls.value == 23
 
 
+def test_the_model_is_built_once_per_worker(spark):
+    built = spark.sparkContext.accumulator(0)
+
+    def make():
+        built.add(1)
+        return lambda batch: np.ones((len(batch), 2))
+
+    df = segments(spark, 200).repartition(40)
+    assert encode.encode_rows(df, make, ["message_id"], ["message"], 5).count() == 200
+    assert 1 <= built.value <= spark.sparkContext.defaultParallelism
+
+
 def test_empty_table(spark):
     rows = encode.encode_rows(segments(spark).limit(0), model_of(), ["message_id"], ["message"])
     assert rows.count() == 0 and rows.columns == ["message_id", "embedding", "error"]

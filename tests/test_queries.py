@@ -1,5 +1,9 @@
 """Every registered query against its SQL form."""
 
+import os
+import subprocess
+import sys
+
 import pytest
 
 import __spark_entry__ as entry
@@ -7,6 +11,7 @@ from tests.oracle import DATA, connect, duck_rows, spark_rows
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 FOLDER = f"{DATA}/sf0.01"
+ROOT = os.path.dirname(os.path.abspath(entry.__file__))
 
 
 @pytest.fixture(scope="module")
@@ -50,3 +55,20 @@ def test_t_statistics_known_answer(spark):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_python_tasks_run_without_the_package_on_the_workers(tmp_path):
+    """From another folder, with the package on the driver's path only."""
+    code = f"""
+import sys
+sys.path.insert(0, {ROOT!r})
+import __spark_entry__ as entry
+from pyspark.sql import SparkSession
+spark = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false")
+         .config("spark.sql.shuffle.partitions", "2").getOrCreate())
+for name in ("nce_loss", "encoded_messages", "dense_head", "resampled_up", "plateau_lr"):
+    assert entry.queries()[name](spark, {DATA!r} + "/sf0.001").count() > 0
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, timeout=300)
+    assert done.returncode == 0
