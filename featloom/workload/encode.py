@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from featloom import fixed
 from featloom.functions import text
 from featloom.operators import encode
-from featloom.workload.registry import query
+from featloom.workload.registry import cells, query
 
 # Model names a run table may hold, one of them unknown to the catalogue.
 NAMES = [m for m, _, _ in fixed.ENCODERS] + [t for _, _, t in fixed.ENCODERS] + [
@@ -92,11 +92,6 @@ FEATURES = """SELECT message_id, message,
               FROM {messages}"""
 
 
-def _cells(rows):
-    exploded = rows.select("message_id", F.posexplode("embedding").alias("pos", "value"))
-    return exploded.withColumn("value", F.round(F.col("value").cast("double"), 4) + 0.0)
-
-
 @query(
     "UDF-1 VEC-1",
     f"""SELECT message_id, i - 1 AS pos,
@@ -108,7 +103,7 @@ def encoded_messages(v):
     rows = encode.encode_rows(
         v.messages, _text_model, ["message_id"], ["message"], batch_size=32, normalize=True
     )
-    return _cells(rows)
+    return cells(rows, ["message_id"], "embedding", 4)
 
 
 @query(
@@ -118,7 +113,7 @@ def encoded_messages(v):
 )
 def encoded_good_rows(v):
     rows = encode.encode_rows(v.messages, _picky_model, ["message_id"], ["message"], 32)
-    return _cells(encode.split_encoded(rows)[0])
+    return cells(encode.split_encoded(rows)[0], ["message_id"], "embedding", 4)
 
 
 @query(

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from featloom import fixed
 from featloom.operators import index, prep
-from featloom.workload.registry import query, r6
+from featloom.workload.registry import cells, longs, query, r6
 
 OUTCOMES = fixed.OUTCOMES
 # An arithmetic shuffle key over [0, 2^32) that SQL can state too.
@@ -111,7 +111,7 @@ def padded_sequences(v):
         .withColumn("batch_id", F.floor(F.col("seq_id") / 4))
     )
     padded = prep.pad_to_batch(seqs, "batch_id", "x")
-    return padded.select("seq_id", "batch_id", F.posexplode("x").alias("pos", "value"))
+    return cells(padded, ["seq_id", "batch_id"], "x")
 
 
 @query(
@@ -129,12 +129,13 @@ def token_masks(v):
     masked = prep.truncate_mask(rows, "tokens", batch="user_id")
     ones = F.aggregate("attention_mask", F.lit(0), lambda a, m: a + m)
     real = F.slice("tokens", F.lit(1), ones)
-    return masked.select(
+    counted = masked.select(
         "message_id",
         F.size("attention_mask").alias("width"),
         ones.alias("ones"),
         F.md5(F.array_join(real, " ")).alias("fingerprint"),
     )
+    return longs(counted, "width", "ones")
 
 
 @query(
@@ -146,4 +147,4 @@ def token_masks(v):
 def document_token_masks(v):
     rows = v.documents.select("doc_id", prep.words(F.col("text")).alias("tokens"))
     masked = prep.truncate_mask(rows, "tokens")
-    return masked.select("doc_id", F.size("attention_mask").alias("ones"))
+    return longs(masked.select("doc_id", F.size("attention_mask").alias("ones")), "ones")

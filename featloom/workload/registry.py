@@ -42,8 +42,13 @@ def r6(c: Column | str) -> Column:
     return F.round(c, 6) + F.lit(0.0)
 
 
-def cells(df: DataFrame, ids: list[str], vec: str) -> DataFrame:
+def longs(df: DataFrame, *names: str) -> DataFrame:
+    """Whole numbers in the width SQL gives them."""
+    return df.withColumns({n: F.col(n).cast("long") for n in names})
+
+
+def cells(df: DataFrame, ids: list[str], vec: str, digits: int = 6) -> DataFrame:
     """Vector cells as rows ``ids, pos, value`` with rounded values."""
-    return df.select(*ids, F.posexplode(vec).alias("pos", "value")).select(
-        *ids, "pos", r6(F.col("value").cast("double")).alias("value")
-    )
+    rounded = F.round(F.col("value").cast("double"), digits) + F.lit(0.0)
+    exploded = df.select(*ids, F.posexplode(vec).alias("pos", "value"))
+    return longs(exploded.withColumn("value", rounded), "pos")

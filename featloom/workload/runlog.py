@@ -1,7 +1,7 @@
 """Training-run analytics."""
 
 from featloom.operators import runlog
-from featloom.workload.registry import query, r6
+from featloom.workload.registry import longs, query, r6
 
 EPOCHS = """
     SELECT run_id, epoch, phase, avg(loss) AS mean_loss, sum(loss) AS sum_loss,
@@ -15,9 +15,10 @@ EPOCHS = """
                round(sum_loss, 6) + 0.0 AS sum_loss, batches FROM ({EPOCHS})""",
 )
 def epoch_loss(v):
-    return runlog.epoch_loss(v.runlog).withColumns(
+    losses = runlog.epoch_loss(v.runlog).withColumns(
         {"mean_loss": r6("mean_loss"), "sum_loss": r6("sum_loss")}
     )
+    return longs(losses, "epoch")
 
 
 @query(
@@ -28,7 +29,7 @@ def epoch_loss(v):
 )
 def best_epoch(v):
     best = runlog.best_epoch(runlog.epoch_loss(v.runlog))
-    return best.withColumn("best_loss", r6("best_loss"))
+    return longs(best.withColumn("best_loss", r6("best_loss")), "best_epoch")
 
 
 @query(
@@ -42,9 +43,10 @@ def best_epoch(v):
               FROM ({EPOCHS}) WHERE phase = 'val')""",
 )
 def improvements(v):
-    return runlog.improvements(runlog.epoch_loss(v.runlog)).withColumns(
+    rows = runlog.improvements(runlog.epoch_loss(v.runlog)).withColumns(
         {"mean_loss": r6("mean_loss"), "best_so_far": r6("best_so_far")}
     )
+    return longs(rows, "epoch")
 
 
 @query(

@@ -7,7 +7,7 @@ from featloom.functions import text
 from featloom.operators import groupfeats, prep, reshape
 from featloom.plans import feature_tables
 from featloom.sources import media
-from featloom.workload.registry import query, r6
+from featloom.workload.registry import cells, longs, query, r6
 
 OUTCOMES = fixed.OUTCOMES
 ROUNDED = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in OUTCOMES)
@@ -112,10 +112,7 @@ def inference_rows(v):
 )
 def training_rows(v):
     paths = media.with_media_path(v.segments, {"a": "/m/a", "b": "/m/b"})
-    rows = prep.training_view(paths)
-    return rows.select("path", "message", F.posexplode("outcomes").alias("pos", "value")).withColumn(
-        "value", F.round(F.col("value").cast("double"), 4) + 0.0
-    )
+    return cells(prep.training_view(paths), ["path", "message"], "outcomes", 4)
 
 
 @query(
@@ -203,7 +200,7 @@ def corpus_rows(v):
 
 @query("AGG-14", "SELECT max(length(feat)) AS max_length FROM {truth_long}")
 def longest_feature(v):
-    return reshape.longest_feature(v.truth_long)
+    return longs(reshape.longest_feature(v.truth_long), "max_length")
 
 
 FEATS = ["click", "error", "purchase", "signup", "view"]
@@ -245,9 +242,7 @@ def vector_columns(v):
 )
 def outcome_vectors(v):
     rows = reshape.outcome_vector(v.segments, ["message_id"])
-    return rows.select("message_id", F.posexplode("outcomes").alias("pos", "value")).withColumn(
-        "value", F.round(F.col("value").cast("double"), 4) + 0.0
-    )
+    return cells(rows, ["message_id"], "outcomes", 4)
 
 
 @query("RSH-1", """
@@ -277,7 +272,7 @@ def corpus_union(v):
             ),
         }
     )
-    return union.select("dataset_name", "message_id", "n", "lang", "role")
+    return longs(union.select("dataset_name", "message_id", "n", "lang", "role"), "n")
 
 
 IDS = [("customer", "c_custkey"), ("orders", "o_custkey"), ("events", "user_id")]

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from featloom.functions import vectors as vec
 from featloom.operators import prep, reshape
-from featloom.workload.registry import cells, query, r6
+from featloom.workload.registry import cells, longs, query, r6
 
 
 
@@ -73,9 +73,7 @@ def teacher_with_outcomes(v):
     whole = _teachers(v).select(
         "message_id", vec.append(F.col("embedding"), F.col("outcomes")).alias("whole")
     )
-    return whole.select("message_id", F.posexplode("whole").alias("pos", "value")).withColumn(
-        "value", F.round("value", 4) + 0.0
-    )
+    return cells(whole, ["message_id"], "whole", 4)
 
 
 @query(
@@ -91,9 +89,7 @@ def teacher_head_replaced(v):
     whole = _teachers(v).select(
         "message_id", vec.replace_head(F.col("embedding"), F.col("outcomes")).alias("whole")
     )
-    return whole.select("message_id", F.posexplode("whole").alias("pos", "value")).withColumn(
-        "value", F.round("value", 4) + 0.0
-    )
+    return cells(whole, ["message_id"], "whole", 4)
 
 
 # A head whose weights follow a rule, so that SQL can state it too.
@@ -137,7 +133,7 @@ def width_contract(v):
     """The output width is the embedding width plus the new dimensions."""
     whole = vec.append(F.col("embedding"), F.array_repeat(F.lit(0.0), 10))
     checked = vec.assert_width(whole, 64 + 10)
-    return v.feats.select("message_id", F.size(checked).alias("width"))
+    return longs(v.feats.select("message_id", F.size(checked).alias("width")), "width")
 
 
 @query(
