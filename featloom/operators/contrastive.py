@@ -13,11 +13,13 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featloom.functions import vectors
 from featloom.operators.sizing import broadcast_if_small, has_at_most
+from featloom.session import ensure_checkpoint_dir
 
 BLOCK_ROWS = 1024
 TAU = 0.1
@@ -99,49 +101,49 @@ def per_student(
         "y",
         *extra,
     )
-    sizes = pairs.groupBy(F.col(batch).alias("batch")).count()
-    large = sizes.where(F.col("count") > BLOCK_ROWS).select(
-        "batch", F.ceil(F.col("count") / BLOCK_ROWS).alias("_blocks")
+    large = (
+        pairs.groupBy(F.col(batch).alias("_batch"))
+        .count()
+        .where(F.col("count") > BLOCK_ROWS)
+        .select("_batch", F.ceil(F.col("count") / BLOCK_ROWS).alias("_blocks"))
     )
-    schema = _partial_schema(rows, names)
+    reducer, schema = _reducer(measure, names, tau), _partial_schema(rows, names)
     if has_at_most(large, 0):
-        return rows.groupBy("batch").applyInArrow(_reducer(measure, names, tau), schema)
-    partials = (
-        _place(rows, large)
-        .groupBy("batch", "_p", "_q")
-        .applyInArrow(_reducer(measure, names, tau), schema)
-    )
-    return partials.groupBy("batch", "row").agg(*[F.sum(n).alias(n) for n in names])
-
-
-def _place(rows: DataFrame, large: DataFrame) -> DataFrame:
+        return rows.groupBy("batch").applyInArrow(reducer, schema)
+
+    large = broadcast_if_small(large)
+    same = F.col("batch").eqNullSafe(F.col("_batch"))
+    small_batches = rows.join(large, same, "left_anti")
+    whole = small_batches.groupBy("batch").applyInArrow(reducer, schema)
+    # A row's tiles must agree on its number, also when an executor is lost
+    # between them, so the rows of large batches are written once.
+    ensure_checkpoint_dir(pairs.sparkSession)
+    dealt = rows.join(large, same).drop("_batch").checkpoint()
+    tiled = _place(dealt).groupBy("batch", "_p", "_q").applyInArrow(reducer, schema)
+    sums = tiled.groupBy("batch", "row").agg(*[F.sum(n).alias(n) for n in names])
+    return whole.unionByName(sums)
+
+
+def _place(rows: DataFrame) -> DataFrame:
     """Copy each row to the tiles of its block: block p by every q, every p by q.
 
     Blocks are dealt by row number, so they are even whatever the content. The
     sums do not depend on which block a row is in.
     """
-    blocks = F.coalesce("_blocks", F.lit(1))
-    mine = F.pmod(F.xxhash64("row"), blocks)
-    others = F.sequence(F.lit(0).cast("long"), blocks - 1)
+    last = F.col("_blocks") - 1
+    mine = F.pmod(F.xxhash64("row"), F.col("_blocks"))
+    others = F.sequence(F.lit(0).cast("long"), last)
     as_left = F.transform(
-        others,
-        lambda q: F.struct(
-            F.col("_mine").alias("p"), q.alias("q"),
-            F.lit(True).alias("left"), (q == F.col("_mine")).alias("right"),
-        ),
+        others, lambda q: F.struct(F.col("_mine").alias("p"), q.alias("q"), F.lit(True).alias("left"))
     )
     as_right = F.transform(
         F.filter(others, lambda p: p != F.col("_mine")),
-        lambda p: F.struct(
-            p.alias("p"), F.col("_mine").alias("q"),
-            F.lit(False).alias("left"), F.lit(True).alias("right"),
-        ),
+        lambda p: F.struct(p.alias("p"), F.col("_mine").alias("q"), F.lit(False).alias("left")),
     )
     return (
-        rows.join(broadcast_if_small(large), "batch", "left")
-        .withColumn("_mine", mine)
+        rows.withColumn("_mine", mine)
         .withColumn("_tile", F.explode(F.concat(as_left, as_right)))
-        .withColumns({f"_{c}": F.col(f"_tile.{c}") for c in ("p", "q", "left", "right")})
+        .withColumns({f"_{c}": F.col(f"_tile.{c}") for c in ("p", "q", "left")})
         .drop("_tile", "_mine", "_blocks")
     )
 
@@ -155,7 +157,7 @@ def _reducer(measure: Measure, names: list[str], tau: float):
     def reduce_tile(table: pa.Table) -> pa.Table:
         left = right = table
         if "_left" in table.column_names and table["_p"][0] != table["_q"][0]:
-            left, right = table.filter(table["_left"]), table.filter(table["_right"])
+            left, right = table.filter(table["_left"]), table.filter(pc.invert(table["_left"]))
         sums = {n: np.zeros(0) for n in names}
         if left.num_rows and right.num_rows:
             sums = measure(Tile(left, right, tau))

@@ -85,7 +85,7 @@ def test_large_batches_without_broadcast(spark, no_auto_broadcast, monkeypatch):
     monkeypatch.setattr(contrastive, "BLOCK_ROWS", 10)
     monkeypatch.setattr(sizing, "BROADCAST_ROWS", 0)
     df = contrastive.nce(pairs)
-    assert "BroadcastHashJoin" not in plan(df)
+    assert "BroadcastHashJoin" not in plan(df) and "Scan ExistingRDD" in plan(df)
     assert spark_rows(df.select("batch_id", F.round("loss", 6).alias("l"))) == want
 
 
@@ -113,3 +113,36 @@ def test_results_do_not_depend_on_partitioning(spark):
     a = prep.zscore_rescale(v.segments.repartition(9)).select("message_id", F.round("ope", 9).alias("o"))
     b = prep.zscore_rescale(v.segments.coalesce(1)).select("message_id", F.round("ope", 9).alias("o"))
     assert spark_rows(a) == spark_rows(b)
+
+
+def test_a_hot_join_key_is_split(spark, no_auto_broadcast):
+    """A third of the segments share one message: adaptive execution splits its partition."""
+    segments = spark.range(300_000).select(
+        (F.col("id") % 1000).alias("user_id"),
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 5000).alias("message_id"),
+    ).repartition(16)
+    feats = spark.range(5000).select(
+        F.col("id").alias("message_id"), F.array(F.col("id") * 0.5, F.lit(1.0)).alias("embedding")
+    )
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB",
+    }
+    old = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, value in settings.items():
+            spark.conf.set(k, value)
+        means = groupfeats.group_mean(segments, feats)
+        rows = means.collect()
+        assert "skew=true" in plan(means)
+    finally:
+        for k, value in old.items():
+            spark.conf.set(k, value)
+    assert len(rows) == 2000
+    want = (
+        segments.join(feats, "message_id").groupBy("user_id")
+        .agg(F.avg(F.col("embedding")[0]).alias("m")).collect()
+    )
+    got = {r.group_id: r.value for r in rows if r.feat == "f0000"}
+    assert all(abs(got[r.user_id] - r.m) < 1e-9 for r in want)
