@@ -2,19 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from featloom.functions.stats import two_sided_p
-from featloom.operators.groupfeats import common_ids
-from featloom.operators.reshape import nan_to_null, to_long, unique_values
+from featloom.operators.reshape import nan_to_null, to_long
 
 KEYS = ["user_id", "feat"]
+SIDES = ["truth", "baseline", "pred"]
+
+
+def _side_by_side(truth: DataFrame, baseline: DataFrame, pred: DataFrame) -> DataFrame:
+    """``user_id, feat``, the three values, and ``_truth`` etc: whether there is a row.
+
+    A union and one aggregate, in place of a duplicate check per table and two
+    joins: every input is read and shuffled once. Null keys match nothing, and
+    a key with two rows in one table fails the query.
+    """
+    value = nan_to_null(F.col("value").cast("double")).alias("value")
+    tagged = [
+        df.select(*KEYS, value, F.lit(side).alias("_side"))
+        for side, df in zip(SIDES, (truth, baseline, pred))
+    ]
+    found = []
+    for side in SIDES:
+        mine = F.col("_side") == side
+        found += [
+            F.max(F.when(mine, F.col("value"))).alias(side),
+            F.count(F.when(mine, 1)).alias(f"_{side}"),
+        ]
+    rows = (
+        reduce(DataFrame.unionByName, tagged)
+        .where(F.col("user_id").isNotNull() & F.col("feat").isNotNull())
+        .groupBy(*KEYS)
+        .agg(*found)
+    )
+    counts = [F.col(f"_{side}") for side in SIDES]
+    key = F.concat_ws(", ", *[F.col(k).cast("string") for k in KEYS])
+    twice = F.raise_error(F.concat(F.lit("duplicate key: "), key))
 
+    def unless_twice(c: Column) -> Column:
+        return F.when(F.greatest(*counts) == 1, c).otherwise(twice)
 
-def _values(long: DataFrame, name: str) -> DataFrame:
-    rows = long.select(*KEYS, nan_to_null(F.col("value").cast("double")).alias("value"))
-    return unique_values(rows, KEYS).withColumnRenamed("value", name)
+    return rows.withColumns({s: unless_twice(F.col(s)) for s in SIDES})
 
 
 def truth_long(truth: DataFrame, feats: list[str] | None = None) -> DataFrame:
@@ -26,14 +59,9 @@ def align(truth: DataFrame, baseline: DataFrame, pred: DataFrame) -> DataFrame:
     """Truth, baseline and prediction of every (user, outcome) that all three have.
 
     Three long tables ``user_id, feat, value``. Duplicate keys fail the query.
-    The duplicate check and both joins share one partitioning.
     """
-    return (
-        _values(pred, "pred")
-        .join(_values(truth, "truth"), KEYS)
-        .join(_values(baseline, "baseline"), KEYS)
-        .select(*KEYS, "truth", "baseline", "pred")
-    )
+    everywhere = F.least(*[F.col(f"_{s}") for s in SIDES]) == 1
+    return _side_by_side(truth, baseline, pred).where(everywhere).select(*KEYS, *SIDES)
 
 
 def residuals(aligned: DataFrame) -> DataFrame:
@@ -59,24 +87,49 @@ def paired_ttest(
     """
     if nan_policy not in ("propagate", "omit"):
         raise ValueError(f"nan_policy: {nan_policy}")
-    errors = residuals(
-        _values(pred, "pred")
-        .join(_values(truth, "truth"), KEYS, "left")
-        .join(_values(baseline, "baseline"), KEYS, "left")
+    rows = residuals(_side_by_side(truth, baseline, pred)).withColumn(
+        "difference", F.col("baseline_residual") - F.col("pred_residual")
     )
-    difference = F.col("baseline_residual") - F.col("pred_residual")
-    tests = errors.groupBy("feat").agg(
-        F.count(difference).alias("n"),
-        F.avg(difference).alias("_mean"),
-        F.stddev_samp(difference).alias("_sd"),
+    outcomes = rows.where("_pred = 1")
+    if nan_policy == "propagate":
+        outcomes = _with_user_marks(rows)
+    tests = outcomes.groupBy("feat").agg(
+        F.count("difference").alias("n"),
+        F.avg("difference").alias("_mean"),
+        F.stddev_samp("difference").alias("_sd"),
+        *([F.sum("common").alias("_users")] if nan_policy == "propagate" else []),
     )
     t = F.try_divide(F.col("_mean"), F.col("_sd") / F.sqrt(F.col("n").cast("double")))
     if nan_policy == "propagate":
-        users = common_ids([truth, baseline, pred]).agg(F.count("*").alias("n")).scalar()
-        t = F.when(F.col("n") == users, t)
+        # One row per outcome, and one without a name that counts the users.
+        users = F.max("_users").over(W.partitionBy())
+        tests = tests.withColumn("_users", users).where(F.col("feat").isNotNull())
+        t = F.when(F.col("n") == F.col("_users"), t)
     return (
         tests.withColumn("t_statistic", t)
         .withColumn("p_value", two_sided_p(F.col("t_statistic"), (F.col("n") - 1).cast("int")))
         .select("feat", "n", "t_statistic", "p_value")
         .orderBy(F.col("p_value").asc_nulls_last(), "feat")
     )
+
+
+def _with_user_marks(rows: DataFrame) -> DataFrame:
+    """``feat, difference, common`` of the predicted outcomes, and one row per user.
+
+    The row per user has no outcome; its ``common`` is 1 if all three tables
+    have the user. A user gathers one pair of values per outcome.
+    """
+    common = F.least(*[F.max(f"_{s}") for s in SIDES])
+    predicted = F.when(F.col("_pred") == 1, F.struct("feat", "difference"))
+    users = rows.groupBy("user_id").agg(
+        common.alias("common"), F.collect_list(predicted).alias("cells")
+    )
+    mark = F.struct(
+        F.lit(None).cast("string").alias("feat"),
+        F.lit(None).cast("double").alias("difference"),
+        F.col("common"),
+    )
+    cells = F.transform(
+        "cells", lambda c: F.struct(c["feat"], c["difference"], F.lit(0).cast("long").alias("common"))
+    )
+    return users.select(F.inline(F.concat(F.array(mark), cells)))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from featloom.operators import contrastive, groupfeats, prep, sizing
+from featloom.operators import compare, contrastive, groupfeats, prep, sizing
 from featloom.sinks import tables
 from featloom.workload.views import Views
 from tests.oracle import DATA, spark_rows
@@ -56,13 +56,15 @@ def test_flagship_reads_only_its_columns(spark, no_auto_broadcast):
     assert "partial_avg" in text
 
 
-def test_comparison_partitions_each_input_once(spark, no_auto_broadcast):
+def test_comparison_shuffles_each_input_once(spark, no_auto_broadcast):
     df = spark.createDataFrame([(1, "a", 1.0)], "user_id int, feat string, value double")
-    from featloom.operators.compare import align
-
-    text = plan(align(*[df.withColumn("value", F.col("value") * i) for i in (1, 2, 3)]))
-    assert text.count("Exchange hashpartitioning(user_id") == 3
-    assert text.count("Exchange") == 3
+    sides = [df.withColumn("value", F.col("value") * i) for i in (1, 2, 3)]
+    assert plan(compare.align(*sides)).count("Exchange") == 1
+    text = plan(compare.paired_ttest(*sides, nan_policy="omit"))
+    assert "Join" not in text and text.count("Exchange hashpartitioning") == 2
+    text = plan(compare.paired_ttest(*sides))
+    assert "Join" not in text and text.count("Exchange hashpartitioning") == 3
+    assert text.count("Scan ExistingRDD") == 3
 
 
 def test_split_moves_no_rows(spark):
