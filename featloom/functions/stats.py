@@ -69,7 +69,7 @@ def two_sided_p(t: Column, nu: Column) -> Column:
     """
     size = F.abs(t)
     theta = F.atan2(size, F.sqrt(nu))
-    exact = 1 - _finite_series(theta, nu)
+    exact = 1 - _finite_series(theta, F.least(nu, F.lit(EXACT_DF)).cast("int"))
     tail = _normal_tail(size, nu.cast("double"))
     p = F.when(nu <= EXACT_DF, exact).otherwise(tail)
     return F.when(t.isNotNull() & (nu >= 1), F.greatest(p, F.lit(0.0)))

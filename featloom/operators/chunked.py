@@ -37,10 +37,12 @@ def aggregate_chunks(
     """Group by ``keys`` and chunk; ``entry`` aggregates one vector position.
 
     ``entry`` is SQL over ``{x}``, the value at the position: as text, dozens
-    of cells cost one call to the JVM instead of several each. Returns ``keys, chunk, entries, width`` and the aggregates of ``carry``,
-    whose input columns must be columns of ``df``. ``entries`` has null cells
-    behind the end of the last chunk; :func:`positions` and :func:`gather`
-    drop them. ``groups`` holds distinct keys that must be in the result even
+    of cells cost one call to the JVM instead of several each. Returns
+    ``keys, chunk, entries, width`` and the aggregates of ``carry``, whose input
+    columns must be columns of ``df``. ``entries`` has null cells behind the end
+    of the last chunk; :func:`positions` and :func:`gather` drop them.
+
+    ``groups`` holds distinct keys that must be in the result even
     without a vector, as null entries up to ``width``: they join the
     aggregate's input rather than its output.
     """

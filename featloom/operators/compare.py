@@ -47,7 +47,9 @@ def _side_by_side(truth: DataFrame, baseline: DataFrame, pred: DataFrame) -> Dat
     def unless_twice(c: Column) -> Column:
         return F.when(F.greatest(*counts) == 1, c).otherwise(twice)
 
-    return rows.withColumns({s: unless_twice(F.col(s)) for s in SIDES})
+    # On the row marks too, so that no consumer can filter the failure away.
+    checked = [*SIDES, *(f"_{side}" for side in SIDES)]
+    return rows.withColumns({c: unless_twice(F.col(c)) for c in checked})
 
 
 def truth_long(truth: DataFrame, feats: list[str] | None = None) -> DataFrame:
@@ -107,7 +109,7 @@ def paired_ttest(
         t = F.when(F.col("n") == F.col("_users"), t)
     return (
         tests.withColumn("t_statistic", t)
-        .withColumn("p_value", two_sided_p(F.col("t_statistic"), (F.col("n") - 1).cast("int")))
+        .withColumn("p_value", two_sided_p(F.col("t_statistic"), F.col("n") - 1))
         .select("feat", "n", "t_statistic", "p_value")
         .orderBy(F.col("p_value").asc_nulls_last(), "feat")
     )

@@ -88,6 +88,13 @@ def test_duplicates_fail(spark):
         compare.paired_ttest(t, b.unionByName(b.limit(1)), p).collect()
     with pytest.raises(Exception, match="duplicate key"):
         compare.align(t.unionByName(t.limit(1)), b, p).collect()
+    unpredicted = spark.createDataFrame([(0, "z", 1.0)] * 2, LONG)
+    for policy in ("propagate", "omit"):
+        with pytest.raises(Exception, match="duplicate key: 0, z"):
+            compare.paired_ttest(t, b.unionByName(unpredicted), p, policy).collect()
+    everything = [d.unionByName(d) for d in (t, b, p)]
+    with pytest.raises(Exception, match="duplicate key"):
+        compare.align(*everything).collect()
     with pytest.raises(ValueError, match="nan_policy"):
         compare.paired_ttest(t, b, p, nan_policy="raise")
 
@@ -107,3 +114,13 @@ def test_whole_job_from_csv(spark, tmp_path):
     for g, w in zip(got, want):
         assert (g.feat, g.n, g.t_statistic) == (w.feat, w.n, pytest.approx(w.t_statistic))
     assert compare_models is not None
+
+
+def test_null_keys_match_nothing(spark):
+    t, b, p = frames(spark, *make(np.random.default_rng(6), 6))
+    hole = spark.createDataFrame([(None, "a", 5.0), (None, "a", 6.0), (1, None, 2.0)], LONG)
+    want = compare.paired_ttest(t, b, p).collect()
+    got = compare.paired_ttest(*[d.unionByName(hole) for d in (t, b, p)]).collect()
+    assert [(r.feat, r.n) for r in got] == [(r.feat, r.n) for r in want]
+    for g, w in zip(got, want):
+        assert (g.t_statistic, g.p_value) == pytest.approx((w.t_statistic, w.p_value))
