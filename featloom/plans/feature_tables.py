@@ -66,6 +66,17 @@ def fill_user_features(
     tables.write_long(table, target)
 
 
+def fill_cohort_features(spark: SparkSession, folder: str, ids_csv: str, target: str) -> None:
+    """The embedding CSV of every corpus in, cohort rows out, without aggregation."""
+    text_id = F.col("message_id").cast("string").alias("message_id")
+    corpora = {}
+    for corpus in fixed.CORPUS_ID_TYPES:
+        wide = read_csv(spark, f"{folder}/{corpus}_embeddings.csv")
+        corpora[corpus] = wide.withColumn("message_id", text_id)
+    ids = read_csv(spark, ids_csv).select(text_id)
+    tables.write_long(cohort_feature_table(corpora, ids), target)
+
+
 def csv_to_long(spark: SparkSession, csv: str, group: str, target: str) -> None:
     """Any wide CSV as a long feature table; group ids are whole numbers in one corpus."""
     try:

@@ -132,6 +132,17 @@ def test_fill_user_features_from_csv(spark, tmp_path):
         feature_tables.fill_user_features(spark, segments, other, str(tmp_path / "x"))
 
 
+def test_fill_cohort_features_from_csv(spark, tmp_path):
+    write(tmp_path / "hitop_embeddings.csv", "message_id,f0000\nh1,1\nh2,2\n")
+    write(tmp_path / "wtc_embeddings.csv", "message_id,f0000\n11,3\n12,4\n")
+    ids = write(tmp_path / "ids.csv", "message_id,extra\nh2,a\n11,b\nzz,c\n")
+    feature_tables.fill_cohort_features(spark, str(tmp_path), ids, str(tmp_path / "out"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(tuple, got.collect())) == [
+        ("11", "f0000", 3.0, 3.0), ("h2", "f0000", 2.0, 2.0)
+    ]
+
+
 def test_csv_to_long(spark, tmp_path):
     path = write(tmp_path / "any.csv", "g,f1,longer\na,1,2\nb,,3\n")
     feature_tables.csv_to_long(spark, path, "g", str(tmp_path / "l"))
