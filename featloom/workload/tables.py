@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from featloom import fixed
 from featloom.functions import text
-from featloom.operators import groupfeats, prep, reshape
+from featloom.operators import encode, groupfeats, prep, reshape
 from featloom.plans import feature_tables
 from featloom.sources import media
 from featloom.workload.registry import cells, longs, query, r6
@@ -304,9 +304,7 @@ def common_user_rows(v):
 
 @query("SET-3", "SELECT DISTINCT url AS path FROM pages")
 def distinct_paths(v):
-    from featloom.operators.encode import distinct_inputs
-
-    return distinct_inputs(v.pages.select(F.col("url").alias("path")))
+    return encode.distinct_inputs(v.pages.select(F.col("url").alias("path")))
 
 
 @query(
@@ -350,13 +348,11 @@ def path_parts(v):
        WHERE rn = 1""",
 )
 def last_page_per_stem(v):
-    from featloom.operators.encode import last_write_wins
-
     pages = v.pages.select(
         text.stem(F.col("url")).alias("stem"),
         F.concat("url", F.lit("#"), F.col("page_id").cast("string")).alias("path"),
         "page_id",
     )
-    return last_write_wins(pages)
+    return encode.last_write_wins(pages)
 
 
