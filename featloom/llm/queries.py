@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, tokencount, toxicity
+from . import langid, quality, tokencount, toxicity, urlrules
 from .common import held_out, read
 
 
@@ -28,6 +28,49 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(read(spark, sf_dir, "documents"), path, ["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_toxicity, op5_token_counts)}
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality.learn(docs, read(spark, sf_dir, "labels"))
+    return quality.judge(docs, rules).select("doc_id", *quality.COUNTS, "base_failed", "kept")
 
-ORACLE_SQL: dict[str, str] = {}
+
+# The rules of the contract.
+URL_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    judged = urlrules.judge_urls(pages, urlrules.parse_rules(spark, URL_RULES))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op2_language_id, op3_toxicity, op5_token_counts, op6_quality_rules, op8_url_filters)
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "op8_url_filters": r"""
+        WITH rules(host, path, verdict) AS (VALUES
+            ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
+            ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+        parts AS (SELECT page_id,
+            translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+            coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path,
+            row_number() OVER () AS n
+            FROM pages),
+        fits AS (SELECT n, r.host || r.path AS rule, verdict,
+            row_number() OVER (PARTITION BY n ORDER BY length(r.host || r.path) DESC, length(r.host) DESC) AS k
+            FROM parts p JOIN rules r
+            ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path))
+        SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+        FROM parts LEFT JOIN (SELECT * FROM fits WHERE k = 1) USING (n)
+    """,
+}
