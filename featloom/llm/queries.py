@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, quality, tokencount, toxicity, urlrules
+from . import langid, quality, shards, tokencount, toxicity, urlrules
 from .common import held_out, read
 
 
@@ -34,6 +34,21 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, rules).select("doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    made = shards.propagate(
+        read(spark, sf_dir, "documents"),
+        "doc_id",
+        size=F.octet_length(text) + 1,
+        crc=F.crc32(text),
+        group=F.xxhash64(text),
+    )
+    return made.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 # The rules of the contract.
 URL_RULES = [
     ("allow", "com/"),
@@ -52,7 +67,14 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_language_id, op3_toxicity, op5_token_counts, op6_quality_rules, op8_url_filters)
+    for f in (
+        op2_language_id,
+        op3_toxicity,
+        op5_token_counts,
+        op6_quality_rules,
+        op7_sharding,
+        op8_url_filters,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
