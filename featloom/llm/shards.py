@@ -68,13 +68,15 @@ def _round(rows: DataFrame, room: int, shards: int) -> DataFrame:
     """One exchange of votes: linked rows move to their group's main shard while it has room."""
     linked = rows.where("__linked")
     votes = linked.groupBy("__group_hash", "__shard").agg(F.count("*").alias("n"))
-    # Most votes, then the smaller shard; a group that no shard can hold stays where it is.
+    # Most votes, then a hash, so that ties spread over the shards; a group that no shard can hold
+    # stays where it is.
+    luck = F.xxhash64("__group_hash", "__shard").alias("luck")
     best = votes.groupBy("__group_hash").agg(
-        F.max(F.struct(F.col("n"), (-F.col("__shard")).alias("s"))).alias("top"),
+        F.max(F.struct("n", luck, F.col("__shard").alias("s"))).alias("top"),
         F.sum("n").alias("whole"),
     )
     target = best.select(
-        "__group_hash", F.when(F.col("whole") <= room, -F.col("top.s")).alias("__target")
+        "__group_hash", F.when(F.col("whole") <= room, F.col("top.s")).alias("__target")
     )
     asked = linked.join(target, "__group_hash").withColumn(
         "__target", F.coalesce("__target", "__shard")
