@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, quality, shards, tokencount, toxicity, urlrules
+from . import decontam, langid, quality, shards, suffixdedup, tokencount, toxicity, urlrules
 from .common import held_out, read
 
 
@@ -23,6 +23,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, scorer, ["doc_id", "held_out"])
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.repeated_bytes(read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return tokencount.count_tokens(read(spark, sf_dir, "documents"), path, ["doc_id"])
@@ -65,15 +69,31 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find_leaks(
+        read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), ["doc_id"]
+    )
+    return found.select(
+        "doc_id",
+        (F.size("leaks") > 0).alias("contaminated"),
+        (F.size("leaks") == 0).alias("kept"),
+        F.size("leaks").cast("long").alias("n_items"),
+        F.transform("leaks", lambda x: x["item_id"]).alias("item_ids"),
+        F.array_min(F.transform("leaks", lambda x: x["edits"])).alias("least_edits"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op2_language_id,
         op3_toxicity,
+        op4_suffix_dedup,
         op5_token_counts,
         op6_quality_rules,
         op7_sharding,
         op8_url_filters,
+        op10_decontamination,
     )
 }
 
