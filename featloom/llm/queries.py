@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, quality, shards, suffixdedup, tokencount, toxicity, urlrules
+from . import decontam, langid, minhash, quality, shards, suffixdedup, tokencount, toxicity, urlrules
 from .common import held_out, read
 
 
@@ -69,6 +69,10 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find_leaks(
         read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), ["doc_id"]
@@ -93,6 +97,7 @@ QUERIES = {
         op6_quality_rules,
         op7_sharding,
         op8_url_filters,
+        op9_minhash,
         op10_decontamination,
     )
 }
