@@ -112,7 +112,7 @@ def _classes(df: DataFrame) -> DataFrame:
     """(node, __id, __set, __bands): the distinct non-empty sets with their least id."""
     rows = set_keys(df, ["__id"], "__text", bands=True).where("__n > 0")
     found = rows.groupBy("__set").agg(F.min("__id").alias("__id"), F.first("__bands").alias("__bands"))
-    return checkpoint(checkpoint(found).withColumn("node", F.monotonically_increasing_id()))
+    return checkpoint(found.withColumn("node", F.monotonically_increasing_id()))
 
 
 def _groups(classes: DataFrame) -> DataFrame:
@@ -212,9 +212,10 @@ def _links(table: pa.Table) -> pa.Table:
     )
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_shingles, component_id (least id reachable) and kept (it is the row's own)."""
+def _judged(df: DataFrame, columns: list[str], id_col: str, text_col: str) -> DataFrame:
+    """Columns and __id, __n, __set, __component of every row."""
     docs = df.select(
+        *columns,
         F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST_ID)).alias("__id"),
         F.col(text_col).alias("__text"),
     )
@@ -228,15 +229,31 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     of_set = classes.join(linked, "node", "left").select(
         "__set", F.coalesce("__least", "__id").alias("__least")
     )
-    rows = set_keys(docs, ["__id"], "__text").join(of_set, "__set", "left")
+    rows = set_keys(docs, [*columns, "__id"], "__text").join(of_set, "__set", "left")
     component = F.when(F.col("__n") == 0, F.col("__id")).otherwise(F.col("__least"))
+    return rows.withColumn("__component", component).drop("__least")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, n_shingles, component_id (least id reachable) and kept (it is the row's own)."""
+    rows = _judged(df, [], id_col, text_col)
 
     def shown(c):
-        return F.when(c < _LAST_ID, c)
+        return F.when(F.col(c) < _LAST_ID, F.col(c))
 
     return rows.select(
-        shown(F.col("__id")).alias(id_col),
+        shown("__id").alias(id_col),
         F.col("__n").alias("n_shingles"),
-        shown(component).alias("component_id"),
-        (F.col("__id") == component).alias("kept"),
+        shown("__component").alias("component_id"),
+        (F.col("__id") == F.col("__component")).alias("kept"),
     )
+
+
+def without_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, unchanged, of one document of each group: the one with the least id.
+
+    Of repeated rows of that document one stays. Rows without words all stay.
+    """
+    rows = _judged(df, df.columns, id_col, text_col).where("__id = __component")
+    one = rows.where("__n > 0").dropDuplicates(["__set", "__id"])
+    return one.select(df.columns).unionByName(rows.where("__n = 0").select(df.columns))

@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, minhash, quality, shards, suffixdedup, tokencount, toxicity, urlrules
+from . import decontam, langid, lattice, minhash, quality, shards, suffixdedup, tokencount, toxicity, urlrules
 from .common import held_out, read
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return lattice.round_trip(read(spark, sf_dir, "documents"), path, ["doc_id"])
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").withColumn("held_out", held_out(F.col("doc_id"), 5, 0))
     net = langid.learn(docs.where(~F.col("held_out")))
@@ -90,6 +95,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_sentencepiece,
         op2_language_id,
         op3_toxicity,
         op4_suffix_dedup,
