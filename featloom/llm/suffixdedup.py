@@ -44,6 +44,12 @@ _LAST_ID = (1 << 63) - 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of all stretches, one after another."""
+    before = np.cumsum(size) - size
+    return np.repeat(start - before, size) + np.arange(size.sum())
+
+
 def _words_at(data: np.ndarray, n: int, at: int, kind: str = "<u8") -> np.ndarray:
     """The 8 bytes from each of the first ``n`` places plus ``at``, as numbers."""
     return np.ndarray((n,), kind, data, at, (1,))
@@ -172,8 +178,7 @@ def least_ids(text: np.ndarray, sizes: np.ndarray, docs: np.ndarray, source: np.
     bytes_so_far = np.concatenate([[0], np.cumsum(sizes[order])])
     for a, b in blocks(bytes_so_far, ARRAY_BYTES):
         own = order[a:b]
-        take = np.concatenate([np.arange(offsets[k], offsets[k + 1]) for k in own.tolist()])
-        part, ends = text[take], np.cumsum(sizes[own])
+        part, ends = text[_ragged(offsets[own], sizes[own])], np.cumsum(sizes[own])
         arrays.append((own, part, ends, *_strings(part, ends, docs[own])))
     keys = [None] * len(arrays)
     if len(arrays) > 1:
@@ -309,6 +314,14 @@ def _joined(table: pa.Table) -> np.ndarray:
     return np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
+def _pack(raw: bytes) -> bytes:
+    return pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(packed: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(packed, size, codec="zstd", asbytes=True), np.uint8)
+
+
 _PIECES = "bucket int, shard int, keys binary, sizes binary, docs binary, text binary"
 _LEAST = "shard int, bucket int, keys binary, counts binary, docs binary"
 
@@ -331,7 +344,7 @@ def _send(table: pa.Table, shared: np.ndarray, shard: int, buckets: int) -> pa.T
         columns["sizes"].append(size[s].astype(np.int32).tobytes())
         columns["docs"].append(least[s].tobytes())
         ranges = zip(place[s].tolist(), (place[s] + size[s]).tolist(), strict=True)
-        columns["text"].append(b"".join([data[x:y].tobytes() for x, y in ranges]))
+        columns["text"].append(_pack(b"".join([data[x:y].tobytes() for x, y in ranges])))
     return pa.table(
         {
             "bucket": pa.array(some, pa.int32()),
@@ -351,7 +364,8 @@ def _solve(table: pa.Table, bucket: int) -> pa.Table:
     key, per_row = column("keys", np.uint64)
     size = column("sizes", np.int32)[0].astype(np.int64)
     doc = column("docs", np.int64)[0]
-    text = column("text", np.uint8)[0]
+    packed = zip(table.column("text").to_pylist(), table.column("sizes").to_pylist(), strict=True)
+    text = np.concatenate([_unpack(x, int(np.frombuffer(n, np.int32).sum())) for x, n in packed])
     offsets = np.concatenate([[0], np.cumsum(size)])
     source = np.repeat(np.arange(len(per_row)), per_row)
     windows = size - LENGTH + 1
@@ -363,10 +377,17 @@ def _solve(table: pa.Table, bucket: int) -> pa.Table:
     group_end = np.append(group, len(order))
     for a, b in blocks(bytes_to[group_end], SLICE_BYTES):
         own = order[group_end[a] : group_end[b]]
-        take = np.concatenate([np.arange(offsets[k], offsets[k + 1]) for k in own.tolist()])
-        found = least_ids(text[take], size[own], doc[own], source[own])
-        to = np.concatenate([np.arange(out_at[k], out_at[k + 1]) for k in own.tolist()])
-        least[to] = found
+        part = text[_ragged(offsets[own], size[own])]
+        # Equal pieces of several shards are one, with the least id.
+        at = np.concatenate([[0], np.cumsum(size[own])])
+        pick, index = _pieces(key[own], _piece_hashes(part, at[:-1], size[own]), size[own], 1)
+        first = np.full(len(pick), _LAST_ID)
+        np.minimum.at(first, index, doc[own])
+        part = part[_ragged(at[pick], size[own][pick])]
+        found = least_ids(part, size[own][pick], first, source[own][pick])
+        many = windows[own][pick]
+        begin = (np.cumsum(many) - many)[index]
+        least[_ragged(out_at[own], windows[own])] = found[_ragged(begin, windows[own])]
     rows = np.concatenate([[0], np.cumsum(per_row)])
     columns = {"counts": [], "docs": []}
     for a, b in zip(out_at[rows[:-1]], out_at[rows[1:]], strict=True):
@@ -408,7 +429,7 @@ def _covered(table: pa.Table, least: pa.Table, buckets: int):
             start = (np.repeat(place[s], count[s]) + step)[hit]
             change[start] += 1
             change[start + LENGTH] -= 1
-        gone = np.cumsum(change)[: len(data)] > 0
+        gone = np.cumsum(change, out=change)[: len(data)] > 0
     return data, offsets, gone
 
 
@@ -420,7 +441,7 @@ def _plan(df: DataFrame, columns: list[str], id_col: str, text_col: str):
         *columns,
         F.col(id_col).cast("long").alias("__id"),
         text.alias("__text"),
-        F.pmod(F.xxhash64(id_col, text), F.lit(parts)).cast("int").alias("__shard"),
+        F.pmod(F.xxhash64(id_col, text), F.lit(2 * parts)).cast("int").alias("__shard"),
     )
     dealt = rows.groupBy("__shard")
 
@@ -450,7 +471,7 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def cut(table, least):
         data, offsets, gone = _covered(table, least, parts)
         n, rows = len(offsets) - 1, table.column("__id")
-        removed = np.concatenate([[0], np.cumsum(gone)])
+        removed = np.concatenate([[0], np.cumsum(gone, dtype=np.int32)])
         out = {"n_bytes": np.diff(offsets), "n_removed": removed[offsets[1:]] - removed[offsets[:-1]]}
         spans, digests = [[] for _ in range(n)], []
         for i in range(n):
@@ -493,7 +514,7 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def cut(table, least):
         data, offsets, gone = _covered(table, least, parts)
         kept = table.column(text_col).to_pylist()
-        removed = np.concatenate([[0], np.cumsum(gone)])
+        removed = np.concatenate([[0], np.cumsum(gone, dtype=np.int32)])
         for i in np.flatnonzero(removed[offsets[1:]] - removed[offsets[:-1]]).tolist():
             s = slice(offsets[i], offsets[i + 1])
             kept[i] = data[s][~gone[s]].tobytes().decode("utf-8", "ignore")
