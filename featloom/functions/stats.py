@@ -1,75 +1,57 @@
-"""Student t tail probability as a Column expression."""
+"""Student t tail probability, one formula for all degrees of freedom."""
 
 from __future__ import annotations
 
-from math import pi, sqrt
+from math import lgamma, log, pi
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from featloom.functions.vectors import bind
+# Nodes of the exp-sinh rule on (0, inf): places and weights.
+_Y = np.arange(-5.0, 5.0, 1 / 32)
+_PLACE = np.exp(np.pi / 2 * np.sinh(_Y))
+_WEIGHT = _PLACE * np.pi / 2 * np.cosh(_Y) / 32
 
-# Below this the finite series has at most EXACT_DF / 2 terms; above it the
-# normal expansion is already accurate to about 1e-12.
-EXACT_DF = 2000
 
+def _gamma_step(a: float) -> float:
+    """``ln gamma(a + 1/2) - ln gamma(a)``, by Stirling's series where the two nearly cancel."""
+    if a < 100:
+        return lgamma(a + 0.5) - lgamma(a)
+    return 0.5 * log(a) - 1 / (8 * a) + 1 / (192 * a**3) - 1 / (640 * a**5)
 
-def _finite_series(theta: Column, nu: Column) -> Column:
-    """P(|T| < t) by the finite cosine series for whole ``nu`` (A&S 26.7.3-4)."""
-    even = nu % 2 == 0
-    c2 = F.cos(theta) * F.cos(theta)
-    last = F.when(even, nu / 2 - 1).otherwise((nu - 3) / 2).cast("int")
-    steps = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    shift = F.when(even, 0).otherwise(1)  # ratio (2k-1)/2k or 2k/(2k+1)
 
-    def total(c2: Column) -> Column:
-        start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+def log_tail(t: float | None, nu: float | None) -> float | None:
+    """Natural logarithm of the two-sided p of ``t`` at ``nu`` degrees of freedom.
 
-        def step(acc: Column, k: Column) -> Column:
-            term = acc["term"] * c2 * (2 * k - 1 + shift) / (2 * k + shift)
-            return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
-
-        return F.aggregate(steps, start, step, lambda acc: acc["sum"])
-
-    series = bind(c2, total)
-    odd = F.when(nu == 1, theta).otherwise(theta + F.sin(theta) * F.cos(theta) * series)
-    return F.when(even, F.sin(theta) * series).otherwise(odd * (2 / pi))
-
-
-def _normal_tail(t: Column, nu: Column) -> Column:
-    """P(|T| > t) for large ``nu``: normal tail plus Fisher's correction in 1/nu."""
-    z = F.least(t, F.lit(40.0))
-    x = z / sqrt(2.0)
-    # erf by the all-positive series; terms beyond 200 vanish for x below 7.
-    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
-
-    def erf(x: Column) -> Column:
-        def step(acc: Column, k: Column) -> Column:
-            term = acc["term"] * (2 * x * x) / (2 * k + 1)
-            return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
-
-        fold = F.aggregate(F.sequence(F.lit(1), F.lit(200)), start, step, lambda a: a["sum"])
-        return F.lit(2 / sqrt(pi)) * x * F.exp(-x * x) * fold
-
-    normal = F.when(x >= 6.5, F.lit(0.0)).otherwise(1 - bind(x, erf))
-    t2 = z * z
-    correction = (
-        z * (t2 + 1) / 4 / nu
-        + z * (3 * t2**3 - 7 * t2**2 - 5 * t2 - 3) / 96 / nu**2
-        + z * (t2**5 - 11 * t2**4 + 14 * t2**3 + 6 * t2**2 - 3 * t2 - 15) / 384 / nu**3
-    )
-    density = F.exp(-t2 / 2) / sqrt(2 * pi)
-    return normal + 2 * density * correction
+    The density at ``t`` times the integral of its ratio beyond ``t``, both in logarithms, so that
+    relative precision, about 1e-12, does not depend on how small p is. Null without a statistic or
+    below one degree of freedom.
+    """
+    if t is None or nu is None or np.isnan(t) or nu < 1:
+        return None
+    size = abs(t)
+    if np.isinf(size):
+        return float("-inf")
+    spread = nu + size * size
+    scale = 1 / ((nu + 1) * size / spread + np.sqrt((nu + 1) / spread))
+    u = scale * _PLACE
+    with np.errstate(over="ignore", under="ignore"):
+        ratio = np.exp(-(nu + 1) / 2 * np.log1p(u * (2 * size + u) / spread))
+        beyond = float((ratio * (scale * _WEIGHT)).sum())
+    density = _gamma_step(nu / 2) - 0.5 * log(nu * pi) - (nu + 1) / 2 * np.log1p(size * size / nu)
+    return min(0.0, float(log(2) + density + np.log(beyond)))
+
+
+@F.arrow_udf(DoubleType())
+def log_two_sided_p(t: pa.Array, nu: pa.Array) -> pa.Array:
+    """``ln p``: one value per tested outcome, after all aggregation."""
+    pairs = zip(t.to_pylist(), nu.to_pylist())
+    return pa.array([log_tail(x, n) for x, n in pairs], pa.float64())
 
 
 def two_sided_p(t: Column, nu: Column) -> Column:
-    """Two-sided p of a t statistic with whole degrees of freedom ``nu``.
-
-    Absolute precision is about 1e-12, so a smaller p reads as 0.
-    """
-    size = F.abs(t)
-    theta = F.atan2(size, F.sqrt(nu))
-    exact = 1 - _finite_series(theta, F.least(nu, F.lit(EXACT_DF)).cast("int"))
-    tail = _normal_tail(size, nu.cast("double"))
-    p = F.when(nu <= EXACT_DF, exact).otherwise(tail)
-    return F.when(t.isNotNull() & (nu >= 1), F.greatest(p, F.lit(0.0)))
+    """Two-sided p of a t statistic with ``nu`` degrees of freedom; 0 only below 1e-308."""
+    return F.exp(log_two_sided_p(t.cast("double"), nu.cast("double")))

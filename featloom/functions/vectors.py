@@ -108,7 +108,8 @@ def dense(v: Column, weights, bias, activation: str = "tanh") -> Column:
     A D x D head is D^2 multiply-adds per row, hundreds of times more than a
     fold can interpret, so each Arrow batch is one matrix product. The weights
     travel with the function: a head is a model constant whose size does not
-    grow with the data.
+    grow with the data. A null vector stays null; one of another width than the
+    head's fails the query.
     """
     w = np.asarray(weights, dtype="float64")
     b = np.asarray(bias, dtype="float64")
@@ -117,6 +118,9 @@ def dense(v: Column, weights, bias, activation: str = "tanh") -> Column:
     @F.arrow_udf("array<double>")
     def head(vectors: pa.Array) -> pa.Array:
         valid = vectors.is_valid().to_numpy(zero_copy_only=False)
+        widths = set(vectors.drop_null().value_lengths().unique().to_pylist())
+        if widths - {w.shape[1]}:
+            raise ValueError(f"vectors of widths {sorted(widths)} under a head of {w.shape[1]}")
         x = vectors.drop_null().flatten().to_numpy(zero_copy_only=False)
         x = x.astype("float64").reshape(-1, w.shape[1])
         y = act(x @ w.T + b)

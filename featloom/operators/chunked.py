@@ -33,6 +33,7 @@ def aggregate_chunks(
     size: int = CHUNK,
     groups: DataFrame | None = None,
     width: int | None = None,
+    keep_empty: bool = False,
 ) -> DataFrame:
     """Group by ``keys`` and chunk; ``entry`` aggregates one vector position.
 
@@ -44,14 +45,17 @@ def aggregate_chunks(
 
     ``groups`` holds distinct keys that must be in the result even
     without a vector, as null entries up to ``width``: they join the
-    aggregate's input rather than its output.
+    aggregate's input rather than its output. With ``keep_empty`` rows without
+    a vector form a chunk of their own, which :func:`gather` leaves out.
     """
     inputs = [c for c in df.columns if c not in keys]
     cut = df.select(
         *keys,
         *inputs,
         F.size(vec).alias("_width"),
-        F.posexplode(chunks(vec, size)).alias("chunk", "_slice"),
+        (F.posexplode_outer if keep_empty else F.posexplode)(chunks(vec, size)).alias(
+            "chunk", "_slice"
+        ),
     )
     if groups is not None:
         empty = groups.select(
@@ -81,8 +85,10 @@ def positions(grouped: DataFrame, keys: list[str], size: int = CHUNK) -> DataFra
 
 def gather(grouped: DataFrame, keys: list[str], vec: str) -> DataFrame:
     """One row per group with its chunks joined in order: at most ``width`` cells."""
-    parts = F.array_sort(F.collect_list(F.struct("chunk", "entries")))
+    part = F.when(F.col("chunk").isNotNull(), F.struct("chunk", "entries"))
+    parts = F.array_sort(F.collect_list(part))
     whole = F.flatten(F.transform(parts, lambda p: p["entries"]))
+    width = F.max(F.when(F.col("chunk").isNotNull(), F.col("width")))
     return grouped.groupBy(*keys).agg(
-        F.slice(whole, F.lit(1), F.max("width")).alias(vec)
+        F.when(width.isNotNull(), F.slice(whole, F.lit(1), width)).alias(vec)
     )

@@ -6,9 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from featloom.functions.stats import two_sided_p
+from featloom.functions.stats import log_two_sided_p
 from featloom.operators.reshape import nan_to_null, to_long
 
 KEYS = ["user_id", "feat"]
@@ -85,53 +84,32 @@ def paired_ttest(
     the outcomes are those of ``pred``. t above 0 means the prediction is
     better. With ``propagate`` an outcome that lacks a value for any common
     user has null t and p; ``omit`` tests the pairs there are. Fewer than two
-    pairs, or differences without spread, give null. Sorted by p, null last.
+    pairs, or differences without spread, give null. Sorted by p, null last; by
+    its logarithm, so that order follows t also where p is too small to print.
     """
     if nan_policy not in ("propagate", "omit"):
         raise ValueError(f"nan_policy: {nan_policy}")
     rows = residuals(_side_by_side(truth, baseline, pred)).withColumn(
         "difference", F.col("baseline_residual") - F.col("pred_residual")
     )
-    outcomes = rows.where("_pred = 1")
-    if nan_policy == "propagate":
-        outcomes = _with_user_marks(rows)
-    tests = outcomes.groupBy("feat").agg(
+    tests = rows.where("_pred = 1").groupBy("feat").agg(
         F.count("difference").alias("n"),
         F.avg("difference").alias("_mean"),
         F.stddev_samp("difference").alias("_sd"),
-        *([F.sum("common").alias("_users")] if nan_policy == "propagate" else []),
     )
     t = F.try_divide(F.col("_mean"), F.col("_sd") / F.sqrt(F.col("n").cast("double")))
     if nan_policy == "propagate":
-        # One row per outcome, and one without a name that counts the users.
-        users = F.max("_users").over(W.partitionBy())
-        tests = tests.withColumn("_users", users).where(F.col("feat").isNotNull())
-        t = F.when(F.col("n") == F.col("_users"), t)
+        t = F.when(F.col("n") == _common_users(rows).scalar(), t)
+    tests = tests.select("feat", "n", t.alias("t_statistic"))
+    log_p = log_two_sided_p(F.col("t_statistic"), (F.col("n") - 1).cast("double"))
     return (
-        tests.withColumn("t_statistic", t)
-        .withColumn("p_value", two_sided_p(F.col("t_statistic"), F.col("n") - 1))
-        .select("feat", "n", "t_statistic", "p_value")
-        .orderBy(F.col("p_value").asc_nulls_last(), "feat")
+        tests.withColumn("_log_p", log_p)
+        .orderBy(F.col("_log_p").asc_nulls_last(), "feat")
+        .select("feat", "n", "t_statistic", F.exp("_log_p").alias("p_value"))
     )
 
 
-def _with_user_marks(rows: DataFrame) -> DataFrame:
-    """``feat, difference, common`` of the predicted outcomes, and one row per user.
-
-    The row per user has no outcome; its ``common`` is 1 if all three tables
-    have the user. A user gathers one pair of values per outcome.
-    """
-    common = F.least(*[F.max(f"_{s}") for s in SIDES])
-    predicted = F.when(F.col("_pred") == 1, F.struct("feat", "difference"))
-    users = rows.groupBy("user_id").agg(
-        common.alias("common"), F.collect_list(predicted).alias("cells")
-    )
-    mark = F.struct(
-        F.lit(None).cast("string").alias("feat"),
-        F.lit(None).cast("double").alias("difference"),
-        F.col("common"),
-    )
-    cells = F.transform(
-        "cells", lambda c: F.struct(c["feat"], c["difference"], F.lit(0).cast("long").alias("common"))
-    )
-    return users.select(F.inline(F.concat(F.array(mark), cells)))
+def _common_users(rows: DataFrame) -> DataFrame:
+    """One row: how many users all three tables have."""
+    users = rows.groupBy("user_id").agg(*[F.max(f"_{s}").alias(s) for s in SIDES])
+    return users.where(F.least(*SIDES) > 0).agg(F.count("*").alias("users"))

@@ -1,9 +1,9 @@
 """In-batch contrastive losses over tables of embedding pairs.
 
 A batch of B pairs has 2 B^2 similarities. They are formed by matrix products
-inside a task and reduced there; no pair of rows ever becomes a row. Batches
-larger than ``BLOCK_ROWS`` are cut into blocks, and every pair of blocks is its
-own group, so a task holds at most two blocks however large the batch is.
+inside a task and reduced there; no pair of rows ever becomes a row. A batch is
+cut into blocks of about ``BLOCK_ROWS``, and every pair of blocks is its own
+group, so a task holds at most two blocks however large the batch is.
 """
 
 from __future__ import annotations
@@ -14,15 +14,15 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featloom.functions import vectors
-from featloom.operators.sizing import broadcast_if_small, has_at_most
-from featloom.session import ensure_checkpoint_dir
 
 BLOCK_ROWS = 1024
 TAU = 0.1
+# Two hashes of its content name a row.
+NAME = ("_h1", "_h2")
 
 
 class Tile:
@@ -39,7 +39,7 @@ class Tile:
 
     @cached_property
     def xy(self) -> np.ndarray:
-        return self._x @ _unit(self._right["y"]).T
+        return self._x @ _unit(self._right["y"], self._x.shape[1]).T
 
     @cached_property
     def xx(self) -> np.ndarray:
@@ -47,10 +47,11 @@ class Tile:
 
     @cached_property
     def same_label(self) -> np.ndarray:
-        rows, columns = (
-            t["label"].to_numpy(zero_copy_only=False) for t in (self._left, self._right)
-        )
-        return rows[:, None] == columns[None, :]
+        """Labels as whole numbers; a null label equals none."""
+        both = pa.chunked_array(self._left["label"].chunks + self._right["label"].chunks)
+        codes = pc.fill_null(both.combine_chunks().dictionary_encode().indices, -1).to_numpy()
+        rows, columns = codes[: self._left.num_rows], codes[self._left.num_rows :]
+        return (rows[:, None] == columns[None, :]) & (rows >= 0)[:, None]
 
     @cached_property
     def off(self) -> np.ndarray:
@@ -65,12 +66,21 @@ class Tile:
         """Similarity of each student to its own teacher, in the diagonal tile."""
         return np.diagonal(self.xy) if self.diagonal else np.zeros(len(self.xy))
 
-    def heat(self, similarity: np.ndarray) -> np.ndarray:
-        """``exp(s / tau)`` over the constant ``exp(1 / tau)``: no overflow at small tau."""
-        return np.exp((similarity - 1.0) / self.tau)
+    def heat(self, *parts: tuple[np.ndarray, np.ndarray | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(top, sum of ``exp((s - top) / tau)``) per row over the similarities a mask allows.
+
+        Relative to the row's largest, so that no row underflows however small tau is.
+        """
+        masked = [s if m is None else np.where(m, s, -np.inf) for s, m in parts]
+        top = np.max([m.max(axis=1, initial=-np.inf) for m in masked], axis=0)
+        base = np.where(np.isfinite(top), top, 0.0)[:, None]
+        return top, sum(np.exp((m - base) / self.tau).sum(axis=1) for m in masked)
 
 
-def _unit(column: pa.ChunkedArray) -> np.ndarray:
+def _unit(column: pa.ChunkedArray, width: int | None = None) -> np.ndarray:
+    widths = pc.unique(pc.list_value_length(column)).to_pylist()
+    if len(widths) > 1 or (width is not None and widths != [width]):
+        raise ValueError(f"vectors of different widths: {widths}, {width}")
     flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("float64")
     rows = flat.reshape(len(column), -1)
     norms = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
@@ -87,51 +97,69 @@ def per_student(
     batch: str = "batch_id",
     tau: float = TAU,
     label: str | None = None,
+    heats: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Sums over its batch for each student row: ``batch, row`` and ``names``.
+    """Sums over its batch for each student row: ``batch, row``, ``names`` and ``heats``.
 
     ``measure`` reduces a tile to one number per student and name; the numbers
-    of a student's tiles are added up.
+    of a student's tiles are added up. For a name of ``heats`` it gives
+    ``name_top`` and ``name_rest``, which are put together as the logarithm of
+    the sum of ``exp(s / tau)``. A pair without ``x`` or ``y`` does not count.
+
+    One lazy path: every batch is cut into as many blocks as its size asks for,
+    mostly one. A row is named by two hashes of its content, so that its tiles
+    agree on it after the loss of an executor without writing it anywhere;
+    copies of a row share a block and come out as often as they went in.
     """
     extra = [F.col(label).alias("label")] if label else []
-    rows = pairs.select(
-        F.col(batch).alias("batch"),
-        F.monotonically_increasing_id().alias("row"),
-        "x",
-        "y",
-        *extra,
+    content = [F.col(batch).alias("batch"), "x", "y", *extra]
+    rows = pairs.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(*content)
+    rows = rows.withColumns({h: F.xxhash64(F.lit(h), *rows.columns) for h in NAME})
+    sizes = rows.groupBy(F.col("batch").alias("_batch")).agg(
+        F.ceil(F.count("*") / BLOCK_ROWS).alias("_blocks")
+    )
+    dealt = rows.join(sizes, F.col("batch").eqNullSafe(F.col("_batch"))).drop("_batch")
+    partial = [*names, *(f"{h}_{part}" for h in heats for part in ("top", "rest"))]
+    tiled = (
+        _place(dealt)
+        .groupBy("batch", "_p", "_q")
+        .applyInArrow(_reducer(measure, partial, tau), _partial_schema(rows, partial))
     )
-    large = (
-        pairs.groupBy(F.col(batch).alias("_batch"))
-        .count()
-        .where(F.col("count") > BLOCK_ROWS)
-        .select("_batch", F.ceil(F.col("count") / BLOCK_ROWS).alias("_blocks"))
+    tiles = [F.collect_list(F.struct(f"{h}_top", f"{h}_rest")).alias(h) for h in heats]
+    sums = tiled.groupBy("batch", *NAME).agg(
+        F.sum("copies").alias("copies"), *[F.sum(n).alias(n) for n in names], *tiles
     )
-    reducer, schema = _reducer(measure, names, tau), _partial_schema(rows, names)
-    if has_at_most(large, 0):
-        return rows.groupBy("batch").applyInArrow(reducer, schema)
-
-    large = broadcast_if_small(large)
-    same = F.col("batch").eqNullSafe(F.col("_batch"))
-    small_batches = rows.join(large, same, "left_anti")
-    whole = small_batches.groupBy("batch").applyInArrow(reducer, schema)
-    # A row's tiles must agree on its number, also when an executor is lost
-    # between them, so the rows of large batches are written once.
-    ensure_checkpoint_dir(pairs.sparkSession)
-    dealt = rows.join(large, same).drop("_batch").checkpoint()
-    tiled = _place(dealt).groupBy("batch", "_p", "_q").applyInArrow(reducer, schema)
-    sums = tiled.groupBy("batch", "row").agg(*[F.sum(n).alias(n) for n in names])
-    return whole.unionByName(sums)
+    each = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("_copy")
+    return sums.select(
+        "batch",
+        F.struct(*NAME).alias("row"),
+        *[(F.col(n) / F.col("copies")).alias(n) for n in names],
+        *[_log_sum(h, tau).alias(h) for h in heats],
+        each,
+    ).drop("_copy")
+
+
+def _log_sum(heat: str, tau: float) -> Column:
+    """``ln sum exp(s / tau)`` from (top, rest) of a row's tiles: one per block of the batch."""
+    top = F.array_max(F.transform(heat, lambda t: t[f"{heat}_top"]))
+
+    def scaled(t: Column) -> Column:
+        own = t[f"{heat}_top"]
+        return F.when(own > float("-inf"), t[f"{heat}_rest"] * F.exp((own - top) / tau)).otherwise(0.0)
+
+    total = F.aggregate(heat, F.lit(0.0), lambda a, t: a + scaled(t)) / F.col("copies")
+    return F.when(top > float("-inf"), F.log(total) + top / tau).otherwise(F.lit(float("-inf")))
 
 
 def _place(rows: DataFrame) -> DataFrame:
     """Copy each row to the tiles of its block: block p by every q, every p by q.
 
-    Blocks are dealt by row number, so they are even whatever the content. The
-    sums do not depend on which block a row is in.
+    Blocks are dealt by the row's name, so they are even whatever the order.
+    The sums do not depend on which block a row is in. Off the diagonal a left
+    copy needs no teacher.
     """
     last = F.col("_blocks") - 1
-    mine = F.pmod(F.xxhash64("row"), F.col("_blocks"))
+    mine = F.pmod(F.col(NAME[0]), F.col("_blocks"))
     others = F.sequence(F.lit(0).cast("long"), last)
     as_left = F.transform(
         others, lambda q: F.struct(F.col("_mine").alias("p"), q.alias("q"), F.lit(True).alias("left"))
@@ -140,34 +168,48 @@ def _place(rows: DataFrame) -> DataFrame:
         F.filter(others, lambda p: p != F.col("_mine")),
         lambda p: F.struct(p.alias("p"), F.col("_mine").alias("q"), F.lit(False).alias("left")),
     )
-    return (
+    dealt = (
         rows.withColumn("_mine", mine)
         .withColumn("_tile", F.explode(F.concat(as_left, as_right)))
         .withColumns({f"_{c}": F.col(f"_tile.{c}") for c in ("p", "q", "left")})
         .drop("_tile", "_mine", "_blocks")
     )
+    return dealt.withColumn("y", F.when((F.col("_p") == F.col("_q")) | ~F.col("_left"), F.col("y")))
 
 
 def _partial_schema(rows: DataFrame, names: list[str]) -> str:
     batch_type = rows.schema["batch"].dataType.simpleString()
-    return f"batch {batch_type}, row bigint, " + ", ".join(f"{n} double" for n in names)
+    return (
+        f"batch {batch_type}, {NAME[0]} bigint, {NAME[1]} bigint, copies bigint, "
+        + ", ".join(f"{n} double" for n in names)
+    )
 
 
 def _reducer(measure: Measure, names: list[str], tau: float):
     def reduce_tile(table: pa.Table) -> pa.Table:
         left = right = table
-        if "_left" in table.column_names and table["_p"][0] != table["_q"][0]:
+        diagonal = table["_p"][0] == table["_q"][0]
+        if not diagonal:
             left, right = table.filter(table["_left"]), table.filter(pc.invert(table["_left"]))
-        sums = {n: np.zeros(0) for n in names}
+        sums = {}
         if left.num_rows and right.num_rows:
             sums = measure(Tile(left, right, tau))
-        elif left.num_rows:
-            sums = {n: np.zeros(left.num_rows) for n in names}
-        return pa.table({"batch": left["batch"], "row": left["row"], **sums})
+        none = {n: np.full(left.num_rows, -np.inf if n.endswith("_top") else 0.0) for n in names}
+        copies = np.full(left.num_rows, int(diagonal), dtype="int64")
+        return pa.table(
+            {
+                "batch": left["batch"],
+                **{h: left[h] for h in NAME},
+                "copies": copies,
+                **(none | sums),
+            }
+        )
 
     return reduce_tile
 
 
+
+
 # --- what each loss needs of a tile -------------------------------------------------
 
 
@@ -182,21 +224,26 @@ def _hinge_sums(t: Tile) -> dict[str, np.ndarray]:
     }
 
 
+def _heat(name: str, parts: tuple[np.ndarray, np.ndarray]) -> dict[str, np.ndarray]:
+    return {f"{name}_top": parts[0], f"{name}_rest": parts[1]}
+
+
 def _heat_sums(t: Tile) -> dict[str, np.ndarray]:
     return {
         "positive": t.positive,
-        "rest": t.heat(t.xy).sum(axis=1) + (t.off * t.heat(t.xx)).sum(axis=1),
+        **_heat("rest", t.heat((t.xy, None), (t.xx, t.off > 0))),
     }
 
 
 def _label_sums(t: Tile) -> dict[str, np.ndarray]:
-    same, other = t.same_label * t.off, ~t.same_label * t.off
+    off = t.off > 0
+    same, other = t.same_label & off, ~t.same_label & off
     return {
         "positive": t.positive,
-        "mates": same.sum(axis=1),
+        "mates": same.sum(axis=1).astype("float64"),
         "mate_sims": (same * t.xy).sum(axis=1),
-        "strangers": (other * t.heat(t.xy)).sum(axis=1),
-        "others": (t.off * t.heat(t.xy)).sum(axis=1),
+        **_heat("strangers", t.heat((t.xy, other))),
+        **_heat("others", t.heat((t.xy, off))),
     }
 
 
@@ -236,8 +283,8 @@ def nce(
     pairs: DataFrame, batch: str = "batch_id", tau: float = TAU, pooling: str = "sum"
 ) -> DataFrame:
     """NT-Xent of each student against all other students and all teachers."""
-    rows = per_student(pairs, _heat_sums, ["positive", "rest"], batch, tau)
-    loss = F.log("rest") - (F.col("positive") - 1) / tau
+    rows = per_student(pairs, _heat_sums, ["positive"], batch, tau, heats=("rest",))
+    loss = F.col("rest") - F.col("positive") / tau
     return _pooled(rows, batch, loss, pooling)
 
 
@@ -246,16 +293,15 @@ def supervised(
 ) -> DataFrame:
     """Supervised contrastive loss; a student without label mates falls back to its own teacher.
 
-    Opt-in. Without any stranger the ratio is infinite, as in the formula.
+    Opt-in. Without any stranger the ratio is infinite, as in the formula. A
+    null label is nobody's mate.
     """
-    names = ["positive", "mates", "mate_sims", "strangers", "others"]
-    rows = per_student(pairs, _label_sums, names, batch, tau, label)
-
-    def log(x: str):
-        return F.when(F.col(x) > 0, F.log(x)).otherwise(F.lit(float("-inf")))
-
-    mates = log("strangers") - (F.col("mate_sims") / F.col("mates") - 1) / tau
-    alone = log("others") - (F.col("positive") - 1) / tau
+    names = ["positive", "mates", "mate_sims"]
+    rows = per_student(
+        pairs, _label_sums, names, batch, tau, label, heats=("strangers", "others")
+    )
+    mates = F.col("strangers") - F.col("mate_sims") / F.col("mates") / tau
+    alone = F.col("others") - F.col("positive") / tau
     return _pooled(rows, batch, F.when(F.col("mates") > 0, mates).otherwise(alone), "sum")
 
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable, Iterator
-from itertools import chain
 from types import ModuleType
 from uuid import uuid4
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +33,7 @@ def _held(token: str, make_model: Callable[[], Model]) -> Model:
 def encode_rows(
     df: DataFrame,
     make_model: Callable[[], Model],
+    dims: int,
     ids: list[str],
     inputs: list[str],
     batch_size: int = 64,
@@ -41,17 +42,18 @@ def encode_rows(
     """``ids, embedding, error`` for every row.
 
     ``make_model`` runs once per Python worker and returns a function from a
-    frame of ``inputs`` to one vector per row. A batch that fails is halved and tried
-    again; a row that fails alone has a null embedding and the message of its
-    error. Lazy and row-local, so it also accepts a stream.
+    frame of ``inputs`` to one vector of ``dims`` entries per row. A batch that
+    fails, or comes back in another shape, is halved and tried again; a row that
+    fails alone has a null embedding and the message of its error. The ids pass
+    by the model untouched. Lazy and row-local, so it also accepts a stream.
     """
 
     def run(model: Model, batch: pd.DataFrame) -> list[tuple]:
         """(vector, error) per row; a failing batch is halved until a row fails alone."""
         try:
             vecs = np.asarray(model(batch), dtype="float32")
-            if vecs.ndim != 2 or len(vecs) != len(batch):
-                raise ValueError(f"{len(batch)} rows in, shape {vecs.shape} out")
+            if vecs.shape != (len(batch), dims):
+                raise ValueError(f"{len(batch)} rows of {dims} wanted, shape {vecs.shape} out")
             return [(v, None) for v in vecs]
         except Exception as failure:  # noqa: BLE001 - any model failure is data here
             if len(batch) == 1:
@@ -59,22 +61,26 @@ def encode_rows(
             half = len(batch) // 2
             return run(model, batch.iloc[:half]) + run(model, batch.iloc[half:])
 
-    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first = next(frames, None)
-        if first is None:
-            return
-        model = _held(token, make_model)
-        for frame in chain([first], frames):
-            for start in range(0, len(frame), batch_size):
-                batch = frame.iloc[start : start + batch_size]
-                vecs, errors = zip(*run(model, batch[inputs]))
-                yield batch[ids].assign(embedding=list(vecs), error=list(errors))
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, batch_size):
+                batch = whole.slice(start, batch_size)
+                frame = batch.select(inputs).to_pandas()
+                vecs, errors = zip(*run(_held(token, make_model), frame))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *batch.select(ids).columns,
+                        pa.array(list(vecs), pa.list_(pa.float32())),
+                        pa.array(list(errors), pa.string()),
+                    ],
+                    names=[*ids, "embedding", "error"],
+                )
 
     token = uuid4().hex
     rows = df.select(*dict.fromkeys([*ids, *inputs]))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*ids).schema]
     schema = ", ".join([*fields, "embedding array<float>", "error string"])
-    out = rows.mapInPandas(task, schema)
+    out = rows.mapInArrow(task, schema)
     if normalize:
         unit = vectors.l2_normalize(F.col("embedding")).cast("array<float>")
         out = out.withColumn("embedding", unit)
@@ -90,6 +96,7 @@ def split_encoded(encoded: DataFrame) -> tuple[DataFrame, DataFrame]:
 def batch_encode(
     df: DataFrame,
     make_model: Callable[[], Model],
+    dims: int,
     ids: list[str],
     inputs: list[str],
     batch_size: int = 64,
@@ -102,7 +109,7 @@ def batch_encode(
     """
     ensure_checkpoint_dir(df.sparkSession)
     return split_encoded(
-        encode_rows(df, make_model, ids, inputs, batch_size, normalize).checkpoint()
+        encode_rows(df, make_model, dims, ids, inputs, batch_size, normalize).checkpoint()
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featloom import fixed
-from featloom.functions import text
+from featloom.functions import text, vectors
 from featloom.operators import chunked
 from featloom.operators.reshape import with_group_norm
 from featloom.operators.sizing import width_of
@@ -48,14 +48,15 @@ def group_mean(
     Missing entries are skipped; a group without any match keeps its rows with
     a null value. Only matched segments are joined and aggregated; the distinct
     groups enter the aggregate beside them. ``feats_only`` prunes the vector
-    before the join.
+    before the join. A vector of another width than ``dims`` fails the query;
+    without ``dims`` the sizes are read first.
     """
     dims = dims or width_of(feats, vec)
-    vector = F.col(vec)
+    vector = vectors.assert_width(F.col(vec), dims)
     name = text.feature_name(F.col("pos").cast("int"))
     if feats_only:
         index = [_position(f, dims) for f in feats_only]
-        vector = F.array(*[F.get(vec, F.lit(i)) for i in index])
+        vector = F.array(*[F.get(vector, F.lit(i)) for i in index])
         name = F.element_at(F.array(*map(F.lit, feats_only)), F.col("pos").cast("int") + 1)
         dims = len(index)
     matched = attach_features(
@@ -95,17 +96,17 @@ def cohort(df: DataFrame, ids: DataFrame, key: str = "message_id") -> DataFrame:
 def common_ids(frames: list[DataFrame], key: str = "user_id") -> DataFrame:
     """Ids present in every frame.
 
-    One union and one map-side-combined aggregate over single-byte flags, in
-    place of a chain of intersections with a shuffle each.
+    One union and one map-side-combined aggregate of the frames of each id, at
+    most one number per frame, in place of a chain of intersections with a
+    shuffle each.
     """
-    flagged = [f.select(key, F.lit(1 << i).alias("_in")) for i, f in enumerate(frames)]
-    everywhere = (1 << len(frames)) - 1
+    flagged = [f.select(key, F.lit(i).alias("_in")) for i, f in enumerate(frames)]
     return (
         reduce(DataFrame.unionByName, flagged)
         .where(F.col(key).isNotNull())
         .groupBy(key)
-        .agg(F.bit_or("_in").alias("_in"))
-        .where(F.col("_in") == everywhere)
+        .agg(F.size(F.collect_set("_in")).alias("_in"))
+        .where(F.col("_in") == len(frames))
         .select(key)
     )
 

@@ -27,6 +27,13 @@ def _bucket(key: str) -> Column:
     return F.shiftright(key, KEY_BITS - BUCKET_BITS)
 
 
+def _in_range(key: Column) -> Column:
+    """A caller's shuffle key, failing the query outside ``[0, 2**KEY_BITS)``."""
+    key = key.cast("long")
+    wrong = F.raise_error(F.concat(F.lit("shuffle key out of range: "), key.cast("string")))
+    return F.when(key.between(0, (1 << KEY_BITS) - 1), key).otherwise(wrong)
+
+
 def _sortable(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
 
@@ -54,9 +61,10 @@ def dense_index(
     """Number all rows 0, 1, 2, ... in a reproducible shuffled order.
 
     The order is that of ``shuffle_key``, by default a seeded hash of the whole
-    row, then of the row's columns, so it depends on the rows alone and not on
-    how they are partitioned. A supplied key must be spread evenly over
-    ``[0, 2**KEY_BITS)``.
+    row, then of two more hashes of the row, so it depends on the rows alone,
+    not on how they are partitioned and not on how many copies there are. A
+    supplied key must be spread evenly over ``[0, 2**KEY_BITS)``; one outside
+    fails the query.
 
     Copies of one row cannot be told apart by any key, and enough of them
     would overload their bucket. The bucket counts show that beforehand; then
@@ -64,16 +72,17 @@ def dense_index(
     blocks.
     """
     columns = df.columns
-    key = hash_key(columns, seed) if shuffle_key is None else shuffle_key.cast("long")
+    key = hash_key(columns, seed) if shuffle_key is None else _in_range(shuffle_key)
     keyed = df.withColumn("_key", key).withColumn("_bucket", _bucket("_key"))
+    hashes = {f"_h{s}": F.xxhash64(F.lit(s), *_sortable(df)) for s in (1, 2)}
     if _is_even(keyed):
-        return _rank(keyed, ["_key", *_sortable(df)], F.lit(1)).select(
+        return _rank(keyed.withColumns(hashes), ["_key", "_h1", "_h2"], F.lit(1)).select(
             *columns, (F.col("_base") + F.col("_start")).alias(out)
         )
     units = (
         keyed.groupBy(*columns, "_key", "_bucket")
         .agg(F.count("*").alias("_copies"))
-        .withColumns({f"_h{s}": F.xxhash64(F.lit(s), *columns) for s in (1, 2)})
+        .withColumns(hashes)
         .withColumn("_block", F.explode(F.expr(f"sequence(0L, (_copies - 1) div {COPY_BLOCK})")))
         .withColumn(
             "_n", F.least(F.lit(COPY_BLOCK), F.col("_copies") - F.col("_block") * COPY_BLOCK)
@@ -108,11 +117,11 @@ def exact_split(
 
     Two small histograms of the shuffle key find the value where the cut falls,
     and every other row is tagged by comparison: no row moves. Only rows that
-    share the cut value are ranked. Name ``key`` columns to hash those alone
-    and keep the histogram scans narrow.
+    share the cut value are ranked. The histograms are read now, when the plan
+    is built. Name ``key`` columns to hash those alone and keep the scans narrow.
     """
     columns = df.columns
-    hashed = hash_key(key or columns, seed) if shuffle_key is None else shuffle_key.cast("long")
+    hashed = hash_key(key or columns, seed) if shuffle_key is None else _in_range(shuffle_key)
     keyed = df.withColumn("_key", hashed)
     low_bits = KEY_BITS - BUCKET_BITS
 
@@ -165,6 +174,9 @@ def assign_batches(
     return numbered.withColumn(out, F.floor(F.col("_idx") / size)).drop("_idx")
 
 
-def shuffled(df: DataFrame, key: list[str], seed: int = 0) -> DataFrame:
-    """Rows in a reproducible random order."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *key), *key)
+def shuffled(
+    df: DataFrame, key: list[str], seed: int = 0, shuffle_key: Column | None = None
+) -> DataFrame:
+    """Rows in a reproducible random order, that of a seeded hash or of ``shuffle_key``."""
+    first = F.xxhash64(F.lit(seed), *key) if shuffle_key is None else shuffle_key
+    return df.orderBy(first, *key)

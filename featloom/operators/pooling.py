@@ -18,7 +18,10 @@ def mean_pool(
     vec: str = "vec",
     mask: str | None = "mask",
 ) -> DataFrame:
-    """Masked mean per sequence; without a mask, the plain mean over time."""
+    """Masked mean per sequence; without a mask, the plain mean over time.
+
+    A missing vector does not count; a sequence of nothing else gets a null vector.
+    """
     weight = F.lit(1.0) if mask is None else F.col(mask).cast("double")
     rows = tokens.select(seq, F.col(vec).alias("_v"), weight.alias("_m"))
     sums = chunked.aggregate_chunks(
@@ -27,6 +30,7 @@ def mean_pool(
         F.col("_v"),
         "sum(cast({x} AS double) * _m)",
         carry={"_total": F.sum("_m")},
+        keep_empty=True,
     )
     floor = F.greatest(F.col("_total"), F.lit(MASK_FLOOR))
     means = sums.withColumn("entries", F.transform("entries", lambda s: s / floor))
@@ -74,7 +78,8 @@ def last_pool(
 
     Index -1 means the last position. For right-padded masks that is the last
     real token; say so with ``right_padded`` and one map-side-combined
-    aggregate replaces the join on positions.
+    aggregate replaces the join on positions. Otherwise positions must be 0, 1,
+    2, ... in every sequence; a gap or another start fails the query.
     """
     if right_padded:
         real = F.col(mask) == 1
@@ -83,7 +88,12 @@ def last_pool(
         )
         return tokens.groupBy(seq).agg(chosen.alias(vec))
     marks = tokens.select(seq, pos, F.col(mask).cast("long").alias("_m"))
-    ends = marks.groupBy(seq).agg(F.sum("_m").alias("_n"), F.max(pos).alias("_last"))
+    count, at = F.count("*"), F.col(pos).cast("long")
+    dense = (F.max(at) == count - 1) & (F.min(at) == 0) & (F.sum(at) == count * (count - 1) / 2)
+    wrong = F.raise_error(F.concat(F.lit("positions are not 0, 1, 2, ... in "), F.first(seq).cast("string")))
+    ends = marks.groupBy(seq).agg(
+        F.sum("_m").alias("_n"), F.when(dense, F.max(pos)).otherwise(wrong).alias("_last")
+    )
     # The cumulative sum at position n - 1 is the count of marks up to there.
     index = (
         marks.join(ends, seq)

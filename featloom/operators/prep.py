@@ -73,16 +73,21 @@ def batch_widths(df: DataFrame, batch: str, arr: str) -> DataFrame:
     return df.groupBy(batch).agg(F.max(F.size(arr)).alias("width"))
 
 
+def _with_width(df: DataFrame, probe: DataFrame, batch: str, arr: str) -> DataFrame:
+    widths = batch_widths(df, batch, arr).withColumnsRenamed({batch: "_same", "width": "_width"})
+    widths = broadcast_if_small(widths, probe=probe.select(batch).distinct())
+    return df.join(widths, F.col(batch).eqNullSafe(F.col("_same")))
+
+
 def pad_to_batch(df: DataFrame, batch: str, arr: str, fill: float = 0.0) -> DataFrame:
     """Right-pad every sequence to the longest of its batch.
 
     The width comes from a grouped maximum, not a window: a window would hold
-    every sequence of a batch in one task.
+    every sequence of a batch in one task. Rows without a batch are one batch.
     """
-    widths = broadcast_if_small(batch_widths(df, batch, arr), probe=df.select(batch).distinct())
     return (
-        df.join(widths, batch)
-        .withColumn(arr, vectors.pad(F.col(arr), F.col("width"), fill))
+        _with_width(df, df, batch, arr)
+        .withColumn(arr, vectors.pad(F.col(arr), F.col("_width"), fill))
         .select(*df.columns)
     )
 
@@ -102,18 +107,15 @@ def truncate_mask(
     """Truncate token lists to the encoder's length and add ``attention_mask``.
 
     With ``batch``, lists are padded to the longest truncated one of the batch
-    and the mask is 0 over the padding.
+    and the mask is 0 over the padding. Rows without a batch are one batch.
     """
     cut = df.withColumn(tokens, F.slice(tokens, 1, max_length))
     real = F.array_repeat(F.lit(1), F.size(tokens))
     if batch is None:
         return cut.withColumn("attention_mask", real)
-    widths = broadcast_if_small(
-        batch_widths(cut, batch, tokens), probe=df.select(batch).distinct()
-    )
-    missing = F.col("width") - F.size(tokens)
+    missing = F.col("_width") - F.size(tokens)
     return (
-        cut.join(widths, batch)
+        _with_width(cut, df, batch, tokens)
         .withColumns(
             {
                 tokens: F.concat(tokens, F.array_repeat(F.lit(pad_token), missing)),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from featloom import fixed
-from featloom.functions import text
+from featloom.functions import text, vectors
 from featloom.operators.sizing import width_of
 
 
@@ -87,10 +87,14 @@ def to_wide(long: DataFrame, key: str, feats: list[str] | None = None) -> DataFr
 
 
 def vec_to_cols(df: DataFrame, ids: list[str], vec: str, dims: int | None = None) -> DataFrame:
-    """A vector as columns ``f0000``.. for formats without arrays."""
+    """A vector as columns ``f0000``.. for formats without arrays.
+
+    A vector of another width fails the query. Without ``dims`` the sizes are read first.
+    """
     dims = dims or width_of(df, vec)
-    cells = [F.get(vec, F.lit(i)).alias(fixed.FEATURE_FORMAT % i) for i in range(dims)]
-    return df.select(*ids, *cells)
+    checked = df.select(*ids, vectors.assert_width(F.col(vec), dims).alias("_vec"))
+    cells = [F.get("_vec", F.lit(i)).alias(fixed.FEATURE_FORMAT % i) for i in range(dims)]
+    return checked.select(*ids, *cells)
 
 
 def cols_to_vec(

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from math import inf
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -92,33 +93,69 @@ def plateau_lr(
     ``patience`` epochs without a better one multiply the rate by ``factor``.
     Each state depends on the one before, so a run's epochs are walked in
     order: rows are partitioned by run and sorted, and a task streams through
-    them with the state of one run in hand.
+    them with the state of one run in hand. It steps from event to event, a
+    better loss or a spent patience; the rows between are arithmetic. Rows
+    without a run are one run; a null run stays null.
     """
-    run_type = epochs.schema[run].dataType.simpleString()
     points = (
         epochs.where((F.col(phase) == val) & F.col("sum_loss").isNotNull())
         .select(F.col(run).alias("run"), F.col(epoch).cast("long").alias("epoch"), "sum_loss")
         .repartition("run")
         .sortWithinPartitions("run", "epoch")
     )
-
-    def replay(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, best, bad, rate = None, inf, 0, lr
-        for frame in frames:
-            rates, bads = [], []
-            for name, loss in zip(frame["run"], frame["sum_loss"]):
-                if name != current:
-                    current, best, bad, rate = name, inf, 0, lr
-                if loss < best * (1 - threshold):
-                    best, bad = loss, 0
-                else:
-                    bad += 1
-                if bad > patience:
-                    rate, bad = rate * factor, 0
-                rates.append(rate)
-                bads.append(bad)
-            yield frame[["run", "epoch"]].assign(lr=rates, bad_epochs=bads)
-
-    return points.mapInPandas(
+    run_type = points.schema["run"].dataType.simpleString()
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, (inf, 0, lr)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = batch["run"].dictionary_encode(null_encoding="encode").indices.to_numpy()
+            loss = batch["sum_loss"].cast("float64").to_numpy()
+            starts = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+            rates, bads = np.empty(len(loss)), np.empty(len(loss), dtype="int32")
+            for a, b in zip(starts, np.append(starts[1:], len(loss))):
+                name = (batch["run"][int(a)].as_py(),)
+                if a > 0 or name != last:
+                    state = (inf, 0, lr)
+                last = name
+                state = _walk(loss[a:b], state, rates[a:b], bads[a:b], factor, patience, threshold)
+            yield pa.RecordBatch.from_arrays(
+                [batch["run"], batch["epoch"], pa.array(rates), pa.array(bads)],
+                names=["run", "epoch", "lr", "bad_epochs"],
+            )
+
+    return points.mapInArrow(
         replay, f"run {run_type}, epoch long, lr double, bad_epochs int"
     ).withColumnsRenamed({"run": run, "epoch": epoch})
+
+
+def _walk(loss, state, rates, bads, factor, patience, threshold):
+    """Fill the rates and counts of one run's stretch; the state after it.
+
+    A better loss resets the best, so the next one is the first below the new
+    bound: found by a search that doubles its reach.
+    """
+    best, bad, rate = state
+    at, n = 0, len(loss)
+    while at < n:
+        bound, reach, event = best * (1 - threshold), 16, n
+        begin = at
+        while begin < n:
+            hit = np.flatnonzero(loss[begin : begin + reach] < bound)
+            if len(hit):
+                event = begin + int(hit[0])
+                break
+            begin, reach = begin + reach, reach * 2
+        # Epochs without a gain: the count runs from 0 to patience, each wrap cuts the rate.
+        counts = bad + 1 + np.arange(event - at)
+        cuts = counts // (patience + 1)
+        rates[at:event] = rate * np.power(float(factor), cuts)
+        bads[at:event] = counts % (patience + 1)
+        if event > at:
+            rate, bad = float(rates[event - 1]), int(bads[event - 1])
+        if event < n:
+            best, bad = float(loss[event]), 0
+            rates[event], bads[event] = rate, 0
+        at = event + 1
+    return best, bad, rate

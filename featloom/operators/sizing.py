@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows a hinted broadcast may have. Statistics rows are a few hundred bytes, so
-# this stays near 10 MB, Spark's own automatic broadcast size.
-BROADCAST_ROWS = 50_000
+# Bytes a hinted broadcast may have: Spark's own automatic broadcast size.
+BROADCAST_BYTES = 10 << 20
+
+
+def row_bytes(df: DataFrame) -> int:
+    """Bytes of a row by its column types, texts and nested values taken as long ones."""
+    return sum(256 if f.dataType.simpleString()[:3] in ("str", "arr", "map") else 16 for f in df.schema)
 
 
 def has_at_most(df: DataFrame, rows: int) -> bool:
@@ -25,13 +29,19 @@ def broadcast_if_small(
     the statistics' key, which may have two values. ``probe`` is a cheaper
     frame of the same row count, such as the distinct group keys.
     """
-    limit = BROADCAST_ROWS if rows is None else rows
+    limit = BROADCAST_BYTES // row_bytes(small) if rows is None else rows
     return F.broadcast(small) if has_at_most(small if probe is None else probe, limit) else small
 
 
 def width_of(df: DataFrame, vec: str) -> int:
-    """Vector width, from one row: plan-time metadata like a column list."""
-    row = df.select(F.size(vec).alias("n")).where(F.col(vec).isNotNull()).first()
-    if row is None:
+    """The one width of all vectors of a column, from every row; different widths are an error.
+
+    Reads the column's sizes now: pass the width where it is known and keep the plan lazy.
+    """
+    size = F.when(F.col(vec).isNotNull(), F.size(vec))
+    row = df.agg(F.min(size).alias("least"), F.max(size).alias("most")).first()
+    if row["most"] is None:
         raise ValueError(f"no vector in column {vec!r}: pass the width")
-    return row["n"]
+    if row["least"] != row["most"]:
+        raise ValueError(f"vectors of widths {row['least']} to {row['most']} in {vec!r}")
+    return row["most"]

@@ -14,14 +14,20 @@ from featloom.sources.media import manifest
 def encode_corpora(
     segments: DataFrame,
     make_model: Callable[[], encode.Model],
+    dims: int,
     inputs: list[str],
     target: str,
     quarantine: str,
     batch_size: int = 64,
 ) -> None:
-    """Unit vectors per segment to ``target``, one folder per corpus; failures apart."""
+    """Unit vectors per segment to ``target``, one folder per corpus; failures apart.
+
+    An output that exists is an error before the model starts.
+    """
+    tables.refuse_existing(segments.sparkSession, target, quarantine)
+    ids = ["dataset_name", "message_id"]
     good, bad = encode.batch_encode(
-        segments, make_model, ["dataset_name", "message_id"], inputs, batch_size, normalize=True
+        segments, make_model, dims, ids, inputs, batch_size, normalize=True
     )
     tables.write_embeddings(good, target)
     bad.write.mode("errorifexists").parquet(quarantine)
@@ -31,12 +37,14 @@ def encode_files(
     spark: SparkSession,
     path: str,
     make_model: Callable[[], encode.Model],
+    dims: int,
     target: str,
     quarantine: str,
     batch_size: int = 64,
 ) -> None:
     """Vectors of the media files at ``path``; the model gets their paths."""
+    tables.refuse_existing(spark, target, quarantine)
     files = manifest(spark, path).select("path")
-    good, bad = encode.batch_encode(files, make_model, ["path"], ["path"], batch_size)
+    good, bad = encode.batch_encode(files, make_model, dims, ["path"], ["path"], batch_size)
     tables.write_by_path(good, target)
     bad.write.mode("errorifexists").parquet(quarantine)

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import os
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from featloom import fixed
 from featloom.operators import groupfeats, reshape
 from featloom.sinks import tables
-from featloom.sources.csv import read_csv
+from featloom.sources.csv import read_csv, read_wide_csv
 
 
 def corpus_for(path: str) -> str:
@@ -38,9 +40,14 @@ def user_feature_table(
 
 
 def cohort_feature_table(corpora: dict[str, DataFrame], ids: DataFrame) -> DataFrame:
-    """Features of the segments in an id list, without aggregation, as a long table."""
-    kept = {name: groupfeats.cohort(df, ids) for name, df in corpora.items()}
-    rows = groupfeats.tagged_union(kept).drop("dataset_name")
+    """Features of the segments in an id list, without aggregation, as a long table.
+
+    The corpora are put together first, so that the id list is read and joined once.
+    """
+    rows = reduce(
+        lambda a, b: a.unionByName(b, allowMissingColumns=True), corpora.values()
+    )
+    rows = groupfeats.cohort(rows, ids)
     if "embedding" in rows.columns:
         long = reshape.vec_to_long(rows, ["message_id"], "embedding")
     else:
@@ -61,19 +68,20 @@ def fill_user_features(
 ) -> None:
     """CSV files in, long feature table out; the corpus sets the id type."""
     id_type = fixed.CORPUS_ID_TYPES[corpus_for(features_csv)]
-    segments = read_csv(spark, segments_csv).select("user_id", "message_id")
-    table = user_feature_table(segments, read_csv(spark, features_csv), id_type)
+    ids = T.StructType([T.StructField(n, T.StringType()) for n in ("user_id", "message_id")])
+    feats = read_wide_csv(spark, features_csv, ["message_id"])
+    table = user_feature_table(read_csv(spark, segments_csv, ids), feats, id_type)
     tables.write_long(table, target)
 
 
 def fill_cohort_features(spark: SparkSession, folder: str, ids_csv: str, target: str) -> None:
     """The embedding CSV of every corpus in, cohort rows out, without aggregation."""
-    text_id = F.col("message_id").cast("string").alias("message_id")
-    corpora = {}
-    for corpus in fixed.CORPUS_ID_TYPES:
-        wide = read_csv(spark, f"{folder}/{corpus}_embeddings.csv")
-        corpora[corpus] = wide.withColumn("message_id", text_id)
-    ids = read_csv(spark, ids_csv).select(text_id)
+    corpora = {
+        corpus: read_wide_csv(spark, f"{folder}/{corpus}_embeddings.csv", ["message_id"])
+        for corpus in fixed.CORPUS_ID_TYPES
+    }
+    id_only = T.StructType([T.StructField("message_id", T.StringType())])
+    ids = read_csv(spark, ids_csv, id_only)
     tables.write_long(cohort_feature_table(corpora, ids), target)
 
 
@@ -83,4 +91,4 @@ def csv_to_long(spark: SparkSession, csv: str, group: str, target: str) -> None:
         id_type = fixed.CORPUS_ID_TYPES[corpus_for(csv)]
     except ValueError:
         id_type = "string"
-    tables.write_long(frame_to_long(read_csv(spark, csv), group, id_type), target)
+    tables.write_long(frame_to_long(read_wide_csv(spark, csv, [group]), group, id_type), target)

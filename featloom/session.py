@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -15,6 +17,8 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Without the call site of every expression: plans with hundreds of cells build faster.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # Checkpoint files go when nothing refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -42,5 +46,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             if not sc.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a shared folder")
             current = tempfile.mkdtemp(prefix="featloom-checkpoint-")
+            atexit.register(shutil.rmtree, current, ignore_errors=True)
         sc.setCheckpointDir(current)
     return current

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -168,6 +168,15 @@ def write_long(long: DataFrame, path: str, mode: str = "errorifexists") -> None:
     )
 
 
+def refuse_existing(spark: SparkSession, *paths: str) -> None:
+    """An error, before any work, if one of the outputs is there already."""
+    for path in paths:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if system.exists(target):
+            raise ValueError(f"output exists: {path}")
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """A folder of CSV files, each with the header."""
     df.write.mode(mode).option("header", True).option("escape", '"').csv(path)

@@ -35,17 +35,18 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
         kinds = [s[1:] for s in fixed.MEDIA_SUFFIXES]
         kinds += [k.upper() for k in kinds]
         reader = reader.option("pathGlobFilter", "*.{" + ",".join(kinds) + "}")
-    return (
-        reader.load(path)
-        .select(
-            "path",
-            text.stem(F.col("path")).alias("stem"),
-            text.suffix(F.col("path")).alias("suffix"),
-            "length",
-            F.col("modificationTime").alias("modified"),
-        )
-        .orderBy("path")
-    )
+    return listing(reader.load(path))
+
+
+def listing(files: DataFrame) -> DataFrame:
+    """``path, stem, suffix, length, modified`` of file rows, sorted by path."""
+    return files.select(
+        "path",
+        text.stem(F.col("path")).alias("stem"),
+        text.suffix(F.col("path")).alias("suffix"),
+        "length",
+        F.col("modificationTime").alias("modified"),
+    ).orderBy("path")
 
 
 def with_corpus(df: DataFrame, file: str | None = None) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from featloom.functions.stats import log_two_sided_p
 from featloom.operators import compare, reshape
 from featloom.plans.model_comparison import compare_models
 from featloom.workload.registry import query, r6
-from featloom.workload.tables import FEATS
 
 ALIGNED = """
     SELECT t.user_id, t.feat, t.value AS truth, b.value AS baseline, p.value AS pred
@@ -76,7 +76,36 @@ def paired_ttest(v):
 @query("AGG-8 RSH-1 PRJ-2 SRT-2", TTEST)
 def model_comparison(v):
     """The whole job from a wide truth table."""
-    truth = reshape.to_wide(v.truth_long, "user_id", FEATS)
+    truth = reshape.to_wide(v.truth_long, "user_id")
     return _rounded(compare_models(truth, v.baseline, v.pred)).select(
         "feat", F.col("n"), "t_statistic", "p_value"
     )
+
+
+# One test per user of the values against 0: at these t almost every p is far below 1e-6.
+USER_TESTS = """
+    WITH s AS (SELECT user_id, count(value) AS n,
+                      avg(value) / (stddev_samp(value) / sqrt(count(value))) AS t
+               FROM {events} GROUP BY user_id HAVING count(value) > 2),
+    q AS (SELECT user_id, n, t, n - 1 AS nu, atan(abs(t) / sqrt(n - 1)) AS lo FROM s),
+    p AS (SELECT user_id, sum((CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
+                              * pow(cos(lo + (pi() / 2 - lo) * i / 4000), nu - 1))
+                          * (pi() / 2 - lo) / 12000 AS tail
+          FROM q, range(4001) AS r(i) GROUP BY user_id, lo, nu)
+    SELECT q.user_id, q.n, round(q.t, 6) + 0.0 AS t_statistic,
+           round(ln(2 * p.tail) + lgamma((nu + 1) / 2) - lgamma(nu / 2) - ln(pi()) / 2, 5) + 0.0
+           AS log_p
+    FROM q JOIN p ON p.user_id = q.user_id"""
+
+
+@query("AGG-8", USER_TESTS)
+def user_mean_tests(v):
+    """Relative precision of p far in the tail."""
+    tests = v.events.groupBy("user_id").agg(
+        F.count("value").alias("n"),
+        (F.avg("value") / (F.stddev_samp("value") / F.sqrt(F.count("value")))).alias("t"),
+    )
+    log_p = log_two_sided_p(F.col("t"), (F.col("n") - 1).cast("double"))
+    return tests.where("n > 2").select(
+        "user_id", "n", r6("t").alias("t_statistic"), (F.round(log_p, 5) + 0.0).alias("log_p")
+    )

@@ -101,7 +101,7 @@ FEATURES = """SELECT message_id, message,
 )
 def encoded_messages(v):
     rows = encode.encode_rows(
-        v.messages, _text_model, ["message_id"], ["message"], batch_size=32, normalize=True
+        v.messages, _text_model, 3, ["message_id"], ["message"], batch_size=32, normalize=True
     )
     return cells(rows, ["message_id"], "embedding", 4)
 
@@ -112,7 +112,7 @@ def encoded_messages(v):
         FROM ({FEATURES}), range(1, 4) AS d(i) WHERE length(message) <= 300""",
 )
 def encoded_good_rows(v):
-    rows = encode.encode_rows(v.messages, _picky_model, ["message_id"], ["message"], 32)
+    rows = encode.encode_rows(v.messages, _picky_model, 3, ["message_id"], ["message"], 32)
     return cells(encode.split_encoded(rows)[0], ["message_id"], "embedding", 4)
 
 
@@ -122,5 +122,5 @@ def encoded_good_rows(v):
        WHERE length(message) > 300""",
 )
 def quarantined_rows(v):
-    rows = encode.encode_rows(v.messages, _picky_model, ["message_id"], ["message"], 32)
+    rows = encode.encode_rows(v.messages, _picky_model, 3, ["message_id"], ["message"], 32)
     return encode.split_encoded(rows)[1]

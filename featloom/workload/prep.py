@@ -4,11 +4,12 @@ from pyspark.sql import functions as F
 
 from featloom import fixed
 from featloom.operators import index, prep
+from featloom.plans.training_prep import prepare_batches
 from featloom.workload.registry import cells, longs, query, r6
 
 OUTCOMES = fixed.OUTCOMES
-# An arithmetic shuffle key over [0, 2^32) that SQL can state too.
-SPREAD = "(message_id * 2654435761) % 4294967296"
+# An arithmetic shuffle key over [0, 2^32) that SQL can state too; no id overflows it.
+SPREAD = "((message_id % 4294967296) * 1640531527) % 4294967296"
 
 
 @query(
@@ -88,9 +89,65 @@ def hashed_batch_sizes(v):
     return prep.row_counts(index.assign_batches(v.segments, 700, seed=3), "batch_id")
 
 
-@query("SRT-4")
+@query(
+    "SRT-4",
+    f"""SELECT user_id, message_id, row_number() OVER (ORDER BY {SPREAD}) - 1 AS place
+        FROM {{segments}} ORDER BY place""",
+)
 def shuffled_segments(v):
-    return index.shuffled(v.segments.select("user_id", "message_id"), ["message_id"], seed=11)
+    """The shuffled order, each row with its place in it."""
+    rows = v.segments.select("user_id", "message_id")
+    placed = index.dense_index(rows, shuffle_key=F.expr(SPREAD), out="place")
+    return index.shuffled(placed, ["message_id"], shuffle_key=F.expr(SPREAD))
+
+
+PREPARED = """
+    WITH scaled AS (
+        SELECT message_id, dataset_name,
+               (ope - avg(ope) OVER w) / stddev_samp(ope) OVER w AS ope,
+               (agr - avg(agr) OVER w) / stddev_samp(agr) OVER w AS agr
+        FROM {segments} WINDOW w AS (PARTITION BY dataset_name)),
+    said AS (
+        SELECT s.*, regexp_split_to_array(m.message, ' ')[1:12] AS tokens
+        FROM scaled s JOIN (SELECT event_id AS message_id, concat_ws(' ', event_type, 'at',
+                                   cast(event_id % 7 AS varchar)) AS message FROM events) m
+        USING (message_id)),
+    split AS (
+        SELECT *, row_number() OVER (ORDER BY {SPREAD}) AS n, count(*) OVER () AS total FROM said),
+    tagged AS (
+        SELECT *, CASE WHEN n <= floor(0.8 * total) THEN 'train' ELSE 'validation' END AS split
+        FROM split),
+    dealt AS (
+        SELECT *, (row_number() OVER (PARTITION BY split ORDER BY {SPREAD}) - 1) // 32 AS batch_id
+        FROM tagged)
+    SELECT message_id, split, cast(batch_id AS bigint) AS batch_id, round(ope, 6) + 0.0 AS ope,
+           round(agr, 6) + 0.0 AS agr, len(tokens) AS ones,
+           max(len(tokens)) OVER (PARTITION BY split, batch_id) AS width
+    FROM dealt""".replace("{SPREAD}", SPREAD)
+
+
+@query("SET-1 VEC-9 WIN-6 WIN-7 VEC-8", PREPARED)
+def training_batches(v):
+    """The whole preparation job."""
+    message = F.concat_ws(" ", "message", F.lit("at"), (F.col("message_id") % 7).cast("string"))
+    rows = v.segments.select("message_id", "dataset_name", "ope", "agr", message.alias("message"))
+    corpora = {
+        name: rows.where(F.col("dataset_name") == name).drop("dataset_name") for name in ("a", "b")
+    }
+    made = prepare_batches(
+        corpora, 32, 0.8, cols=["ope", "agr"], max_length=12, shuffle_key=F.expr(SPREAD)
+    )
+    ones = F.aggregate("attention_mask", F.lit(0), lambda a, m: a + m)
+    out = made.select(
+        "message_id",
+        "split",
+        "batch_id",
+        r6("ope").alias("ope"),
+        r6("agr").alias("agr"),
+        ones.alias("ones"),
+        F.size("attention_mask").alias("width"),
+    )
+    return longs(out, "ones", "width")
 
 
 @query(

@@ -6,7 +6,8 @@ from featloom import fixed
 from featloom.functions import text
 from featloom.operators import encode, groupfeats, prep, reshape
 from featloom.plans import feature_tables
-from featloom.sources import media
+from featloom.sinks import tables
+from featloom.sources import csv, media
 from featloom.workload.registry import cells, longs, query, r6
 
 OUTCOMES = fixed.OUTCOMES
@@ -215,8 +216,9 @@ FEATS = ["click", "error", "purchase", "signup", "view"]
     + " FROM {truth_long} GROUP BY user_id",
 )
 def truth_wide(v):
-    wide = reshape.to_wide(v.truth_long, "user_id", FEATS)
-    return wide.select("user_id", *[r6(f).alias(f) for f in FEATS])
+    wide = reshape.to_wide(v.truth_long, "user_id")
+    names = reshape.feature_columns(wide, ["user_id"])
+    return wide.select("user_id", *[r6(f).alias(f) for f in names])
 
 
 @query(
@@ -275,6 +277,63 @@ def corpus_union(v):
     return longs(union.select("dataset_name", "message_id", "n", "lang", "role"), "n")
 
 
+@query(
+    "PRJ-7",
+    """SELECT cast(user_id AS int) AS user_id, cast(message_id AS varchar) AS message_id, filename,
+              message, round(cast(cast(ope AS float) AS double), 4) + 0.0 AS ope,
+              round(cast(cast(agr AS float) AS double), 4) + 0.0 AS agr
+       FROM {segments}""",
+)
+def typed_segments(v):
+    rows = v.segments.select("user_id", "message_id", "filename", "message", "ope", "agr")
+    floats = {c: F.round(F.col(c).cast("double"), 4) + F.lit(0.0) for c in ("ope", "agr")}
+    return tables.typed(rows).withColumns(floats)
+
+
+@query(
+    "SRT-3 SRC-3",
+    r"""SELECT path, regexp_replace(regexp_extract(path, '[^/]*$'), '^(.+)\.[^.]+$', '\1') AS stem,
+              lower(regexp_extract(regexp_extract(path, '[^/]*$'), '^.+(\.[^.]+)$', 1)) AS suffix,
+              length, modified
+       FROM (SELECT concat('/media/', filename) AS path, cast(message_id * 16 AS bigint) AS length,
+                    message_id AS modified FROM {segments})
+       ORDER BY path""",
+)
+def media_files(v):
+    files = v.segments.select(
+        F.concat(F.lit("/media/"), "filename").alias("path"),
+        (F.col("message_id") * 16).cast("long").alias("length"),
+        F.col("message_id").alias("modificationTime"),
+    )
+    return media.listing(files)
+
+
+# Texts a CSV column may hold, made from the events: numbers, Java's number suffixes, missing tokens.
+CELLS = """
+    SELECT event_id,
+           CASE WHEN event_id % 11 = 0 THEN 'NA' ELSE cast(event_id AS varchar(20)) END AS whole,
+           CASE WHEN event_id % 5 = 0 THEN 'null' WHEN event_id % 3 = 0
+                THEN concat(cast(event_id AS varchar(20)), 'e-1')
+                ELSE concat(cast(event_id AS varchar(20)), '.5') END AS number,
+           CASE WHEN event_id % 2 = 0 THEN concat(cast(event_id AS varchar(20)), 'f')
+                ELSE concat(cast(event_id AS varchar(20)), 'd') END AS id,
+           CASE WHEN event_id % 7 = 0 THEN '<NA>' ELSE event_type END AS word
+    FROM {events}"""
+
+
+@query(
+    "SRC-1",
+    f"""SELECT event_id, round(CASE WHEN whole <> 'NA' THEN cast(whole AS double) END, 6) AS whole,
+               round(CASE WHEN number <> 'null' THEN cast(number AS double) END, 6) AS number,
+               id, CASE WHEN word <> '<NA>' THEN word END AS word
+        FROM ({CELLS})""",
+)
+def typed_cells(v):
+    texts = v.spark.sql(CELLS, events=v.events)
+    made = csv.typed_cells(texts.withColumn("event_id", F.col("event_id").cast("string")))
+    return made.withColumns({c: F.round(c, 6) for c in ("whole", "number")})
+
+
 IDS = [("customer", "c_custkey"), ("orders", "o_custkey"), ("events", "user_id")]
 
 

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from featloom.operators import contrastive
 
@@ -123,3 +124,61 @@ def test_similarity_sums(spark):
         assert (r.pairs, r.positive, r.total) == (
             len(x), pytest.approx(np.trace(s)), pytest.approx(s.sum())
         )
+
+
+def test_missing_vectors_do_not_count(spark):
+    df, batches = pairs(spark, [6])
+    x, y, _ = batches[0]
+    holes = df.withColumns(
+        {
+            "x": F.when(F.col("id") != 2, F.col("x")),
+            "y": F.when(F.col("id") != 4, F.col("y")),
+        }
+    )
+    keep = [0, 1, 3, 5]
+    want = brute_nce(x[keep], y[keep], 0.1)
+    assert losses(contrastive.nce(holes))[0] == pytest.approx(want, abs=1e-9)
+
+
+@pytest.mark.parametrize("side", ["x", "y"])
+def test_ragged_vectors_are_an_error(spark, side):
+    df, _ = pairs(spark, [4])
+    ragged = df.withColumn(side, F.when(F.col("id") == 1, F.slice(side, 1, 3)).otherwise(F.col(side)))
+    with pytest.raises(Exception, match="different widths"):
+        contrastive.nce(ragged).collect()
+
+
+@pytest.mark.parametrize("tau", [1e-3, 1e-4])
+@pytest.mark.parametrize("block", [1024, 5])
+def test_small_tau_does_not_underflow(spark, monkeypatch, tau, block):
+    monkeypatch.setattr(contrastive, "BLOCK_ROWS", block)
+    df, batches = pairs(spark, [12])
+    x, y, _ = batches[0]
+    z = unit(np.vstack([x, y]))
+    s = z @ z.T / tau
+    np.fill_diagonal(s, -np.inf)
+    top = s.max(axis=1)
+    total = top + np.log(np.exp(s - top[:, None]).sum(axis=1))
+    want = sum(total[i] - s[i, i + 12] for i in range(12))
+    assert losses(contrastive.nce(df, tau=tau))[0] == pytest.approx(want, rel=1e-9)
+
+
+def test_labels_may_be_text_and_null_is_nobodys_mate(spark):
+    df, batches = pairs(spark, [14], labels=3)
+    x, y, label = batches[0]
+    text = df.withColumn("label", F.concat(F.lit("l"), F.col("label").cast("string")))
+    want = brute_supervised(x, y, label, 0.1)
+    assert losses(contrastive.supervised(text))[0] == pytest.approx(want, abs=1e-9)
+    some = df.withColumn("label", F.when(F.col("label") > 0, F.col("label")))
+    own = np.where(label > 0, label, 100 + np.arange(14))
+    want = brute_supervised(x, y, own, 0.1)
+    assert losses(contrastive.supervised(some))[0] == pytest.approx(want, abs=1e-9)
+
+
+def test_no_job_before_the_action(spark):
+    df, _ = pairs(spark, [9, 3])
+    spark.sparkContext.setJobGroup("loss-plan", "planning only")
+    contrastive.nce(df)
+    contrastive.supervised(df)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("loss-plan")
+    spark.sparkContext.setJobGroup("tests", "")

@@ -31,7 +31,7 @@ def segments(spark, n=23, bad=(7, 15)):
 
 @pytest.mark.parametrize("batch_size", [1, 4, 64])
 def test_only_the_failing_rows_are_quarantined(spark, batch_size):
-    rows = encode.encode_rows(segments(spark), model_of(), ["message_id"], ["message"], batch_size)
+    rows = encode.encode_rows(segments(spark), model_of(), 2, ["message_id"], ["message"], batch_size)
     good, bad = encode.split_encoded(rows)
     assert {r.message_id: list(r.embedding) for r in good.collect()} == {
         f"m{i}": [i + 1.0, 3.0] for i in range(23) if i not in (7, 15)
@@ -43,17 +43,17 @@ def test_only_the_failing_rows_are_quarantined(spark, batch_size):
 
 def test_normalize_and_wrong_shape(spark):
     df = segments(spark, bad=())
-    rows = encode.encode_rows(df, model_of(), ["message_id"], ["message"], normalize=True)
+    rows = encode.encode_rows(df, model_of(), 2, ["message_id"], ["message"], normalize=True)
     norms = [np.linalg.norm(r.embedding) for r in rows.collect()]
     assert np.allclose(norms, 1, atol=1e-6)
-    short = encode.encode_rows(df, lambda: lambda b: np.ones((len(b) + 1, 2)), ["message_id"], ["message"])
+    short = encode.encode_rows(df, lambda: lambda b: np.ones((len(b) + 1, 2)), 2, ["message_id"], ["message"])
     assert short.where("error like 'ValueError%'").count() == 23
 
 
 def test_the_model_runs_once_for_both_outputs(spark):
     calls = spark.sparkContext.accumulator(0)
     good, bad = encode.batch_encode(
-        segments(spark, bad=()), model_of(calls), ["message_id"], ["message"]
+        segments(spark, bad=()), model_of(calls), 2, ["message_id"], ["message"]
     )
     assert (good.count(), bad.count(), good.count()) == (23, 0, 23)
     assert calls.value == 23
@@ -67,24 +67,24 @@ def test_the_model_is_built_once_per_worker(spark):
         return lambda batch: np.ones((len(batch), 2))
 
     df = segments(spark, 200).repartition(40)
-    assert encode.encode_rows(df, make, ["message_id"], ["message"], 5).count() == 200
+    assert encode.encode_rows(df, make, 2, ["message_id"], ["message"], 5).count() == 200
     assert 1 <= built.value <= spark.sparkContext.defaultParallelism
 
 
 def test_empty_table(spark):
-    rows = encode.encode_rows(segments(spark).limit(0), model_of(), ["message_id"], ["message"])
+    rows = encode.encode_rows(segments(spark).limit(0), model_of(), 2, ["message_id"], ["message"])
     assert rows.count() == 0 and rows.columns == ["message_id", "embedding", "error"]
 
 
 def test_corpora_are_written_apart_and_never_over_each_other(spark, tmp_path):
     target, quarantine = str(tmp_path / "emb"), str(tmp_path / "bad")
-    encode_corpora(segments(spark), model_of(), ["message"], target, quarantine)
+    encode_corpora(segments(spark), model_of(), 2, ["message"], target, quarantine)
     written = spark.read.parquet(target)
     assert {r.dataset_name: r["count"] for r in written.groupBy("dataset_name").count().collect()} \
         == {"a": 12, "b": 9}
     assert spark.read.parquet(quarantine).count() == 2
-    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
-        encode_corpora(segments(spark), model_of(), ["message"], target, str(tmp_path / "x"))
+    with pytest.raises(Exception, match="output exists"):
+        encode_corpora(segments(spark), model_of(), 2, ["message"], target, str(tmp_path / "x"))
 
 
 def test_files_are_encoded_by_path(spark, tmp_path):
@@ -98,7 +98,7 @@ def test_files_are_encoded_by_path(spark, tmp_path):
         return model
 
     out = str(tmp_path / "out")
-    encode_files(spark, str(tmp_path), make, out, str(tmp_path / "bad"))
+    encode_files(spark, str(tmp_path), make, 2, out, str(tmp_path / "bad"))
     table = spark.read.parquet(out)
     assert sorted(r.stem for r in table.collect()) == ["a", "a", "b"]
     last = {r.stem: r.path.rsplit("/", 1)[1] for r in encode.last_write_wins(table).collect()}

@@ -40,7 +40,7 @@ def test_row_local_operators_agree_with_batch(spark, tmp_path):
         "long": lambda d: reshape.to_long(d, ["message_id"], ["ope"]),
         "cohort": lambda d: groupfeats.cohort(d.select("message_id", "ope"), ids),
         "paths": lambda d: media.with_media_path(d, {"a": "/m"}).select("path"),
-        "encoded": lambda d: encode.encode_rows(d, model, ["message_id"], ["message"]),
+        "encoded": lambda d: encode.encode_rows(d, model, 2, ["message_id"], ["message"]),
     }
     for name, shape in shapes.items():
         want = sorted(map(tuple, shape(batch).collect()), key=str)
