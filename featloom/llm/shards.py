@@ -2,8 +2,9 @@
 
 Documents start in shards by the hash of their id. In each round every linked document learns, from
 aggregated votes, which shard most of its neighbours are in, and asks to move there; a shard admits
-as many as its quota leaves room for, whole groups first. At the end documents of overfull shards,
-unlinked ones first, fill the others, so that the counts of two shards differ by one at most.
+linked documents up to an equal share of all documents, whole groups together. At the end documents
+of overfull shards, unlinked ones first, fill the others, so that the counts of two shards differ by
+one at most; unlinked documents cut nothing wherever they go.
 
 Links are given by group: rows with the same non-null group value are all neighbours of one another,
 which is never written out as pairs. Votes are sums by group and shard, at most ``shards`` numbers a
@@ -25,8 +26,6 @@ from .common import checkpoint
 
 SHARDS = 8
 ROUNDS = 2
-#: Room above an equal share while documents still move.
-SLACK = 0.05
 BUCKETS = 512
 
 
@@ -83,8 +82,6 @@ def _round(rows: DataFrame, room: int, shards: int) -> DataFrame:
     )
     stay = (
         asked.where(F.col("__target") == F.col("__shard"))
-        .select("__shard")
-        .unionByName(rows.where(~F.col("__linked")).select("__shard"))
         .groupBy("__shard")
         .agg(F.count("*").alias("__stay"))
         .withColumnRenamed("__shard", "__target")
@@ -154,7 +151,7 @@ def propagate(
         )
     )
     total = base.count()
-    room = int(total / shards * (1 + SLACK)) + 1
+    room = max(total // shards, 1)
     groups = (
         base.where("__group_hash IS NOT NULL")
         .groupBy("__group_hash")
