@@ -39,15 +39,19 @@ def _byte_values() -> np.ndarray:
     return values[_FOLD]
 
 
-@cache
+_TABLES: list[tuple[np.ndarray, np.ndarray]] = []
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, for at least ``n`` places."""
-    out = []
-    for base in (_P, pow(_P, -1, 1 << 64)):
-        p = np.full(n + 1, base, np.uint64)
-        p[0] = 1
-        out.append(np.cumprod(p, dtype=np.uint64))
-    return out[0], out[1]
+    """Powers of an odd number and of its inverse, for at least ``n`` places; one table at a time."""
+    if not _TABLES or len(_TABLES[0][0]) <= n:
+        out = []
+        for base in (_P, pow(_P, -1, 1 << 64)):
+            p = np.full(n + 1, base, np.uint64)
+            p[0] = 1
+            out.append(np.cumprod(p, dtype=np.uint64, out=p))
+        _TABLES[:] = [(out[0], out[1])]
+    return _TABLES[0]
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
