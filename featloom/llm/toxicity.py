@@ -52,7 +52,7 @@ FEATURES = (
 
 _PUNCTUATION = str.maketrans({c: " " for c in ".,;:!?\"()[]{}<>|/\\-–—…«»“”„#%&*$+=~^_`"})
 _LEET = str.maketrans("013457@$!", "oieastasi")
-_LEET_WORD = re.compile(r"[a-z][a-z0-9@$!*]*[0-9@$!*][a-z0-9@$!*]*")
+_LEET_WORD = re.compile(r"[a-z0-9@$!*]*[a-z][a-z0-9@$!*]*")
 
 _UPPER, _LOWER, _DIGIT, _SHOUT, _ASK, _PUNCT, _SYMBOL, _OTHER = range(8)
 _CLASS = np.full(256, _OTHER, np.uint8)
@@ -117,7 +117,8 @@ def _word_features(row, text: str, lexicon, known, hidden: bool) -> None:
             near = sum(not ADDRESS.isdisjoint(words[max(0, i - NEAR) : i + NEAR + 1]) for i in at)
             row[5] = near / n
     if hidden:
-        plain = (w.translate(_LEET).replace("*", "") for w in _LEET_WORD.findall(low))
+        found = (w.rstrip("!") for w in _LEET_WORD.findall(low))
+        plain = (w.translate(_LEET).replace("*", "") for w in found if not w.isalpha())
         row[13] = sum(w in known for w in plain) / n
 
 

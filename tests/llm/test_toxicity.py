@@ -1,0 +1,72 @@
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from featloom.llm import toxicity as tx
+from tests.llm.helpers import ODD, empty_docs, odd_docs, run, table
+from tests.oracle import DATA
+
+FOLDER = f"{DATA}/sf0.1"
+
+
+def area(score, label):
+    """Share of (toxic, other) pairs in the right order; ties count half."""
+    order = np.argsort(score, kind="stable")
+    rank = np.empty(len(score))
+    rank[order] = np.arange(1, len(score) + 1)
+    for value in np.unique(score):
+        rank[score == value] = rank[score == value].mean()
+    n = int(label.sum())
+    return (rank[label == 1].sum() - n * (n + 1) / 2) / (n * (len(label) - n))
+
+
+def test_query_on_held_out_documents(spark):
+    rows = {r.doc_id: r for r in run(spark, "op3_toxicity", FOLDER).collect()}
+    assert len(rows) == len(table("documents", FOLDER))
+    for r in rows.values():
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        assert 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3)
+    held = [(rows[d], t) for d, _, t in table("labels", FOLDER) if rows[d].held_out]
+    score, label = np.array([r.score for r, _ in held]), np.array([t for _, t in held])
+    found = np.array([r.predicted for r, _ in held])
+    assert area(score, label) > 0.93
+    assert found[label == 1].mean() > 0.7 and found[label == 0].mean() < 0.03
+
+
+def test_features():
+    texts = ["You IDIOT, you st0pid 1d10t cl0wn!!", "", None, "plain words only here", "you are kind"]
+    x = tx.features(pa.array(texts), frozenset(["clown"]))
+    at = tx.FEATURES.index
+    assert x[0, at("general_density")] > 0 and x[0, at("address_near")] > 0
+    assert x[0, at("obfuscated")] > 0 and x[0, at("obfuscated_hits")] > 0
+    assert x[0, at("capitals")] > x[3, at("capitals")]
+    assert x[0, at("exclamations")] == pytest.approx(2 / 35)
+    assert x[1].tolist() == x[2].tolist() == [0.0] * len(tx.FEATURES)
+    assert x[4, at("address_density")] == pytest.approx(1 / 3) and x[4, at("address_near")] == 0
+
+
+def test_trees_and_isotonic_steps():
+    rng = np.random.default_rng(2)
+    x = rng.random((4000, 5))
+    p = np.where((x[:, 1] > 0.6) & (x[:, 3] < 0.5), 0.9, 0.05)
+    y = (rng.random(4000) < p).astype(float)
+    forest = tx.boost(x, y)
+    centre, share = tx.isotonic(forest.margin(x), y)
+    assert (np.diff(centre) > 0).all() and (np.diff(share) >= 0).all()
+    found = np.interp(forest.margin(x), centre, share)
+    assert np.abs(found - p).mean() < 0.08
+    assert area(forest.margin(x), y) > 0.9
+
+
+def test_odd_rows_and_empty_tables(spark):
+    labels = spark.createDataFrame([(4, 1), (8, 0), (6, 0), (99, 1), (5, None)], "doc_id long, toxic int")
+    scorer = tx.learn(odd_docs(spark), labels)
+    rows = tx.score(odd_docs(spark), scorer, ["doc_id", "kept"]).collect()
+    assert len(rows) == len(ODD) and all(0 <= r.score <= 1 for r in rows)
+    assert tx.score(empty_docs(spark), scorer, ["doc_id"]).count() == 0
+    none = tx.learn(empty_docs(spark), labels.limit(0))
+    assert all(0 <= r.score <= 1 for r in tx.score(odd_docs(spark), none, ["doc_id"]).collect())
+    with pytest.raises(ValueError, match="score"):
+        tx.score(odd_docs(spark), scorer, ["score"])
