@@ -109,6 +109,27 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op9_minhash": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+            FROM documents),
+        sets AS (
+            SELECT doc_id, CASE WHEN len(w) >= 5
+                THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+                WHEN len(w) > 0 THEN [array_to_string(w, ' ') || ' ' || len(w)] ELSE [] END AS s
+            FROM words),
+        grams AS (SELECT doc_id, len(s) AS n, hash(g) AS g FROM sets, unnest(s) AS u(g)),
+        links AS (
+            SELECT a.doc_id AS a, b.doc_id AS b
+            FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+        reach AS (
+            SELECT doc_id AS a, doc_id AS b FROM documents
+            UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+        SELECT s.doc_id, len(s.s) AS n_shingles, min(r.b) AS component_id, s.doc_id = min(r.b) AS kept
+        FROM sets s JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, s.s
+    """,
     "op8_url_filters": r"""
         WITH rules(host, path, verdict) AS (VALUES
             ('com', '/', 'allow'), ('example.com', '/en/', 'block'),

@@ -1,6 +1,7 @@
 import random
 import re
 
+import __spark_entry__ as entry
 import numpy as np
 import pytest
 
@@ -8,7 +9,7 @@ from featloom.llm import minhash as mh
 from featloom.llm.components import components
 from featloom.llm.shingles import shingle_rows, words
 from tests.llm.helpers import ODD, documents, empty_docs, odd_docs, run
-from tests.oracle import DATA
+from tests.oracle import DATA, connect, duck_rows, spark_rows
 
 LAST = (1 << 63) - 1
 
@@ -65,6 +66,12 @@ def test_query_matches_brute_force(spark):
     assert rows(run(spark, "op9_minhash", folder)) == expected
 
 
+def test_query_matches_sql(spark):
+    folder = f"{DATA}/sf0.001"
+    sql = entry.oracle_sql()["op9_minhash"]
+    assert spark_rows(run(spark, "op9_minhash", folder)) == duck_rows(connect(folder), sql)
+
+
 @pytest.mark.parametrize("tile", [2048, 7])
 def test_families_of_near_copies(spark, monkeypatch, tile):
     """A family whose members are at all distances, chains, repeats and tiny texts; also cut in tiles."""
