@@ -40,8 +40,9 @@ CIRCLE = 1 << 20
 LEAST = 75
 #: Equal coordinates, of all, that a pair at the threshold has but for a chance of about 1e-7.
 AGREE = 150
-#: Classes of one hub in one tile.
+#: Classes, and shingles, of one hub in one part; a tile holds two parts.
 TILE = 2048
+TILE_SHINGLES = 2 << 20
 _LAST_ID = (1 << 63) - 1
 
 
@@ -109,9 +110,11 @@ def set_keys(df: DataFrame, keep: list[str], text_col: str = "text", bands: bool
 
 
 def _classes(df: DataFrame) -> DataFrame:
-    """(node, __id, __set, __bands): the distinct non-empty sets with their least id."""
+    """(node, __id, __n, __set, __bands): the distinct non-empty sets with their least id."""
     rows = set_keys(df, ["__id"], "__text", bands=True).where("__n > 0")
-    found = rows.groupBy("__set").agg(F.min("__id").alias("__id"), F.first("__bands").alias("__bands"))
+    found = rows.groupBy("__set").agg(
+        F.min("__id").alias("__id"), F.first("__n").alias("__n"), F.first("__bands").alias("__bands")
+    )
     return checkpoint(found.withColumn("node", F.monotonically_increasing_id()))
 
 
@@ -120,7 +123,9 @@ def _groups(classes: DataFrame) -> DataFrame:
     banded = classes.select("node", F.explode("__bands").alias("key"))
     hubs = banded.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
     members = checkpoint(banded.join(hubs, "key").select("hub", "node").distinct())
-    parts = members.groupBy("hub").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
+    sized = members.join(classes.select("node", "__n"), "node")
+    share = F.greatest(F.count("*") / TILE, F.sum("__n") / TILE_SHINGLES)
+    parts = sized.groupBy("hub").agg(F.ceil(share).cast("int").alias("parts"))
     return (
         members.join(parts, "hub")
         .groupBy("node")

@@ -123,12 +123,20 @@ def _settle(rows: DataFrame, total: int, shards: int) -> DataFrame:
     ranked = with_rank(rows, "__shard", _bucket(), _order(), "__rank").join(
         F.broadcast(spare), "__shard", "left"
     )
-    leaves = F.coalesce(F.col("__rank") < F.col("over"), F.lit(False))
-    place = F.col("past") + F.col("__rank")
+    place = F.when(F.col("__rank") < F.col("over"), F.col("past") + F.col("__rank"))
+    all_gaps = gaps.agg(F.collect_list(F.struct("__new", "from", "upto"))).scalar()
     return (
-        ranked.withColumn("__place", F.when(leaves, place))
-        .join(F.broadcast(gaps), (F.col("__place") >= F.col("from")) & (F.col("__place") < F.col("upto")), "left")
-        .withColumn("__shard", F.coalesce("__new", "__shard"))
+        ranked.withColumns({"__place": place, "__gaps": all_gaps})
+        .withColumn(
+            "__gap",
+            F.get(
+                F.filter(
+                    "__gaps", lambda g: (F.col("__place") >= g["from"]) & (F.col("__place") < g["upto"])
+                ),
+                F.lit(0),
+            ),
+        )
+        .withColumn("__shard", F.coalesce("__gap.__new", "__shard"))
         .select(rows.columns)
     )
 

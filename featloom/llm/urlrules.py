@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: URLs of one host in one part of the sweep.
-PART_ROWS = 20_000
+PART_ROWS = 4_000
 
 
 def host_of(url: Column) -> Column:
