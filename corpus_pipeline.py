@@ -16,9 +16,6 @@ from featloom.llm import decontam, langid, lattice, minhash, suffixdedup
 from featloom.llm.common import held_out, read
 from featloom.session import ensure_checkpoint_dir
 
-#: Documents whose best language has a smaller share than this are rejected, with those without letters.
-LEAST_LANGUAGE_SHARE = 0.3
-
 
 def _aside(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     """The columns under neutral names, so that none is called like a result."""
@@ -31,9 +28,9 @@ def _text(docs: DataFrame, names: list[str], column: str = "text") -> str:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter, without text, or of no language the network knows.
+    """Rejects documents whose language cannot be determined: without text or without a letter.
 
-    Learns from the labelled documents outside the held-out fifth; without any, only letters count.
+    A low score alone, as of a short text full of numbers, is no reason to lose a document. Learns from the labelled documents outside the held-out fifth; without any, only letters count.
     """
     known = docs.where(~held_out(F.col("doc_id"), 5, 0))
     try:
@@ -42,7 +39,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return docs.where(F.coalesce(F.regexp(F.col("text"), F.lit(r"\p{L}")), F.lit(False)))
     plain, names = _aside(docs)
     judged = langid.identify(plain, net, _text(docs, names), names)
-    good = judged.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SHARE))
+    good = judged.where(F.col("lang_pred") != langid.UNDETERMINED)
     return good.select(names).toDF(*docs.columns)
 
 
