@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -51,15 +52,31 @@ def blocks(offsets: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[tuple[int,
         start = end
 
 
+def frugal() -> None:
+    """Lets a Python worker give large arrays back at once, so that idle workers stay small.
+
+    Arrow allocates as numpy does, and the C library maps blocks above 256 KB on their own.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
+        libc.malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
 def map_arrow(
     df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str
 ) -> DataFrame:
     """``fn`` over the Arrow batches of each partition; state lives for one partition at most."""
 
     def run(batches):
+        frugal()
         for batch in batches:
             if batch.num_rows:
                 yield from fn(batch)
+        frugal()
 
     return df.mapInArrow(run, schema)
 

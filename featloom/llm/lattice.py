@@ -35,7 +35,7 @@ BLANK = 0x2581
 OWN_BLANK = 0x110000
 SEED = 1
 TEMPERATURE = 1.0
-_BLOCK = 1 << 20
+_BLOCK = 3 << 18
 _FILTER_BITS = 20
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, blocks, checkpoint, flat, map_arrow
+from .common import binary, blocks, checkpoint, flat, frugal, map_arrow
 from .components import components
 from .shingles import mix, shingle_rows, words
 
@@ -181,6 +181,7 @@ def similar(a: np.ndarray, b: np.ndarray, least: int = LEAST) -> bool:
 
 def _links(table: pa.Table) -> pa.Table:
     """A spanning forest of the links of one tile."""
+    frugal()
     column = table.column("node").to_numpy()
     node, first = np.unique(column, return_index=True)
     part = table.column("part").to_numpy()[first]

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, flat, partitions
+from .common import blocks, flat, frugal, partitions
 from .shingles import mix
 
 LENGTH = 50
@@ -446,15 +446,18 @@ def _plan(df: DataFrame, columns: list[str], id_col: str, text_col: str):
     dealt = rows.groupBy("__shard")
 
     def report(key, table):
+        frugal()
         return _report(table, key[0].as_py(), parts)
 
     def answer(table):
         return _answer(table)
 
     def send(key, table, shared):
+        frugal()
         return _send(table, np.unique(_joined(shared)), key[0].as_py(), parts)
 
     def solve(key, table):
+        frugal()
         return _solve(table, key[0].as_py())
 
     keys = dealt.applyInArrow(report, "bucket int, shard int, keys binary")
@@ -469,6 +472,7 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     both, parts = _plan(df, [], id_col, text_col)
 
     def cut(table, least):
+        frugal()
         data, offsets, gone = _covered(table, least, parts)
         n, rows = len(offsets) - 1, table.column("__id")
         removed = np.concatenate([[0], np.cumsum(gone, dtype=np.int32)])
@@ -512,6 +516,7 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     both, parts = _plan(df, columns, id_col, text_col)
 
     def cut(table, least):
+        frugal()
         data, offsets, gone = _covered(table, least, parts)
         kept = table.column(text_col).to_pylist()
         removed = np.concatenate([[0], np.cumsum(gone, dtype=np.int32)])
