@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from featloom.session import ensure_checkpoint_dir
 
 #: Bytes of text that a Python worker turns into arrays at a time; a longer text is a block alone.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 
 #: ASCII white space that separates words in all word rules here.
 WORD_SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -55,12 +55,14 @@ def blocks(offsets: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[tuple[int,
 def frugal() -> None:
     """Lets a Python worker give large arrays back at once, so that idle workers stay small.
 
-    Arrow allocates as numpy does, and the C library maps blocks above 256 KB on their own.
+    Arrow allocates as numpy does. The C library maps blocks above 8 MB on their own and keeps
+    smaller ones for the next use, up to a bound; what is free is given back between partitions.
     """
     pa.set_memory_pool(pa.system_memory_pool())
     try:
         libc = ctypes.CDLL(None)
-        libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
+        libc.mallopt(-3, 8 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD
         libc.malloc_trim(0)
     except (AttributeError, OSError):  # another C library
         return

@@ -17,7 +17,9 @@ matches never cross documents and are judged on the input.
 5. Shards compare these ids with their documents' own and cut the bytes.
 
 The text is shuffled once and that exchange is reused by steps 1, 3 and 5. A frequent passage costs
-each shard one copy. Nothing but blocks of numbers and shared text leaves a shard.
+each shard one copy. Nothing but blocks of numbers and shared text leaves a shard. A bucket holds all
+different surroundings of its minimisers: arrays stay at ``ARRAY_BYTES``, but one 16-byte string with
+very many different surroundings makes its bucket large.
 
 Null text counts as empty. A null id is larger than all others and repeated ids are equal, so neither
 removes anything from its like. Each row of the input gives a row; an empty table an empty result.
