@@ -1,8 +1,9 @@
 """Benchmark decontamination by the q-gram lemma.
 
 A document is contaminated by a benchmark item if some region of it is within the item's edit budget,
-``floor(RATE * length)``, of the whole item. Characters are bytes of UTF-8; ASCII capitals count as
-small letters and every ASCII white-space byte as a blank.
+``floor(RATE * length)``, of the whole item. Case is folded first, by Unicode (``É`` as ``é``, ``ß``
+and ``SS`` as ``ss``), and every ASCII white-space byte is a blank; characters, lengths and edits are
+then bytes of UTF-8. A reported region is the range of bytes, before folding, of the characters it touches.
 
 A region within ``e`` edits of an item of ``m`` characters shares at least ``m - Q + 1 - Q * e``
 q-grams with it, on at most ``e + 1`` neighbouring diagonals. So shared q-grams are counted in
@@ -19,7 +20,9 @@ such. Empty tables give empty results; repeated rows each get a row; kept column
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +40,76 @@ _STEP = 1 << 19
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[[9, 10, 11, 12, 13]] = 32
+_CASED = 0x20000  # no code point from here on has a case
+
+
+@lru_cache(maxsize=1)
+def _cases() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(how many, first place, code points) of the folded form of each code point below ``_CASED``."""
+    folded = [chr(c).casefold() for c in range(_CASED)]
+    many = np.array([len(f) for f in folded])
+    return many, np.cumsum(many) - many, np.array([ord(x) for f in folded for x in f], np.uint32)
+
+
+def _widths(codes: np.ndarray) -> np.ndarray:
+    """Bytes of each code point; a byte outside UTF-8 is one of U+DC80 to U+DCFF."""
+    wide = 1 + (codes >= 0x80) + (codes >= 0x800).astype(np.int64) + (codes >= 0x10000)
+    return np.where((codes >= 0xDC80) & (codes <= 0xDCFF), 1, wide)
+
+
+def _fold_piece(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(folded bytes, bytes of each character before, bytes after)."""
+    text = data.tobytes().decode("utf-8", "surrogateescape")
+    if text.isascii():
+        one = np.ones(len(data), np.int64)
+        return _FOLD[data], one, one
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    many, first, flat_codes = _cases()
+    known = np.minimum(codes, _CASED - 1)
+    count = many[known]
+    begin = np.cumsum(count) - count
+    place = np.arange(count.sum()) + np.repeat(first[known] - begin, count)
+    new = np.where(np.repeat(codes, count) < _CASED, flat_codes[place], np.repeat(codes, count))
+    made = new.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogateescape")
+    return _FOLD[np.frombuffer(made, np.uint8)], _widths(codes), np.add.reduceat(_widths(new), begin)
+
+
+def _pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of at most ``_STEP`` bytes that cut no character; a row that starts inside one starts a range."""
+    starts = offsets[offsets < len(data)]
+    cuts = {0, len(data), *starts[data[starts] & 0xC0 == 0x80].tolist()}
+    for at in range(_STEP, len(data), _STEP):
+        cuts.add(next((at - k for k in range(4) if data[at - k] & 0xC0 != 0x80), at))
+    bounds = sorted(cuts)
+    yield from zip(bounds[:-1], bounds[1:], strict=True)
+
+
+def fold(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts without case and with blanks as white space, as (bytes, offsets)."""
+    parts, own, done = [np.zeros(0, np.uint8)], np.zeros_like(offsets), 0
+    for a, b in _pieces(data, offsets):
+        made, before, after = _fold_piece(data[a:b])
+        i, j = np.searchsorted(offsets, [a, b], side="right")
+        upto = np.concatenate([[0], np.cumsum(after)])
+        own[i:j] = done + upto[np.searchsorted(np.cumsum(before), offsets[i:j] - a, side="right")]
+        parts.append(made)
+        done += len(made)
+    return np.concatenate(parts), own
+
+
+def _whole(data: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    """The ranges of bytes of the characters of one text that the folded ranges touch."""
+    out, done = np.zeros_like(spans), 0
+    for a, b in _pieces(data, np.zeros(1, np.int64)):
+        _, before, after = _fold_piece(data[a:b])
+        upto, end = done + np.cumsum(after), a + np.cumsum(before)
+        here = (spans[:, 0] >= done) & (spans[:, 0] < upto[-1])
+        k = np.searchsorted(upto, spans[here, 0], side="right")
+        out[here, 0] = end[k] - before[k]
+        here = (spans[:, 1] > done) & (spans[:, 1] <= upto[-1])
+        out[here, 1] = end[np.searchsorted(upto, spans[here, 1])]
+        done = upto[-1]
+    return out
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
@@ -71,7 +144,8 @@ class Items:
 
 def index(rows: list[tuple[int | None, str | None]]) -> Items:
     """The q-gram index of items (id, text)."""
-    kept = [(i, _FOLD[np.frombuffer(t.encode(), np.uint8)].tobytes().strip()) for i, t in rows if t]
+    raw = [(i, np.frombuffer(t.encode(), np.uint8)) for i, t in rows if t]
+    kept = [(i, fold(t, np.array([0, len(t)]))[0].tobytes().strip()) for i, t in raw]
     kept = sorted(((i, t) for i, t in kept if t), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
     length = np.array([len(t) for _, t in kept], np.int64)
     budget = np.minimum((RATE * length).astype(np.int64), np.maximum((length - Q) // Q, 0))
@@ -181,8 +255,7 @@ def leaks(items: Items, data: np.ndarray, offsets: np.ndarray) -> list[dict[int,
     if not items.ids:
         return found
     for a, b in blocks(offsets):
-        part = _FOLD[data[offsets[a] : offsets[b]]]
-        own = offsets[a : b + 1] - offsets[a]
+        part, own = fold(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         for row, item, band in _candidates(items, part, own):
             e, m = int(items.budget[item]), len(items.texts[item])
             low = band * (e + 1)
@@ -200,6 +273,11 @@ def leaks(items: Items, data: np.ndarray, offsets: np.ndarray) -> list[dict[int,
                 at = part[own[row] : own[row + 1]].tobytes().find(items.texts[item])
                 if at >= 0:
                     found[a + row][item] = (0, at, at + len(items.texts[item]))
+        for row in range(a, b):
+            text = data[offsets[row] : offsets[row + 1]]
+            if found[row] and text.max() >= 0x80:
+                spans = _whole(text, np.array([m[1:] for m in found[row].values()])).tolist()
+                found[row] = {k: (m[0], *s) for (k, m), s in zip(found[row].items(), spans, strict=True)}
     return found
 
 

@@ -66,6 +66,34 @@ def test_budget_is_exact():
     assert hits > 40
 
 
+def test_case_is_folded_beyond_ascii(monkeypatch):
+    """An upper-cased copy is the item, whatever its letters; its region is given in the text's own bytes."""
+    items = [
+        (1, "La été où l'élève à Évry épèle ça après près de l'été passé, où ô île"),
+        (2, "die Größe der Straße weiß außer Fußgängern heißt süß, müßig und groß"),
+        (3, "ΟΔΟΣ και λόγος της ημέρας, ένας κόσμος μεγάλος"),
+        (4, "ééééé"),
+    ]
+    texts = ["ÀÉİ 漢 " + t.upper() + " ÿŸ 😀" for _, t in items[:3]] + ["x ÉÉÉÉÉ", "", None, "une tout autre phrase, été comme hiver"]
+    for step in (dc._STEP, 7):
+        monkeypatch.setattr(dc, "_STEP", step)
+        index = dc.index(items)
+        found = dc.leaks(index, *flat(pa.array(texts)))
+        got = [{index.ids[k]: v for k, v in f.items()} for f in found]
+        for (i, item), text, f in zip(items, texts, got, strict=False):
+            assert list(f) == [i] and f[i][0] == 0
+            assert text.encode()[f[i][1] : f[i][2]].decode() == item.upper()
+        assert got[4:] == [{}, {}, {}]
+
+
+def test_bytes_outside_utf8_are_kept_apart():
+    """A row that ends or begins inside a character keeps its bytes and its bounds."""
+    rows = [b"AB\xc3", b"\xa9CD", b"\xff\xfe", b"", "ÉSS".encode(), b"\xed\xa0\x80"]
+    data, own = dc.fold(*flat(pa.array(rows, pa.binary())))
+    got = [data[a:b].tobytes() for a, b in zip(own, own[1:])]
+    assert got == [b"ab\xc3", b"\xa9cd", b"\xff\xfe", b"", "éss".encode(), b"\xed\xa0\x80"]
+
+
 def test_query_finds_planted_items(spark):
     bench = [(i, fold(t).strip()) for i, t in table("benchmark")]
     docs = [(r[0], fold(r[1])) for r in table("documents")]
