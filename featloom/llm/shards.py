@@ -1,15 +1,19 @@
 """Shards by balanced label propagation.
 
-Documents start in shards by the hash of their id. In each round every linked document learns, from
-aggregated votes, which shard most of its neighbours are in, and asks to move there; a shard admits
-linked documents up to an equal share of all documents, whole groups together. At the end documents
-of overfull shards, unlinked ones first, fill the others, so that the counts of two shards differ by
-one at most; unlinked documents cut nothing wherever they go.
+Documents start in shards by the hash of their id. Every linked document learns, from aggregated
+votes, which shard most of its neighbours are in among those that still have room for its whole group,
+and asks to move there; a shard admits whole groups, large ones first, up to its equal share of all
+documents. Refused groups ask again, until no group is left. A group that no shard has room for fills
+shards one after another under the same quota; the pairs this cuts are logged. Unlinked documents of
+overfull shards then fill the others, so that the counts of two shards differ by one at most; they cut
+nothing wherever they go.
 
 Links are given by group: rows with the same non-null group value are all neighbours of one another,
-which is never written out as pairs. Votes are sums by group and shard, at most ``shards`` numbers a
-group, so a group with a third of all rows is summed before it is shuffled; the join that carries the
-votes back is an ordinary one that Spark may split. Ranks are row numbers inside hash buckets plus
+which is never written out as pairs. Votes are sums by group and shard, ``shards`` numbers a
+group, so a group with a third of all rows is summed before it is shuffled; rounds read these sums
+only. What is open never exceeds the room left, so fewer than ``shards`` groups at a time find no
+room, and only these come to the driver. The labels of large groups, a bounded number, are broadcast to the
+rows; the join that carries the others is an ordinary one. Ranks are row numbers inside hash buckets plus
 bucket offsets: no shard is sorted in one task.
 
 A null id counts as an id like any other, and repeated rows each get a slot. An empty table gives an
@@ -18,6 +22,10 @@ empty result. Columns of the input that are called like results are replaced.
 
 from __future__ import annotations
 
+import logging
+from functools import reduce
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,9 +33,10 @@ from pyspark.sql.window import Window
 from .common import checkpoint
 
 SHARDS = 8
-ROUNDS = 2
 BUCKETS = 512
 
+_log = logging.getLogger(__name__)
+
 
 def with_rank(df: DataFrame, part: str, bucket: Column, order: list[Column], name: str) -> DataFrame:
     """Rank from 0 within ``part`` by bucket, then order; ``bucket`` takes at most a few thousand values."""
@@ -63,43 +72,136 @@ def _bucket() -> Column:
     )
 
 
-def _round(rows: DataFrame, room: int, shards: int) -> DataFrame:
-    """One exchange of votes: linked rows move to their group's main shard while it has room."""
-    linked = rows.where("__linked")
-    votes = linked.groupBy("__group_hash", "__shard").agg(F.count("*").alias("n"))
-    # Most votes, then a hash, so that ties spread over the shards; a group that no shard can hold
-    # stays where it is.
-    luck = F.xxhash64("__group_hash", "__shard").alias("luck")
-    best = votes.groupBy("__group_hash").agg(
-        F.max(F.struct("n", luck, F.col("__shard").alias("s"))).alias("top"),
-        F.sum("n").alias("whole"),
-    )
-    target = best.select(
-        "__group_hash", F.when(F.col("whole") <= room, F.col("top.s")).alias("__target")
-    )
-    asked = linked.join(target, "__group_hash").withColumn(
-        "__target", F.coalesce("__target", "__shard")
-    )
-    stay = (
-        asked.where(F.col("__target") == F.col("__shard"))
-        .groupBy("__shard")
-        .agg(F.count("*").alias("__stay"))
-        .withColumnRenamed("__shard", "__target")
-    )
-    moving = asked.where(F.col("__target") != F.col("__shard"))
-    ranked = with_rank(moving, "__target", _bucket(), _order(), "__rank")
-    # One number a shard.
-    admitted = ranked.join(F.broadcast(stay), "__target", "left").withColumn(
-        "__shard",
+def _round(groups: DataFrame, free: list[int]) -> DataFrame:
+    """One round of open groups: ``__label`` is the shard that admits the whole group, or null."""
+    # Most votes, then a hash, so that ties spread over the shards.
+    choices = [
         F.when(
-            F.col("__rank") < room - F.coalesce("__stay", F.lit(0)), F.col("__target")
-        ).otherwise(F.col("__shard")),
+            F.col("__members") <= n,
+            F.struct(F.col("__votes")[s], F.xxhash64("__group_hash", F.lit(s)), F.lit(s).alias("s")),
+        )
+        for s, n in enumerate(free)
+    ]
+    # Large groups first, by powers of two: an overfull shard loses a third of its room or more.
+    asked = groups.withColumns({
+        "__target": F.array_max(F.array(*choices))["s"],
+        "__bucket": -BUCKETS * F.floor(F.log2("__members"))
+        + F.pmod(_hash("__group_hash"), F.lit(BUCKETS)),
+    })
+    # At most shards x buckets x powers of two rows.
+    sums = asked.groupBy("__target", "__bucket").agg(F.sum("__members").alias("__n"))
+    before = Window.partitionBy("__target").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.where("__target IS NOT NULL").select(
+        "__target", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before")
     )
-    keep = rows.columns
+    inside = Window.partitionBy("__target", "__bucket").orderBy("__group_hash")
+    upto = F.sum("__members").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    room = F.array(*map(F.lit, free))[F.col("__target")]
     return (
-        admitted.select(keep)
-        .unionByName(asked.where(F.col("__target") == F.col("__shard")).select(keep))
-        .unionByName(rows.where(~F.col("__linked")))
+        asked.withColumn("__upto", upto)
+        .join(F.broadcast(offsets), ["__target", "__bucket"], "left")
+        .select(
+            *groups.columns,
+            F.when(F.col("__before") + F.col("__upto") <= room, F.col("__target")).alias("__label"),
+        )
+    )
+
+
+def _fill(members: int, votes: list[int], free: list[int]) -> list[tuple[int, int]]:
+    """(rows, shard) of a group that no shard can hold: the emptiest shards first, what is left of it
+    where it fits best; ``free`` is lowered."""
+    pieces = []
+    while members:
+        fits = [s for s, n in enumerate(free) if n >= members]
+        if fits:
+            s = min(fits, key=lambda s: (free[s], -votes[s], s))
+        else:
+            s = max(range(len(free)), key=lambda s: (free[s], votes[s], -s))
+        n = min(members, free[s])
+        pieces.append((n, s))
+        free[s] -= n
+        members -= n
+    return pieces
+
+
+def _labels(groups: DataFrame, free: list[int]) -> tuple[DataFrame, dict[int, list[tuple[int, int]]]]:
+    """(labels of the groups that one shard holds, pieces of the others), once no group is open.
+
+    ``free``: the rows each shard has room for, as many as the groups have at least.
+    """
+    whole, pieces, free = [], {}, list(free)
+    while True:
+        stuck = groups.where(F.col("__members") > max(free)).collect()  # fewer than shards
+        for g in sorted(stuck, key=lambda g: (-g["__members"], g["__group_hash"])):
+            pieces[g["__group_hash"]] = _fill(g["__members"], g["__votes"], free)
+        if stuck:
+            groups = groups.where(~F.col("__group_hash").isin([g["__group_hash"] for g in stuck]))
+        judged = checkpoint(_round(groups, free))
+        whole.append(judged.where("__label IS NOT NULL"))
+        counts = judged.groupBy("__label").agg(F.sum("__members").alias("n")).collect()
+        for c in counts:
+            if c["__label"] is not None:
+                free[c["__label"]] -= c.n
+        if all(c["__label"] is not None for c in counts):
+            return reduce(DataFrame.unionByName, whole), pieces
+        groups = judged.where("__label IS NULL").drop("__label")
+
+
+def cut_pairs(pieces: dict[int, list[tuple[int, int]]]) -> int:
+    """Pairs of linked rows in different shards."""
+    of = lambda n: n * (n - 1) // 2
+    return sum(of(sum(n for n, _ in p)) - sum(of(n) for n, _ in p) for p in pieces.values())
+
+
+def _place(base: DataFrame, total: int, shards: int) -> DataFrame:
+    """The rows with their group's shard, and whether they are linked and their group is large."""
+    votes = [F.count_if(F.col("__shard") == s) for s in range(shards)]
+    groups = checkpoint(
+        base.where("__group_hash IS NOT NULL")
+        .groupBy("__group_hash")
+        .agg(F.count("*").alias("__members"), F.array(*votes).alias("__votes"))
+        .where("__members > 1")
+    )
+    free = [total // shards + (s < total % shards) for s in range(shards)]
+    labels, pieces = _labels(groups, free)
+    _log.info("%d groups split, %d pairs of linked rows cut", len(pieces), cut_pairs(pieces))
+    # At most 4 x buckets groups are large.
+    large = F.col("__members") > 64 + total // (4 * BUCKETS)
+    some = labels.select("__group_hash", "__label", large.alias("__large"))
+    hot = F.broadcast(some.where("__large").select("__group_hash", F.col("__label").alias("__hot")))
+    rows = base.withColumn("__split", F.coalesce(F.col("__group_hash").isin(list(pieces)), F.lit(False)))
+    rest = rows.where("NOT __split").join(hot, "__group_hash", "left")
+    parts = [
+        rest.where("__hot IS NOT NULL").withColumn("__label", F.col("__hot")).withColumn("__big", F.lit(True)),
+        rest.where("__hot IS NULL")
+        .join(some.where("NOT __large").drop("__large"), "__group_hash", "left")
+        .withColumn("__big", F.lit(False)),
+    ]
+    if pieces:
+        ranked = with_rank(
+            rows.where("__split"), "__group_hash", F.pmod("__id_hash", F.lit(BUCKETS)),
+            [F.col("__id_hash"), *_order()], "__rank",
+        )
+        cases = []
+        for group, filled in pieces.items():
+            ends = accumulate(n for n, _ in filled)
+            cases += [
+                F.when((F.col("__group_hash") == group) & (F.col("__rank") < end), F.lit(s))
+                for end, (_, s) in zip(ends, filled, strict=True)
+            ]
+        place = F.coalesce(*cases)
+        parts.append(ranked.withColumns({"__label": place, "__big": F.lit(True)}))
+    return reduce(
+        DataFrame.unionByName,
+        [
+            p.select(
+                "__id", "__size", "__crc", "__id_hash", "__group_hash",
+                F.col("__label").isNotNull().alias("__linked"),
+                "__big",
+                F.coalesce("__label", "__shard").alias("__shard"),
+            )
+            for p in parts
+        ],
     )
 
 
@@ -143,7 +245,7 @@ def _settle(rows: DataFrame, total: int, shards: int) -> DataFrame:
 
 def propagate(
     df: DataFrame, id_col: str, size: Column, crc: Column, group: Column,
-    shards: int = SHARDS, rounds: int = ROUNDS,
+    shards: int = SHARDS,
 ) -> DataFrame:
     """Columns id, size, text_crc32, shard and slot (gapless from 0 in each shard).
 
@@ -156,25 +258,12 @@ def propagate(
             crc.cast("long").alias("__crc"),
             _hash(F.lit(17), F.col(id_col)).alias("__id_hash"),
             group.alias("__group_hash"),
+        ).withColumn(
+            "__shard", F.pmod(_hash(F.lit(29), F.col("__id_hash")), F.lit(shards)).cast("int")
         )
     )
     total = base.count()
-    room = max(total // shards, 1)
-    groups = (
-        base.where("__group_hash IS NOT NULL")
-        .groupBy("__group_hash")
-        .agg(F.count("*").alias("__members"))
-        .where("__members > 1")
-    )
-    rows = base.join(groups, "__group_hash", "left").select(
-        *base.columns,
-        F.col("__members").isNotNull().alias("__linked"),
-        (F.coalesce("__members", F.lit(0)) > 64 + total // (4 * BUCKETS)).alias("__big"),
-        F.pmod(_hash(F.lit(29), F.col("__id_hash")), F.lit(shards)).cast("int").alias("__shard"),
-    )
-    rows = checkpoint(rows)
-    for _ in range(rounds):
-        rows = checkpoint(_round(rows, room, shards))
+    rows = checkpoint(_place(base, total, shards))
     rows = checkpoint(_settle(rows, total, shards))
     slotted = with_rank(rows, "__shard", F.pmod("__id_hash", F.lit(BUCKETS)), [F.col("__id_hash"), *_order()], "slot")
     return slotted.select(

@@ -50,6 +50,40 @@ def test_a_group_with_most_rows_is_spread_and_small_ones_stay_whole(spark):
     assert sorted((r.doc_id, r.shard, r.slot) for r in again.collect()) == sorted((r.doc_id, r.shard, r.slot) for r in rows)
 
 
+def shards_of(spark, texts):
+    """Shards of each text's rows, by count."""
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = shards.propagate(df, "doc_id", F.lit(1), F.crc32("text"), F.xxhash64("text")).collect()
+    even(rows)
+    found = defaultdict(Counter)
+    for r in rows:
+        found[texts[r.doc_id]][r.shard] += 1
+    return found
+
+
+def test_a_group_larger_than_a_shard_fills_shards(spark):
+    texts = ["hot"] * 400 + ["warm"] * 190 + [f"t{i // 2}" for i in range(200)] + [f"u{i}" for i in range(410)]
+    found = shards_of(spark, texts)
+    assert sorted(found["hot"].values()) == [100, 150, 150]
+    assert sorted(found["warm"].values()) == [40, 150]
+    assert all(len(s) == 1 for t, s in found.items() if t.startswith("t"))
+
+
+def test_refused_groups_ask_until_they_find_room(spark):
+    """All rows are linked: groups are split only where no shard has room for a whole one."""
+    texts = [f"g{i}" for i in range(60) for _ in range(2 + i % 13)]
+    found = shards_of(spark, texts)
+    assert sum(len(s) > 1 for s in found.values()) < 8
+    assert sum(len(s) == 1 for s in found.values()) > 52
+
+
+def test_pieces_are_as_few_as_the_room_allows():
+    free = [100, 100, 30, 100]
+    assert shards._fill(220, [1, 5, 9, 2], free) == [(100, 1), (100, 3), (20, 2)]
+    assert free == [100, 0, 10, 0]
+    assert shards.cut_pairs({7: [(3, 0), (2, 1)], 8: [(4, 2)]}) == 6
+
+
 def test_odd_rows(spark):
     text = F.coalesce("text", F.lit(""))
     rows = shards.propagate(odd_docs(spark), "doc_id", F.octet_length("text"), F.crc32(text), F.xxhash64("text")).collect()
