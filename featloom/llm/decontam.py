@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import blocks, flat, map_arrow
 
-Q = 12
-RATE = 0.06
+Q = 8
+RATE = 0.1
 BLOCK_BYTES = 4 << 20
 _TABLE_BITS = 22
 _STEP = 1 << 19
@@ -205,14 +205,46 @@ def _candidates(items: Items, data, offsets) -> list[tuple[int, int, int]]:
         if enough.any():
             k, entry, r, item = k[enough], entry[enough], r[enough], item[enough]
             diagonal = place[k] - offsets[r] - items.at[entry]
-            width = items.budget[item] + 1
-            band = diagonal // width
-            key = np.stack([np.tile(r, 2), np.tile(item, 2), np.concatenate([band, band - 1])], axis=1)
-            key, times = np.unique(key, axis=0, return_counts=True)
-            out += map(tuple, key[times >= items.bound[key[:, 1]]].tolist())
+            band = diagonal // (items.budget[item] + 1)
+            # One number for row, item and band, with a gap after each pair's last band.
+            least, high = int(band.min()), int(band.max() - band.min()) + 2
+            key, times = np.unique(pair[enough] * high + band - least, return_counts=True)
+            times[:-1] += np.where(np.diff(key) == 1, times[1:], 0)
+            some_row, some_item = np.divmod(key // high, n)
+            good = times >= items.bound[some_item]
+            found = some_row[good] + row[begin], some_item[good], key[good] % high + least
+            out += zip(*(x.tolist() for x in found), strict=True)
     return out
 
 
+@lru_cache(maxsize=4096)
+def _masks(item: bytes) -> dict[int, int]:
+    """For each byte of the item, the bits of its places."""
+    out: dict[int, int] = {}
+    for i, c in enumerate(item):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def _near(item: bytes, region: bytes, budget: int) -> bool:
+    """Whether some substring of ``region`` is within the budget, a column of the programme as bits."""
+    masks, every, top = _masks(item), (1 << len(item)) - 1, 1 << len(item) - 1
+    up, down, cost = every, 0, len(item)
+    for c in region:
+        same = masks.get(c, 0)
+        level = same | down
+        across = ((same & up) + up ^ up) | same
+        more = (down | ~(across | up)) & every
+        less = up & across
+        cost += bool(more & top) - bool(less & top)
+        if cost <= budget:
+            return True
+        more = more << 1 & every
+        up = (less << 1 | ~(level | more)) & every
+        down = more & level
+    return False
+
+
 def align(item: bytes, region: bytes, budget: int) -> tuple[int, int, int] | None:
     """(edits, start, end) of the substring of ``region`` nearest to ``item``, within the budget.
 
@@ -221,7 +253,7 @@ def align(item: bytes, region: bytes, budget: int) -> tuple[int, int, int] | Non
     found = region.find(item)
     if found >= 0:
         return 0, found, found + len(item)
-    if budget <= 0:
+    if budget <= 0 or not _near(item, region, budget):
         return None
     text = np.frombuffer(region, np.uint8)
     n = len(text)

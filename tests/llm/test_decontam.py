@@ -86,6 +86,14 @@ def test_case_is_folded_beyond_ascii(monkeypatch):
         assert got[4:] == [{}, {}, {}]
 
 
+def test_one_replaced_word_in_a_short_item_is_found():
+    item = "which of these rivers flows through the largest number of countries in the world"
+    texts = [item.replace("largest", "biggest"), item.replace("rivers", "stream"), item.replace("countries", "kingdoms")]
+    clean = ["which of these roads leads to the largest city of the north, and how many people of the world live in it"]
+    found = dc.leaks(dc.index([(1, item)]), *flat(pa.array([f"so: {t}?" for t in texts] + clean)))
+    assert [bool(f) for f in found] == [True, True, True, False]
+
+
 def test_bytes_outside_utf8_are_kept_apart():
     """A row that ends or begins inside a character keeps its bytes and its bounds."""
     rows = [b"AB\xc3", b"\xa9CD", b"\xff\xfe", b"", "ÉSS".encode(), b"\xed\xa0\x80"]
