@@ -68,8 +68,12 @@ for _chars, _kind in (
     _CLASS[np.frombuffer(_chars.encode(), np.uint8)] = _kind
 
 
-def _char_counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(characters of each class, letter-sign-letter places) of each text."""
+def _char_counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(characters of each class, letter-sign-letter places, whether a word may hold a sign) of each text.
+
+    A word that holds a letter and a sign, besides ``!`` at its end, has them side by side, or ``!`` before
+    another sign.
+    """
     n = len(offsets) - 1
     row = np.repeat(np.arange(n), np.diff(offsets))
     kind = _CLASS[data]
@@ -80,7 +84,11 @@ def _char_counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     if len(data) > 2:
         middle[1:-1] = letter[:-2] & sign[1:-1] & letter[2:]
         middle[1:-1] &= (row[:-2] == row[1:-1]) & (row[2:] == row[1:-1])
-    return counts, np.bincount(row[middle], minlength=n)
+    shout = data == 0x21
+    beside = letter[:-1] & sign[1:] | (sign | shout)[:-1] & letter[1:] | shout[:-1] & sign[1:]
+    beside &= row[:-1] == row[1:]
+    mixed = np.bincount(row[:-1][beside], minlength=n) > 0
+    return counts, np.bincount(row[middle], minlength=n), mixed
 
 
 def features(texts: pa.Array, lexicon: frozenset[str]) -> np.ndarray:
@@ -89,7 +97,7 @@ def features(texts: pa.Array, lexicon: frozenset[str]) -> np.ndarray:
     data, offsets = flat(texts)
     known = lexicon | GENERAL
     for a, b in blocks(offsets):
-        counts, hidden = _char_counts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        counts, hidden, mixed = _char_counts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         size = np.maximum(counts.sum(axis=1), 1)
         part = out[a:b]
         part[:, 6] = counts[:, _UPPER] / np.maximum(counts[:, _UPPER] + counts[:, _LOWER], 1)
@@ -98,11 +106,24 @@ def features(texts: pa.Array, lexicon: frozenset[str]) -> np.ndarray:
         part[:, 12] = hidden / size
         for i, text in enumerate(texts.slice(a, b - a).to_pylist()):
             if text:
-                _word_features(part[i], text, lexicon, known, hidden[i] > 0)
+                _word_features(part[i], text, lexicon, known, mixed[i])
     return out
 
 
-def _word_features(row, text: str, lexicon, known, hidden: bool) -> None:
+def _hides(word: str, known) -> bool:
+    """Whether a known word is spelt so; ``*`` is put between letters, or for up to half of them."""
+    plain = word.translate(_LEET)
+    if "*" not in plain:
+        return plain in known
+    if plain.replace("*", "") in known:
+        return True
+    if 2 * plain.count("*") > len(plain):
+        return False
+    alike = (zip(plain, k, strict=True) for k in known if len(k) == len(plain))
+    return any(all(c in ("*", own) for c, own in pairs) for pairs in alike)
+
+
+def _word_features(row, text: str, lexicon, known, mixed: bool) -> None:
     low = text.lower()
     words = low.translate(_PUNCTUATION).split()
     n = max(len(words), 1)
@@ -116,10 +137,9 @@ def _word_features(row, text: str, lexicon, known, hidden: bool) -> None:
         if row[4]:
             near = sum(not ADDRESS.isdisjoint(words[max(0, i - NEAR) : i + NEAR + 1]) for i in at)
             row[5] = near / n
-    if hidden:
+    if mixed:
         found = (w.rstrip("!") for w in _LEET_WORD.findall(low))
-        plain = (w.translate(_LEET).replace("*", "") for w in found if not w.isalpha())
-        row[13] = sum(w in known for w in plain) / n
+        row[13] = sum(_hides(w, known) for w in found if not w.isalpha()) / n
 
 
 @dataclass

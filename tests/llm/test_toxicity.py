@@ -47,6 +47,19 @@ def test_features():
     assert x[4, at("address_density")] == pytest.approx(1 / 3) and x[4, at("address_near")] == 0
 
 
+@pytest.mark.parametrize("word", ["1diot", "$tupid", "1d10t", "st**id", "id!ot", "f00l", "idi*t!!", "m*o*r*o*n", "cl0wn"])
+def test_each_obfuscated_spelling_alone(word):
+    x = tx.features(pa.array([f"he is a {word} today", word, f"{word[0]} {word[1:]}"]), frozenset(["clown"]))
+    hits = x[:, tx.FEATURES.index("obfuscated_hits")]
+    assert hits[0] == pytest.approx(1 / len(f"he is a {word} today".translate(tx._PUNCTUATION).split()))
+    assert hits[1] > 0 and hits[2] == 0
+
+
+def test_signs_without_a_hidden_word():
+    x = tx.features(pa.array(["** 5km and mp3, 2nd! idiot! *** wow!1 a@b.c", "x!", "1", "!"]), frozenset())
+    assert not x[:, tx.FEATURES.index("obfuscated_hits")].any()
+
+
 def test_trees_and_isotonic_steps():
     rng = np.random.default_rng(2)
     x = rng.random((4000, 5))
