@@ -6,7 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lattice, minhash, quality, shards, suffixdedup, tokencount, toxicity, urlrules
+from . import (
+    decontam,
+    langid,
+    lattice,
+    minhash,
+    quality,
+    resample,
+    shards,
+    suffixdedup,
+    tokencount,
+    toxicity,
+    urlrules,
+)
 from .common import held_out, read
 
 
@@ -92,6 +104,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -105,10 +121,42 @@ QUERIES = {
         op8_url_filters,
         op9_minhash,
         op10_decontamination,
+        op12_importance_resampling,
     )
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op12_importance_resampling": r"""
+        WITH RECURSIVE
+        bits(i, k, v) AS (
+            SELECT i, 0, i FROM range(256) AS r(i)
+            UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8),
+        crc AS MATERIALIZED (SELECT list(v ORDER BY i) AS steps FROM bits WHERE k = 8),
+        texts AS (SELECT true AS doc, doc_id AS id, text FROM documents UNION ALL SELECT false, item_id, text FROM benchmark),
+        words AS (
+            SELECT doc, id, row_number() OVER () AS n, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+        feats AS MATERIALIZED (
+            SELECT doc, id, n, u.f FROM words, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS u(f)),
+        names AS MATERIALIZED (
+            SELECT f, xor(list_reduce(list_transform(range(0, strlen(f)), lambda i: ('0x' || substr(hex(encode(f)), 2 * i + 1, 2))::BIGINT),
+                lambda c, b: xor(c >> 8, steps[1 + (xor(c, b) & 255)]), 4294967295), 4294967295) % 10000 AS bucket
+            FROM (SELECT DISTINCT f FROM feats), crc),
+        counts AS (SELECT bucket, count(*) FILTER (doc) AS s, count(*) FILTER (NOT doc) AS t FROM feats JOIN names USING (f) GROUP BY bucket),
+        totals AS (SELECT count(*) FILTER (doc) AS s, count(*) FILTER (NOT doc) AS t FROM feats),
+        gains AS (SELECT bucket, floor(1000 * ln((c.t + 1)::DOUBLE * (z.s + 10000) / ((c.s + 1)::DOUBLE * (z.t + 10000))))::BIGINT AS gain FROM counts c, totals z),
+        means AS (
+            SELECT n, count(*) AS n_features, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight
+            FROM feats JOIN names USING (f) JOIN gains USING (bucket) WHERE doc GROUP BY n),
+        scored AS (
+            SELECT id AS doc_id, len(w) >= 20 AS able, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+                coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('7:' || id), 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+            FROM words LEFT JOIN means USING (n) WHERE doc),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS k FROM scored)
+        SELECT doc_id, n_features, weight, score,
+            CASE WHEN able AND k <= 25 * (SELECT count(*) FROM scored WHERE able) // 100 THEN k END AS rank
+        FROM placed
+    """,
     "op9_minhash": r"""
         WITH RECURSIVE words AS (
             SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
