@@ -13,6 +13,7 @@ from . import (
     minhash,
     quality,
     resample,
+    search,
     shards,
     suffixdedup,
     tokencount,
@@ -104,6 +105,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked_search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -121,11 +126,32 @@ QUERIES = {
         op8_url_filters,
         op9_minhash,
         op10_decontamination,
+        op11_ranked_search,
         op12_importance_resampling,
     )
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_ranked_search": r"""
+        WITH texts AS (
+            SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        asked AS (
+            SELECT item_id, u.term, count(*) AS times FROM (
+                SELECT DISTINCT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark), unnest(w) AS u(term)
+            GROUP BY ALL),
+        postings AS (SELECT n, doc_id, len(w) AS size, u.term, count(*) AS tf FROM texts, unnest(w) AS u(term) GROUP BY ALL),
+        total AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS size FROM texts WHERE len(w) > 0),
+        weight AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM postings, total GROUP BY term, docs),
+        scores AS (
+            SELECT item_id, n, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * p.size * docs) // t.size))))::BIGINT AS score
+            FROM asked JOIN postings p USING (term) JOIN weight USING (term), total t GROUP BY ALL),
+        placed AS (
+            SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
+            FROM scores WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 10
+    """,
     "op12_importance_resampling": r"""
         WITH RECURSIVE
         bits(i, k, v) AS (

@@ -1,0 +1,130 @@
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from featloom.llm import search
+from tests.llm.helpers import ODD, empty_docs, odd_docs
+
+
+def terms_of(text):
+    return re.findall(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (text or "").encode().lower())
+
+
+def plain(docs, items, top=10):
+    """Every document scored for every item."""
+    bags = [(key, Counter(terms_of(text))) for key, text in docs]
+    bags = [(key, bag) for key, bag in bags if bag]
+    n_docs, n_all = len(bags), sum(sum(bag.values()) for _, bag in bags)
+    held = Counter(w for _, bag in bags for w in bag)
+    out = []
+    for item, text in {(i, t) for i, t in items if t is not None}:
+        scores = []
+        for at, (key, bag) in enumerate(bags):
+            m = 25 + 75 * sum(bag.values()) * n_docs // n_all
+            score = 0
+            for w in terms_of(text):
+                if bag[w]:
+                    gain = math.floor(1000 * math.log((2 * n_docs + 2) / (2 * held[w] + 1)))
+                    score += gain * (1_000_000_000 * bag[w] // (1000 * bag[w] + 8 * m))
+            if score > 0:
+                scores.append((-score, key is None, key or 0, at))
+        for i, (score, none, key, _) in enumerate(sorted(scores)[:top]):
+            out.append((item, i + 1, None if none else key, -score))
+    return sorted(out, key=repr)
+
+
+def made(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def docs_frame(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def items_frame(spark, rows):
+    return spark.createDataFrame(rows, "item_id long, text string")
+
+
+def corpus(seed, n):
+    """Documents of two vocabularies with words from very frequent to unique, copies and very frequent texts."""
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        words = [f"{'ab'[i % 2]}{int(rng.paretovariate(0.7)) % 400}" for _ in range(rng.randint(1, 60))]
+        out.append((i, " ".join(words)))
+    copy = out[3][1]
+    return out + [(i, copy) for i in range(n, n + n // 2)]
+
+
+def test_odd_rows_and_clashing_columns(spark):
+    items = [(1, "one TWO word"), (2, None), (3, ""), (4, "--"), (5, "naïve 漢字 a a b"), (None, "the same line"), (6, "nowhere"),
+             (5, "zero"), (1, "one TWO word")]
+    asked = items_frame(spark, items).withColumn("score", F.lit("x")).withColumn("rank", F.lit(1))
+    found = search.ranked_search(odd_docs(spark).withColumn("item", F.lit(3)), asked)
+    assert found.columns == ["item_id", "rank", "doc_id", "score"]
+    assert made(found) == plain(ODD, items)
+
+
+def test_empty_tables(spark):
+    asked = items_frame(spark, [(1, "a")])
+    assert search.ranked_search(empty_docs(spark), asked).count() == 0
+    nothing = search.ranked_search(docs_frame(spark, [(1, "a")]), asked.limit(0))
+    assert nothing.count() == 0 and nothing.columns == ["item_id", "rank", "doc_id", "score"]
+
+
+@pytest.mark.parametrize("shard, parts", [(60, 1), (1 << 19, 1), (400, 5)])
+def test_against_scoring_everything(spark, monkeypatch, shard, parts):
+    docs = corpus(shard + parts, 120)
+    rng = random.Random(parts)
+    items = [(i, " ".join(rng.choices(docs[i][1].split(), k=rng.randint(1, 25)))) for i in range(30)]
+    monkeypatch.setattr(search, "SHARD_POSTINGS", shard)
+    found = search.ranked_search(docs_frame(spark, docs).repartition(parts), items_frame(spark, items))
+    assert made(found) == plain(docs, items)
+
+
+def test_several_passes_and_hot_item_texts(spark):
+    docs = corpus(4, 40)
+    items = [(i, docs[i % 7][1]) for i in range(25)]
+    found = search.ranked_search(docs_frame(spark, docs), items_frame(spark, items), top=3, pass_bytes=300)
+    assert made(found) == plain(docs, items, 3)
+
+
+def test_range_maximum():
+    rng = np.random.default_rng(0)
+    values = rng.integers(0, 9, 77)
+    table = search.RangeMax(values, 77)
+    a = np.repeat(np.arange(77), 77)
+    b = np.tile(np.arange(1, 78), 77)
+    a, b = a[a < b], b[a < b]
+    want = [i + int(np.argmax(values[i:j])) for i, j in zip(a, b, strict=True)]
+    assert table(a, b).tolist() == want
+
+
+def test_search_opens_few_documents_where_one_stands_out(monkeypatch):
+    """Best first: a copy of the item is found without scoring the rest."""
+    rng = np.random.default_rng(1)
+    n, v = 2000, 300
+    codes = [rng.choice(v, 12, replace=False) for _ in range(n)]
+    codes[1234] = np.arange(12)
+    counts = [np.ones(12, np.int64)] * n
+    weight = np.full(v, 5000)
+    shard = search.build(
+        np.concatenate(codes), np.concatenate(counts), np.full(n, 12), np.full(n, 100), np.arange(n), weight
+    )
+    opened = []
+    real = search._opened
+    monkeypatch.setattr(search, "_opened", lambda s, x: opened.append(len(x.item)) or real(s, x))
+    best = search.Best(1, 1, np.zeros(1, np.int64))
+    search.search(shard, [(0, np.arange(12), np.ones(12, np.int64))], best)
+    assert best.rank[0, 0] == 1234
+    assert sum(opened) < n // 10
+
+
+def test_lengths_beyond_64_bits():
+    n = np.array([1 << 40, 3])
+    assert search.lengths(n, 1 << 30, 7 << 35).tolist() == [25 + 75 * x * (1 << 30) // (7 << 35) for x in (1 << 40, 3)]
