@@ -14,6 +14,7 @@ from . import (
     quality,
     resample,
     search,
+    secrets,
     shards,
     suffixdedup,
     tokencount,
@@ -113,6 +114,25 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op13_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = secrets.find_secrets(docs, secrets.learn(docs), ["doc_id"])
+    base = F.filter("spans", lambda s: s["kind"] != secrets.KINDS[3])
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def number(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id",
+        *[number(kind).alias(f"n_{kind}") for kind in secrets.KINDS],
+        F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -128,6 +148,7 @@ QUERIES = {
         op10_decontamination,
         op11_ranked_search,
         op12_importance_resampling,
+        op13_secret_scans,
     )
 }
 
