@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from featloom import fixed
 from featloom.functions import text
-from featloom.operators import reshape
+from featloom.operators import curve, reshape
 
 LONG_COLUMNS = ["group_id", "feat", "value", "group_norm"]
 
@@ -153,19 +153,16 @@ def write_long_jdbc(
     _jdbc(rows, url, table, sizes, mode, connections, batch_size, options)
 
 
-def write_long(long: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Long feature table as Parquet, clustered by feature and group.
+def write_long(long: DataFrame, path: str, mode: str = "errorifexists", files: int | None = None) -> None:
+    """Long feature table as Parquet, clustered by feature and by group alike.
 
-    Row-group statistics on the sorted columns stand in for an index on each.
-    Ranges are over both columns, so a frequent feature spans many files.
+    Rows lie along a space-filling curve over the ranks of both keys, so the
+    statistics of files and row groups stand in for an index on each: a lookup
+    by feature or by group reads few of the files. A frequent feature or group
+    spans many files.
     """
-    (
-        long.select(*LONG_COLUMNS)
-        .repartitionByRange("feat", "group_id")
-        .sortWithinPartitions("feat", "group_id")
-        .write.mode(mode)
-        .parquet(path)
-    )
+    rows = long.select(*LONG_COLUMNS)
+    curve.clustered(rows, ("feat", "group_id"), files=files).write.mode(mode).parquet(path)
 
 
 def refuse_existing(spark: SparkSession, *paths: str) -> None:
