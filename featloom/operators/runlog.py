@@ -58,8 +58,10 @@ def best_epoch(
     )
 
 
-def _block_of(epoch: Column, size: int) -> Column:
+def _block_of(epoch: Column, size: int | None) -> Column:
     """Number of an epoch's block; rows without an epoch come first, as they sort."""
+    if size is None:
+        return F.lit(0).cast("long")
     return F.coalesce(F.floor(epoch / size), F.lit(-(1 << 62)))
 
 
@@ -85,7 +87,7 @@ def improvements(
     epoch: str = "epoch",
     phase: str = "phase",
     val: str = "val",
-    block: int = BLOCK,
+    block: int | None = BLOCK,
 ) -> DataFrame:
     """Per epoch: the best loss so far, whether it improved, whether it was saved.
 
@@ -93,17 +95,17 @@ def improvements(
     write one when strictly lower. Rows of one epoch go by their loss.
 
     The running minimum is taken inside blocks of ``block`` epochs, which the
-    least loss of the blocks before enters as a first row.
+    least loss of the blocks before enters as a first row. Pass None only where
+    every run is known to be short: then a run is one block.
     """
     rows = _validation(epochs, phase, val).select(
         run, epoch, "mean_loss", _block_of(F.col(epoch), block).alias("_block")
     )
-    carried = (
-        _carried_minima(rows, run, "mean_loss")
-        .where(F.col("_carried").isNotNull())
-        .select(run, "_block", F.col("_carried").alias("mean_loss"), F.lit(False).alias("_row"))
-    )
-    both = rows.withColumn("_row", F.lit(True)).unionByName(carried, allowMissingColumns=True)
+    both = rows.withColumn("_row", F.lit(True))
+    if block is not None:
+        carried = _carried_minima(rows, run, "mean_loss").where(F.col("_carried").isNotNull())
+        first = carried.select(run, "_block", F.col("_carried").alias("mean_loss"), F.lit(False).alias("_row"))
+        both = both.unionByName(first, allowMissingColumns=True)
     order = W.partitionBy(run, "_block").orderBy("_row", epoch, "mean_loss")
     earlier = F.min("mean_loss").over(order.rowsBetween(W.unboundedPreceding, -1))
     return (
@@ -230,7 +232,7 @@ def plateau_lr(
     epoch: str = "epoch",
     phase: str = "phase",
     val: str = "val",
-    block: int = BLOCK,
+    block: int | None = BLOCK,
 ) -> DataFrame:
     """Learning rate after each epoch, cut when the summed validation loss stalls.
 
@@ -245,18 +247,22 @@ def plateau_lr(
     of a run are applied in order, and the blocks are replayed side by side
     from the states found. A summary holds the minima of its block that lie
     within the threshold of the run's minimum before it, mostly one or two.
-    Runs of one block are replayed at once.
+    Runs of one block are replayed at once. Pass None only where every run is
+    known to be short: then a run is one block.
     """
     rule = Plateau(float(factor), patience, threshold)
     points = epochs.where((F.col(phase) == val) & F.col("sum_loss").isNotNull()).select(
         F.col(run).alias("run"), F.col(epoch).cast("long").alias("epoch"), F.col("sum_loss").cast("double").alias("loss")
     )
     points = points.withColumn("_block", _block_of(F.col("epoch"), block))
-    states = _entry_states(points, rule)
+    rows = points.withColumn("_row", F.lit(True))
+    if block is None:
+        rows = rows.selectExpr("*", "NULL AS best", "NULL AS bad", "NULL AS cuts")
+    else:
+        states = _entry_states(points, rule).withColumn("_row", F.lit(False))
+        rows = rows.unionByName(states, allowMissingColumns=True)
     rows = (
-        points.withColumn("_row", F.lit(True))
-        .unionByName(states.withColumn("_row", F.lit(False)), allowMissingColumns=True)
-        .repartition("run", "_block")
+        rows.repartition("run", "_block")
         .sortWithinPartitions("run", "_block", "_row", "epoch", "loss")
         .select("run", "_block", "_row", "epoch", "loss", "best", "bad", "cuts")
     )

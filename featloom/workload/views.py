@@ -63,6 +63,11 @@ VIEWS = {
                CASE WHEN event_type IN ('error', 'view') THEN 'val' ELSE 'train' END AS phase,
                event_id AS step, value AS loss
         FROM {events}""",
+    # Seven runs of thousands of epochs, at any scale a seventh of the table each; the loss falls slowly.
+    "long_log": """
+        SELECT l_linenumber AS run_id, l_orderkey AS epoch, 'val' AS phase, l_partkey AS step,
+               (l_extendedprice / l_quantity) * (1 + 5000.0 / (5000 + l_orderkey)) AS loss
+        FROM {lineitem}""",
     # Three series of two channels in three-hour slots, with gaps.
     "series": """
         SELECT user_id % 3 AS series_id, event_id % 2 AS channel,
