@@ -20,6 +20,9 @@ from featloom.session import ensure_checkpoint_dir
 
 Model = Callable[[pd.DataFrame], np.ndarray]
 
+#: An input of more than one in so many rows is hot.
+HOT_SHARE = 1000
+
 
 def _held(token: str, make_model: Callable[[], Model]) -> Model:
     """The model of this job, built once per Python worker and kept between its tasks."""
@@ -113,6 +116,54 @@ def batch_encode(
     )
 
 
+def encode_distinct(
+    df: DataFrame,
+    make_model: Callable[[], Model],
+    dims: int,
+    ids: list[str],
+    inputs: list[str],
+    batch_size: int = 64,
+    normalize: bool = False,
+    encode: Callable[[DataFrame, list[str]], DataFrame] | None = None,
+) -> DataFrame:
+    """``ids, embedding, error`` for every row, the model run once for all rows of equal inputs.
+
+    Different inputs are found by an aggregate over the inputs themselves, so equality is that of the
+    values, with null equal to null. They are encoded into a table addressed by a 128-bit digest of the
+    inputs and joined back to all rows by it. Should two of them share a digest, the join compares the
+    inputs too. Inputs of more than one in ``HOT_SHARE`` rows, at most ``HOT_SHARE`` of them, are
+    broadcast; the others are too rare to make a task of the join large.
+
+    ``encode`` gets the different inputs and the names of the digest and returns what
+    :func:`encode_rows` would, for instance from a resumable job.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    digest = ["_c0", "_c1"]
+    halves = {name: F.xxhash64(F.lit(seed), *inputs) for seed, name in enumerate(digest)}
+    rows = df.select(*dict.fromkeys([*ids, *inputs])).withColumns(halves)
+    different = rows.groupBy(*digest, *inputs).agg(F.count("*").alias("_n")).checkpoint()
+    n_rows, n_inputs, n_digests = different.agg(
+        F.sum("_n"), F.count("*"), F.count_distinct(F.struct(*digest))
+    ).first()
+    by = digest if n_inputs == n_digests else [*digest, *[f"_in{i}" for i in range(len(inputs))]]
+    if by is not digest:
+        copies = {f"_in{i}": F.col(c) for i, c in enumerate(inputs)}
+        rows, different = rows.withColumns(copies), different.withColumns(copies)
+    todo = different.select(*dict.fromkeys([*by, *inputs]))
+    if encode is None:
+        made = encode_rows(todo, make_model, dims, by, inputs, batch_size, normalize).checkpoint()
+    else:
+        made = encode(todo, by)
+    hot = F.broadcast(different.where(F.col("_n") * HOT_SHARE > (n_rows or 0)).select(*by))
+    is_hot = [made[c].eqNullSafe(hot[c]) for c in by]
+    out = []
+    for table in (F.broadcast(made.join(hot, is_hot, "left_semi")), made.join(hot, is_hot, "left_anti")):
+        named = table.select(*[F.col(c).alias(f"_of{c}") for c in by], "embedding", "error")
+        same = [F.col(c).eqNullSafe(F.col(f"_of{c}")) for c in by]
+        out.append(rows.join(named, same).select(*ids, "embedding", "error"))
+    return out[0].unionByName(out[1])
+
+
 def encoder_catalogue(spark: SparkSession) -> DataFrame:
     """The published encoders, a table of three rows."""
     return spark.createDataFrame(

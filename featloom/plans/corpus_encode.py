@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from featloom.operators import encode
-from featloom.sinks import tables
+from featloom.sinks import ledger, tables
 from featloom.sources.media import manifest
 
 
@@ -33,6 +33,28 @@ def encode_corpora(
     bad.write.mode("errorifexists").parquet(quarantine)
 
 
+def encode_corpora_in_waves(
+    segments: DataFrame,
+    make_model: Callable[[], encode.Model],
+    dims: int,
+    inputs: list[str],
+    target: str,
+    batch_size: int = 64,
+    most_waves: int | None = None,
+) -> tuple[DataFrame, DataFrame] | None:
+    """The same as a job that may be stopped and called again: ``(good, quarantine)`` when all is there.
+
+    ``target`` holds the waves and their ledger; None while rows are missing.
+    """
+    ids = ["dataset_name", "message_id"]
+    whole = ledger.encode_resumable(
+        segments, make_model, dims, ids, inputs, target, batch_size, normalize=True, most_waves=most_waves
+    )
+    if not whole:
+        return None
+    return encode.split_encoded(ledger.read_encoded(segments.sparkSession, target))
+
+
 def encode_files(
     spark: SparkSession,
     path: str,

@@ -124,3 +124,18 @@ def encoded_good_rows(v):
 def quarantined_rows(v):
     rows = encode.encode_rows(v.messages, _picky_model, 3, ["message_id"], ["message"], 32)
     return encode.split_encoded(rows)[1]
+
+
+ROLES = """SELECT message_id, [cast(length(role) AS double), 1.0, 100.0] AS x FROM {messages}"""
+
+
+@query(
+    "UDF-1 SET-3",
+    f"""SELECT message_id, i - 1 AS pos, round(x[i], 4) + 0.0 AS value
+        FROM ({ROLES}), range(1, 4) AS d(i)""",
+)
+def encoded_distinct_inputs(v):
+    """Few different inputs, each that of very many rows."""
+    inputs = v.messages.select("message_id", F.col("role").alias("message"))
+    rows = encode.encode_distinct(inputs, _text_model, 3, ["message_id"], ["message"])
+    return cells(rows, ["message_id"], "embedding", 4)

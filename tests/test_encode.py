@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from featloom import fixed
 from featloom.operators import encode
-from featloom.plans.corpus_encode import encode_corpora, encode_files
+from featloom.plans.corpus_encode import encode_corpora, encode_corpora_in_waves, encode_files
 
 
 def model_of(counter=None, poison="bad"):
@@ -87,6 +87,18 @@ def test_corpora_are_written_apart_and_never_over_each_other(spark, tmp_path):
         encode_corpora(segments(spark), model_of(), 2, ["message"], target, str(tmp_path / "x"))
 
 
+def test_corpora_in_waves(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+    args = (segments(spark), model_of(calls), 2, ["message"], str(tmp_path / "t"), 1)
+    assert encode_corpora_in_waves(*args, most_waves=3) is None
+    good, bad = encode_corpora_in_waves(*args)
+    assert calls.value == 23 and good.count() == 21
+    assert {r.message_id for r in bad.collect()} == {"m7", "m15"}
+    encode_corpora(*args[:4], str(tmp_path / "emb"), str(tmp_path / "bad"), 1)
+    want = spark.read.parquet(str(tmp_path / "emb")).select(*good.columns)
+    assert good.exceptAll(want).count() == 0 and want.count() == 21
+
+
 def test_files_are_encoded_by_path(spark, tmp_path):
     for name in ("a.wav", "a.mp3", "b.WAV", "c.Wav", "notes.txt"):
         (tmp_path / name).write_bytes(b"12345")
