@@ -77,6 +77,90 @@ def group_mean(
     return with_group_norm(long)
 
 
+# Sum and count of a position, NaN counted as missing; both add up over parts of the input.
+STATE = (
+    "struct(sum(CASE WHEN NOT isnan({x}) THEN cast({x} AS double) END) AS s, "
+    "count(CASE WHEN NOT isnan({x}) THEN {x} END) AS n)"
+)
+
+
+def group_states(
+    segments: DataFrame,
+    feats: DataFrame,
+    key: str = "message_id",
+    group: str = "user_id",
+    vec: str = "embedding",
+    null_safe: bool = False,
+    dims: int | None = None,
+) -> DataFrame:
+    """What :func:`group_mean` needs of a part of the segments: sums and counts by chunk of the vector.
+
+    ``group, chunk, width, entries``. A group without a match has chunks of empty sums, so it is kept.
+    """
+    dims = dims or width_of(feats, vec)
+    vector = vectors.assert_width(F.col(vec), dims).alias(vec)
+    matched = attach_features(
+        segments.select(group, key), feats.select(key, vector), key, null_safe, "inner"
+    ).select(group, vec)
+    return chunked.aggregate_chunks(
+        matched, [group], F.col(vec), STATE, groups=segments.select(group).distinct(), width=dims
+    )
+
+
+def merge_states(states: list[DataFrame], group: str = "user_id") -> DataFrame:
+    """The states of all parts together: one aggregate with as many rows as groups have chunks in the parts."""
+    both = reduce(DataFrame.unionByName, states)
+    cells = ", ".join(
+        f"struct(sum(entries[{i}].s) AS s, sum(entries[{i}].n) AS n)" for i in range(chunked.CHUNK)
+    )
+    wrong = F.raise_error(F.concat(F.lit("widths differ in group "), F.coalesce(F.col(group).cast("string"), F.lit("null"))))
+    merged = both.groupBy(group, "chunk").agg(
+        F.expr(f"array({cells})").alias("entries"), F.min("width").alias("_least"), F.max("width").alias("width")
+    )
+    width = F.when(F.col("_least") == F.col("width"), F.col("width")).otherwise(wrong)
+    return merged.select(group, "chunk", "entries", width.alias("width"))
+
+
+def means_of_states(states: DataFrame, group: str = "user_id", id_type: str | None = None) -> DataFrame:
+    """The long feature table of :func:`group_mean` from merged states."""
+    means = F.transform("entries", lambda e: F.try_divide(e["s"], e["n"]))
+    group_id = F.col(group) if id_type is None else F.col(group).cast(id_type)
+    long = chunked.positions(states.withColumn("entries", means), [group]).select(
+        group_id.alias("group_id"), text.feature_name(F.col("pos").cast("int")).alias("feat"), "value"
+    )
+    return with_group_norm(long)
+
+
+def advance_states(
+    states: DataFrame,
+    pending: DataFrame,
+    segments: DataFrame,
+    feats: DataFrame,
+    new_feats: DataFrame,
+    key: str = "message_id",
+    group: str = "user_id",
+    vec: str = "embedding",
+    dims: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(states, pending) after new ``segments`` and ``new_feats``; ``feats`` are all features, new ones among them.
+
+    ``pending`` holds the segments that had no feature yet. A late feature counts for those and is not
+    added to a segment that was matched before it came. So only new and pending segments are joined,
+    however many there were; write both results, as the next step reads them.
+    """
+    dims = dims or width_of(feats, vec)
+    waiting, fresh = pending.select(group, key), segments.select(group, key)
+    parts = [
+        states,
+        group_states(fresh, feats, key, group, vec, dims=dims),
+        group_states(waiting, new_feats, key, group, vec, dims=dims),
+    ]
+    still = fresh.join(feats.select(key), key, "left_anti").unionByName(
+        waiting.join(new_feats.select(key), key, "left_anti")
+    )
+    return merge_states(parts, group), still.select(group, key)
+
+
 def _position(feature: str, dims: int) -> int:
     position = int(feature[1:])
     if feature != fixed.FEATURE_FORMAT % position or position >= dims:

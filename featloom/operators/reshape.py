@@ -74,16 +74,32 @@ def unique_values(long: DataFrame, keys: list[str], value: str = "value") -> Dat
 
 
 def to_wide(long: DataFrame, key: str, feats: list[str] | None = None) -> DataFrame:
-    """One row per key, one column per feature; a duplicate pair is an error.
+    """One row per key, one column per feature; a duplicate pair of key and feature is an error.
 
-    Without ``feats`` Spark first reads the distinct feature names.
+    Values are scattered into an array by their feature's place in ``feats``, in one shuffle and one
+    aggregate however many features there are. Rows of other features only keep their key. Without
+    ``feats`` Spark first reads the distinct feature names; a row without a feature has none.
     """
-    return (
-        unique_values(long, [key, "feat"])
-        .groupBy(key)
-        .pivot("feat", feats)
-        .agg(F.first("value"))
-    )
+    if feats is None:
+        names = long.select("feat").where(F.col("feat").isNotNull()).distinct()
+        feats = sorted(r["feat"] for r in names.collect())
+    # As long as the list of columns that is asked for.
+    places = long.sparkSession.range(1).select(F.posexplode(F.array(*map(F.lit, feats))).alias("_at", "_feat"))
+    coded = long.join(F.broadcast(places), F.col("feat") == F.col("_feat"), "left")
+    cell = F.when(F.col("_at").isNotNull(), F.struct("_at", "value"))
+    cells = coded.groupBy(key).agg(F.sort_array(F.collect_list(cell)).alias("_cells"))
+
+    def spread(x: Column, i: Column) -> Column:
+        """The value behind a null for every feature between the one before and its own."""
+        before = F.coalesce(F.when(i > 0, F.get("_cells", i - 1)["_at"]), F.lit(-1))
+        name = F.concat(F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit(", "), F.get(F.array(*map(F.lit, feats)), x["_at"]))
+        twice = F.raise_error(F.concat(F.lit("duplicate key: "), name)).cast("int")
+        gap = F.when(x["_at"] == before, twice).otherwise(x["_at"] - before - 1)
+        return F.concat(F.array_repeat(F.lit(None).cast(kind), gap), F.array(x["value"]))
+
+    kind = long.schema["value"].dataType
+    filled = cells.select(F.col(key), F.flatten(F.transform("_cells", spread)).alias("_row"))
+    return filled.select(key, *[F.get("_row", F.lit(i)).alias(f) for i, f in enumerate(feats)])
 
 
 def vec_to_cols(df: DataFrame, ids: list[str], vec: str, dims: int | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import ceil
+from math import ceil, gcd
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +15,8 @@ from featloom import fixed
 CROSSINGS = 6
 ROLLOFF = 0.99
 BLOCK = 1 << 14
+# Entries of a table of kernels; rates that need more are computed output by output.
+TABLE_CELLS = 1 << 22
 
 
 def downmix(series: DataFrame, keys: list[str] = ["series_id"]) -> DataFrame:
@@ -35,10 +37,14 @@ def resample(
     ``block`` outputs: each sample goes to the blocks its kernel reaches, which
     is one, or two next to a border. So a task holds one block however long
     the series is, and each sample is shuffled about once.
+
+    Outputs lie ``orig / new = p / q`` samples apart, so each at one of ``q`` phases
+    between two samples. The kernels of all phases are one table, built once a task.
     """
     if orig == new:
         return series.select(*keys, "idx", "value")
     ratio = orig / new
+    p, q = orig // gcd(orig, new), new // gcd(orig, new)
     cutoff = ROLLOFF * min(1.0, new / orig)
     reach = CROSSINGS / cutoff
     idx = F.col("idx").cast("long")
@@ -72,6 +78,21 @@ def resample(
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in series.select(*keys).schema]
     schema = ", ".join([*fields, "idx bigint", "value double"])
     taps = np.arange(-ceil(reach), ceil(reach) + 1)
+    held: list[np.ndarray] = []  # the table of this task
+
+    def kernels(phases: np.ndarray) -> np.ndarray:
+        """The kernel of each phase, in q-ths of a sample, over the taps."""
+        u = cutoff * (phases[:, None] / q - taps[None, :])
+        kernel = cutoff * np.sinc(u) * np.cos(np.pi * u / (2 * CROSSINGS)) ** 2
+        kernel[np.abs(u) > CROSSINGS] = 0.0
+        return kernel
+
+    def kernels_of(phases: np.ndarray) -> np.ndarray:
+        if q * len(taps) > TABLE_CELLS:
+            return kernels(phases)
+        if not held:
+            held.append(kernels(np.arange(q)))
+        return held[0][phases]
 
     def convolve(table: pa.Table) -> pa.Table:
         marker = table.filter(table["_out"].is_valid())
@@ -80,18 +101,15 @@ def resample(
                              "value": pa.array([], "float64")})
         start = marker["_b"][0].as_py() * block
         j = np.arange(start, min(start + block, marker["_out"][0].as_py()))
-        centre = np.floor(j * ratio).astype("int64")
+        centre, phase = np.divmod(j * p, q)
         low = centre[0] + taps[0]
         x = np.zeros(centre[-1] + taps[-1] + 1 - low)
         rows = table.filter(table["idx"].is_valid())
         at = rows["idx"].to_numpy() - low
         inside = (at >= 0) & (at < len(x))
         np.add.at(x, at[inside], rows["value"].fill_null(0.0).to_numpy()[inside])
-        i = centre[:, None] + taps[None, :]
-        u = cutoff * ((j * ratio)[:, None] - i)
-        kernel = cutoff * np.sinc(u) * np.cos(np.pi * u / (2 * CROSSINGS)) ** 2
-        kernel[np.abs(u) > CROSSINGS] = 0.0
-        y = (x[i - low] * kernel).sum(axis=1)
+        reached = np.lib.stride_tricks.sliding_window_view(x, len(taps))[centre - centre[0]]
+        y = np.einsum("jt,jt->j", reached, kernels_of(phase))
         ids = {k: pa.repeat(marker[k][0], len(j)) for k in keys}
         return pa.table({**ids, "idx": j, "value": y})
 

@@ -43,3 +43,26 @@ def resampled_down(v):
 def resampled_up(v):
     mono = series.downmix(v.series)
     return series.resample(mono, 8, 24).withColumn("value", r6("value"))
+
+
+# Band edge and reach, in samples, of a kernel from 44,100 to 16,000 samples a second.
+EDGE, REACH = 0.99 * 16000 / 44100, 17
+
+
+@query(
+    "VEC-12 VEC-11",
+    f"""WITH mono AS (SELECT series_id, idx, avg(value) AS value FROM {{long_series}} GROUP BY series_id, idx),
+        outs AS (SELECT series_id, unnest(range(cast(ceil((max(idx) + 1) * 160 / 441.0) AS bigint))) AS j
+                 FROM mono GROUP BY series_id),
+        taps AS (SELECT series_id, j, j * 441 // 160 + t AS idx, {EDGE!r}::double * ((j * 441 % 160) / 160.0::double - t) AS u
+                 FROM outs, range(-{REACH}, {REACH + 1}) AS r(t))
+        SELECT series_id, j AS idx,
+               round(coalesce(sum(CASE WHEN abs(u) <= 6 THEN value * {EDGE!r}::double
+                     * CASE WHEN u = 0 THEN 1 ELSE sin(pi() * u) / (pi() * u) END
+                     * pow(cos(pi() * u / 12), 2) END), 0), 6) + 0.0 AS value
+        FROM taps LEFT JOIN mono USING (series_id, idx) GROUP BY series_id, j""",
+)
+def resampled_long(v):
+    """Series that grow with the table, in blocks."""
+    mono = series.downmix(v.long_series)
+    return series.resample(mono, 44100, 16000, block=1 << 12).withColumn("value", r6("value"))

@@ -181,6 +181,18 @@ def user_features(v):
     return long.withColumns({"value": r6("value"), "group_norm": r6("group_norm")})
 
 
+@query("AGG-1", USER_FEATURES.replace("POSITIONS", "range(1, 65)"))
+def user_features_merged(v):
+    """The same from two halves of the segments, a third of the features after the first of them."""
+    halves = [v.segments.where(F.col("message_id") % 2 == i).select("user_id", "message_id") for i in (0, 1)]
+    early = F.col("message_id") % 3 != 0
+    first = groupfeats.group_states(halves[0], v.feats.where(early))
+    waiting = halves[0].join(v.feats.where(early).select("message_id"), "message_id", "left_anti")
+    states, _ = groupfeats.advance_states(first, waiting, halves[1], v.feats, v.feats.where(~early))
+    long = groupfeats.means_of_states(states)
+    return long.withColumns({"value": r6("value"), "group_norm": r6("group_norm")})
+
+
 @query("AGG-1 PRJ-5", USER_FEATURES.replace("POSITIONS", "unnest([1, 8, 64])"))
 def user_features_selected(v):
     long = feature_tables.user_feature_table(

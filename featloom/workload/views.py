@@ -74,6 +74,10 @@ VIEWS = {
                cast(floor(((day(ts) - 1) * 24 + hour(ts)) / 3.0) AS int) AS idx,
                avg(value) AS value
         FROM {events} GROUP BY 1, 2, 3""",
+    # Seven series of two channels as long as the table, with gaps.
+    "long_series": """
+        SELECT l_linenumber AS series_id, l_suppkey % 2 AS channel, l_orderkey AS idx, avg(l_quantity) AS value
+        FROM {lineitem} GROUP BY 1, 2, 3""",
     "messages": """
         SELECT conv_id AS user_id, conv_id * 100 + turn AS message_id, role, text AS message
         FROM {conversations}""",

@@ -34,6 +34,15 @@ def test_matches_the_formula_whatever_the_block(spark, orig, new, block):
     assert np.allclose(run(frame(spark, x), orig, new, block=block), brute(x, orig, new), atol=1e-12)
 
 
+@pytest.mark.parametrize("cells", [1 << 22, 0])
+def test_table_of_phases_and_far_outputs(spark, monkeypatch, cells):
+    """Rates whose phases are fewer or more than the outputs."""
+    monkeypatch.setattr(series, "TABLE_CELLS", cells)
+    x = np.random.default_rng(3).normal(size=60)
+    for orig, new in ((160, 441), (1001, 1000), (7, 5)):
+        assert np.allclose(run(frame(spark, x), orig, new, block=16), brute(x, orig, new), atol=1e-12)
+
+
 def test_constant_and_sine_are_preserved(spark):
     n = np.arange(600)
     for orig, new in ((24, 8), (8, 24)):

@@ -32,6 +32,38 @@ def test_duplicate_pair_is_an_error(spark):
         reshape.to_wide(long, "id", ["a"]).collect()
 
 
+def test_hundreds_of_features_in_one_shuffle(spark):
+    feats = [f"f{i:04d}" for i in range(1034)]
+    rng = np.random.default_rng(0)
+    keep = rng.random((7, 1034)) < 0.7
+    cells = [(u, f, float(u * 10_000 + i)) for u in range(7) for i, f in enumerate(feats) if keep[u, i]]
+    rng.shuffle(cells)
+    long = spark.createDataFrame([(int(u), f, float(v)) for u, f, v in cells] + [(9, "other", 1.0)], "id long, feat string, value double")
+    wide = reshape.to_wide(long.repartition(4), "id", feats)
+    assert wide.columns == ["id", *feats]
+    found = {r[0]: r[1:] for r in wide.collect()}
+    for u in range(7):
+        assert found[u] == tuple(u * 10_000.0 + i if keep[u, i] else None for i in range(1034))
+    assert found[9] == (None,) * 1034
+    text = reshape.to_wide(long, "id", feats)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 1
+    twice = long.unionByName(long.where("id = 3 and value = 30005"))
+    if keep[3, 5]:
+        with pytest.raises(Exception, match="duplicate key: 3, f0005"):
+            reshape.to_wide(twice, "id", feats).collect()
+
+
+def test_wide_of_null_keys_features_and_values(spark):
+    long = spark.createDataFrame(
+        [(None, "a", 1), ("u", None, 2), ("v", "b", None), ("v", "a", 3)], "id string, feat string, value int"
+    )
+    wide = reshape.to_wide(long, "id")
+    assert wide.columns == ["id", "a", "b"] and wide.schema["a"].dataType.simpleString() == "int"
+    assert rows(wide) == rows(spark.createDataFrame([(None, 1, None), ("u", None, None), ("v", 3, None)], "id string, a int, b int"))
+    assert reshape.to_wide(long.limit(0), "id", ["a"]).count() == 0
+    assert reshape.to_wide(long.limit(0), "id").columns == ["id"]
+
+
 def test_positional_features_must_be_numeric(spark):
     df = spark.createDataFrame([("u", "m", 1.0, 2)], "user string, msg string, a double, b int")
     assert reshape.features_after(df, 2) == ["a", "b"]
