@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Callable, Iterator
+import sys
+from collections.abc import Callable, Hashable, Iterator
+from types import ModuleType
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +22,18 @@ BLOCK_BYTES = 1 << 19
 WORD_SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 
+def held(name: Hashable, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, made once in a Python worker and kept between its tasks.
+
+    Kept in a module of its own and not by a decorator: a function that keeps its results is known to
+    the workers by its name only, and they may not have this package.
+    """
+    store = sys.modules.setdefault("featloom_held", ModuleType("featloom_held")).__dict__.setdefault("values", {})
+    if name not in store:
+        store[name] = make()
+    return store[name]
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of the data folder."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -109,13 +124,17 @@ def partitions(df: DataFrame) -> int:
 
 
 def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """At most ``rows`` rows, the same ones on each run: those of the smallest hash of the key.
+    """At most ``rows`` different rows, the same ones on each run: those of the least hash of key and row.
 
     The rows are counted first, and a bound on the hash leaves about twice as many as are wanted, so
-    that the tasks together send that many to the driver however many tasks there are.
+    that the tasks together send that many to the driver however many tasks there are. Where copies of
+    rows take the room of others the bound is raised. The sample is written, as it is read more than once.
     """
-    hashed = F.xxhash64(F.col(key).cast("string"))
-    total = df.count()
-    if total > 2 * rows:
-        df = df.where(hashed < -(1 << 63) + int(2 * rows / total * (1 << 64)))
-    return df.orderBy(hashed, F.col(key)).limit(rows)
+    hashed = F.xxhash64(F.col(key).cast("string"), *df.columns)
+    share = 2 * rows / max(df.count(), 1)
+    while True:
+        near = df if share >= 1 else df.where(hashed < -(1 << 63) + int(share * (1 << 64)))
+        found = checkpoint(near.dropDuplicates().orderBy(hashed, *df.columns).limit(rows))
+        if share >= 1 or found.count() >= rows:
+            return found
+        share *= 4

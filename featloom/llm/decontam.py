@@ -22,14 +22,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, flat, map_arrow
+from .common import blocks, flat, held, map_arrow
 
 Q = 8
 RATE = 0.1
@@ -43,8 +42,11 @@ _FOLD[[9, 10, 11, 12, 13]] = 32
 _CASED = 0x20000  # no code point from here on has a case
 
 
-@lru_cache(maxsize=1)
 def _cases() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return held("cases", _new_cases)
+
+
+def _new_cases() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(how many, first place, code points) of the folded form of each code point below ``_CASED``."""
     folded = [chr(c).casefold() for c in range(_CASED)]
     many = np.array([len(f) for f in folded])
@@ -217,13 +219,17 @@ def _candidates(items: Items, data, offsets) -> list[tuple[int, int, int]]:
     return out
 
 
-@lru_cache(maxsize=4096)
 def _masks(item: bytes) -> dict[int, int]:
-    """For each byte of the item, the bits of its places."""
-    out: dict[int, int] = {}
-    for i, c in enumerate(item):
-        out[c] = out.get(c, 0) | 1 << i
-    return out
+    """For each byte of the item, the bits of its places; those of the last items are kept."""
+    kept = held("masks", dict)
+    if item not in kept:
+        if len(kept) >= 4096:
+            kept.clear()
+        out: dict[int, int] = {}
+        for i, c in enumerate(item):
+            out[c] = out.get(c, 0) | 1 << i
+        kept[item] = out
+    return kept[item]
 
 
 def _near(item: bytes, region: bytes, budget: int) -> bool:

@@ -166,8 +166,8 @@ def _gradients(net: Network, cells, length, target) -> dict[str, np.ndarray]:
     return grads
 
 
-def learn(df: DataFrame, id_col="doc_id", text_col="text", lang_col="lang") -> Network:
-    """A network from a bounded sample of the rows with a language and a text."""
+def learn(df: DataFrame, id_col="doc_id", text_col="text", lang_col="lang") -> Network | None:
+    """A network from a bounded sample of the rows with a language and a text; None without any."""
     known = df.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
     place = F.pmod(F.xxhash64(F.col(text_col)), F.greatest(F.length(text_col) - TRAIN_CHARS, F.lit(1)))
     rows = bounded_sample(
@@ -179,7 +179,7 @@ def learn(df: DataFrame, id_col="doc_id", text_col="text", lang_col="lang") -> N
         "key",
         TRAIN_DOCS,
     ).collect()
-    return train([r.part.encode() for r in rows], [r.lang for r in rows])
+    return train([r.part.encode() for r in rows], [r.lang for r in rows]) if rows else None
 
 
 def _spans(codes: np.ndarray, langs: tuple[str, ...]) -> list[dict]:
@@ -193,11 +193,12 @@ def _spans(codes: np.ndarray, langs: tuple[str, ...]) -> list[dict]:
 
 
 def identify(
-    df: DataFrame, net: Network, text_col: str = "text", keep: list[str] = (), spans: bool = False
+    df: DataFrame, net: Network | None, text_col: str = "text", keep: list[str] = (), spans: bool = False
 ) -> DataFrame:
     """Columns ``keep`` and lang_pred, score; with ``spans`` also the runs of byte labels.
 
-    A kept column may not be called like a result column.
+    Without a network every text is undetermined, with score 0 and no runs. A kept column may not be
+    called like a result column.
     """
     if clash := {"lang_pred", "score", "lang_spans"} & set(keep):
         raise ValueError(f"kept columns named like results: {sorted(clash)}")
@@ -207,6 +208,11 @@ def identify(
     schema = (f"{shown}, " if shown else "") + "lang_pred string, score double"
     if spans:
         schema += ", lang_spans array<struct<start:long,end:long,lang:string>>"
+    if net is None:
+        none = [F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score")]
+        if spans:
+            none.append(F.array().cast("array<struct<start:long,end:long,lang:string>>").alias("lang_spans"))
+        return df.select(*keep, *none)
     names = np.array([*net.langs, UNDETERMINED], object)
     kept = list(keep)
 

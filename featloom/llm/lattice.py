@@ -20,14 +20,12 @@ An empty table gives an empty result; repeated rows with equal keys get equal se
 
 from __future__ import annotations
 
-from functools import cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, flat, map_arrow
+from .common import blocks, flat, held, map_arrow
 from .shingles import _powers, mix
 
 BLANK = 0x2581
@@ -95,9 +93,8 @@ class Vocabulary:
         return at[same], self.piece[k[same]]
 
 
-@cache
 def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+    return held(("vocabulary", path), lambda: Vocabulary(path))
 
 
 def _prefix(codes: np.ndarray) -> np.ndarray:
@@ -109,7 +106,10 @@ def _prefix(codes: np.ndarray) -> np.ndarray:
 
 
 def _part(total: np.ndarray, start: np.ndarray, size) -> np.ndarray:
-    """Hashes of stretches of characters; equal stretches have equal ones."""
+    """Hashes of stretches of characters; equal stretches have equal ones.
+
+    Polynomials modulo 2**64, so long stretches made for it can share one though they differ.
+    """
     _, down = _powers(1 << max(10, (len(total) - 1).bit_length()))
     whole = (total[start + size] - total[start]) * down[start]
     return mix(whole + np.asarray(size).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -204,6 +204,17 @@ class Filter:
         return edge
 
 
+def _kinds(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a unit of each kind, the kind of each unit): equal units are of one kind, compared by character."""
+    _, first, kind = np.unique(_part(_prefix(codes), starts, sizes), return_index=True, return_inverse=True)
+    alike = sizes == sizes[first[kind]]
+    to = np.where(alike, starts[first[kind]], starts)
+    differ = codes[np.repeat(to - starts, sizes) + np.arange(len(codes))] != codes
+    odd = np.flatnonzero(~alike | (np.add.reduceat(differ, starts, dtype=np.int64) > 0))
+    kind[odd] = len(first) + np.arange(len(odd))  # each a kind of its own
+    return np.append(first, odd), kind
+
+
 def sample(
     v: Vocabulary, data: np.ndarray, offsets: np.ndarray, seeds: np.ndarray, temperature: float = TEMPERATURE
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -214,7 +225,7 @@ def sample(
         return np.zeros(0, np.int32), np.zeros(rows + 1, np.int64)
     starts = _unit_starts(v, codes, upto)
     sizes = np.diff(np.append(starts, len(codes)))
-    _, first, kind = np.unique(_part(_prefix(codes), starts, sizes), return_index=True, return_inverse=True)
+    first, kind = _kinds(codes, starts, sizes)
     own_sizes = sizes[first]
     own_starts = np.cumsum(own_sizes) - own_sizes
     take = np.repeat(starts[first] - own_starts, own_sizes) + np.arange(own_sizes.sum())

@@ -21,14 +21,12 @@ they are linked with a row that has an id. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from functools import cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, blocks, checkpoint, flat, frugal, map_arrow
+from .common import binary, blocks, checkpoint, flat, frugal, held, map_arrow
 from .components import components
 from .shingles import mix, shingle_rows, words
 
@@ -46,8 +44,11 @@ TILE_SHINGLES = 2 << 20
 _LAST_ID = (1 << 63) - 1
 
 
-@cache
 def _circle() -> np.ndarray:
+    return held("circle", _new_circle)
+
+
+def _new_circle() -> np.ndarray:
     values = np.random.default_rng(20).permutation(CIRCLE).astype(np.uint32)
     around = np.concatenate([values, values[:COORDINATES]])
     return np.lib.stride_tricks.sliding_window_view(around, COORDINATES)

@@ -191,12 +191,10 @@ def learn(documents: DataFrame, labels: DataFrame) -> list[Rule]:
     )
     # At most TRAIN_DOCS rows of two numbers go to each task.
     sample = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    rows = (
-        with_statistics(sample)
-        .select("doc_id", "quality", *(c.alias(f"s_{k}") for k, c in share_columns().items()))
-        .collect()
-    )
-    rows.sort(key=lambda r: (r.doc_id, tuple(r)))
+    shares = F.struct(*(c.alias(f"s_{k}") for k, c in share_columns().items()))
+    # One row a labelled id, of repeated ones that of the least statistics.
+    rows = with_statistics(sample).groupBy("doc_id", "quality").agg(F.min(shares).alias("s")).select("doc_id", "quality", "s.*").collect()
+    rows.sort(key=lambda r: r.doc_id)
     x = np.array([[r[f"s_{k}"] for k in SHARES] for r in rows], float).reshape(-1, len(SHARES))
     return learn_list(x, np.array([r.quality == 0 for r in rows], bool))
 

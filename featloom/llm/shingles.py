@@ -1,19 +1,21 @@
 """Word and shingle hashes of flat byte arrays, without a Python step per word.
 
 Words are runs of bytes other than blank and U+0009 to U+000D; ASCII capitals count as small letters.
-A word's hash is a polynomial in random 64-bit values of its bytes modulo 2**64, read off a prefix
-sum, then mixed; equal words have equal hashes in every task.
+A word's hash takes its bytes eight at a time and mixes every step, so that no texts but chance ones
+share it; equal words have equal hashes in every task.
 """
 
 from __future__ import annotations
 
-from functools import cache
+import hashlib
 
 import numpy as np
 
-from .common import WORD_SPACES
+from .common import WORD_SPACES, held
 
 WIDTH = 5
+#: Bytes of a stretch from which on it is hashed alone.
+LONG = 1 << 12
 _P = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -33,25 +35,37 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@cache
-def _byte_values() -> np.ndarray:
-    values = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-    return values[_FOLD]
-
-
-_TABLES: list[tuple[np.ndarray, np.ndarray]] = []
-
-
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, for at least ``n`` places; one table at a time."""
-    if not _TABLES or len(_TABLES[0][0]) <= n:
+    """Powers of an odd number and of its inverse modulo 2**64, for at least ``n`` places."""
+    tables = held("powers", list)  # the largest table so far
+    if not tables or len(tables[0][0]) <= n:
         out = []
         for base in (_P, pow(_P, -1, 1 << 64)):
             p = np.full(n + 1, base, np.uint64)
             p[0] = 1
             out.append(np.cumprod(p, dtype=np.uint64, out=p))
-        _TABLES[:] = [(out[0], out[1])]
-    return _TABLES[0]
+        tables[:] = [(out[0], out[1])]
+    return tables[0]
+
+
+def stretch_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each stretch of bytes, eight bytes a step; that of a long one is BLAKE2's."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+    out = mix(size.astype(np.uint64) * np.uint64(_P) + np.uint64(1))
+    long = size > LONG
+    active, at = np.flatnonzero((size > 0) & ~long), 0
+    while len(active):
+        left = size[active] - at
+        chunk = eight[start[active] + at]
+        tail = np.flatnonzero(left < 8)
+        chunk[tail] &= (np.uint64(1) << (left[tail] * 8).astype(np.uint64)) - np.uint64(1)
+        out[active] = mix(out[active] ^ chunk)
+        active, at = active[left > 8], at + 8
+    for i in np.flatnonzero(long).tolist():
+        raw = data[start[i] : start[i] + size[i]].tobytes()
+        out[i] = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little")
+    return out
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,15 +81,10 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     end = inside
     end[:-1] &= ~inside[1:] | edge[1:-1]
     a, b = np.flatnonzero(start), np.flatnonzero(end) + 1
-    size = 1 << max(10, int(n).bit_length())
-    up, down = _powers(size)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_byte_values()[data] * up[:n], out=total[1:])
-    found = mix((total[b] - total[a]) * down[a])
+    found = stretch_hashes(_FOLD[data], a, b - a)
     return found, np.searchsorted(a, offsets)
 
 
-@cache
 def _weights(width: int) -> np.ndarray:
     return mix(np.arange(1, width + 1, dtype=np.uint64) * np.uint64(_P)) | np.uint64(1)
 

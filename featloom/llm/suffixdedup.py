@@ -35,13 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, flat, frugal, partitions
-from .shingles import mix
+from .shingles import mix, stretch_hashes
 
 LENGTH = 50
 GRAM = 16
 #: Bytes of pieces in one suffix array, and in the arrays that are merged with one another.
 ARRAY_BYTES = 1 << 20
 SLICE_BYTES = 2 << 20
+#: Bytes of text in a shard on average, at most.
+SHARD_BYTES = 16 << 20
 _LAST_ID = (1 << 63) - 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -214,7 +216,7 @@ def _shared_runs(table: pa.Table, shared: np.ndarray):
         key, start, count = runs(part, own)
         hit = _among(key, shared)
         key, start, count = key[hit], start[hit], count[hit]
-        code = _piece_hashes(part, start, count + LENGTH - 1)
+        code = stretch_hashes(part, start, count + LENGTH - 1)
         row = np.searchsorted(own, start, side="right") - 1 + a
         found.append((key, code, count, row, start + offsets[a]))
     if not found:
@@ -228,23 +230,39 @@ def _among(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
     return some[np.minimum(np.searchsorted(some, keys), len(some) - 1)] == keys
 
 
-def _piece_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    from .shingles import _powers
+def _bucket(key: np.ndarray, count: int) -> np.ndarray:
+    return ((key >> np.uint64(20)) % np.uint64(count)).astype(np.int64)
 
-    n = len(data)
-    up, down = _powers(1 << max(10, n.bit_length()))
-    values = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(values[data] * up[:n], out=total[1:])
-    return mix((total[start + size] - total[start]) * down[start])
 
+def _unlike(data, place, like, size) -> np.ndarray:
+    """Which stretches differ in a byte from the stretches ``like`` them."""
+    out = np.zeros(len(place), bool)
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    for a, b in blocks(bounds, SLICE_BYTES):
+        s = slice(a, b)
+        differ = data[_ragged(place[s], size[s])] != data[_ragged(like[s], size[s])]
+        out[s] = np.add.reduceat(differ, bounds[a:b] - bounds[a], dtype=np.int64) > 0
+    return out
 
-def _bucket(key: np.ndarray, count: int) -> np.ndarray:
-    return ((key >> np.uint64(20)) % np.uint64(count)).astype(np.int64)
 
+def _pieces(key, code, count, buckets: int, data, place, size):
+    """(order of the distinct pieces by bucket, key and hash; index of each run's piece in it).
 
-def _pieces(key, code, count, buckets: int):
-    """(order of the distinct pieces by bucket, key and hash; index of each run's piece in it)."""
+    Pieces of one hash are compared by their bytes at ``place``; where some differ, all get another hash.
+    """
+    while True:
+        pick, index = _by_hash(key, code, count, buckets)
+        differ = _unlike(data, place, place[pick[index]], size) if len(index) else np.zeros(0, bool)
+        if not differ.any():
+            return pick, index
+        code = code.copy()
+        for i in np.flatnonzero(np.isin(index, index[differ])).tolist():
+            raw = data[place[i] : place[i] + size[i]].tobytes()
+            digest = hashlib.blake2b(raw, digest_size=8, key=code[i].tobytes()).digest()
+            code[i] = int.from_bytes(digest, "little")
+
+
+def _by_hash(key, code, count, buckets: int):
     order = np.lexsort((count, code, key, _bucket(key, buckets)))
     k, c, s = key[order], code[order], count[order]
     head = np.ones(len(order), bool)
@@ -332,7 +350,7 @@ def _send(table: pa.Table, shared: np.ndarray, shard: int, buckets: int) -> pa.T
     """Step 3: a shard's distinct pieces with shared minimisers, by bucket."""
     ids = _ids(table)
     data, _, (key, code, count, row, place) = _shared_runs(table, shared)
-    pick, index = _pieces(key, code, count, buckets)
+    pick, index = _pieces(key, code, count, buckets, data, place, count + LENGTH - 1)
     least = np.full(len(pick), _LAST_ID)
     np.minimum.at(least, index, ids[row])
     key, size, place = key[pick], count[pick] + LENGTH - 1, place[pick]
@@ -382,7 +400,8 @@ def _solve(table: pa.Table, bucket: int) -> pa.Table:
         part = text[_ragged(offsets[own], size[own])]
         # Equal pieces of several shards are one, with the least id.
         at = np.concatenate([[0], np.cumsum(size[own])])
-        pick, index = _pieces(key[own], _piece_hashes(part, at[:-1], size[own]), size[own], 1)
+        code = stretch_hashes(part, at[:-1], size[own])
+        pick, index = _pieces(key[own], code, size[own], 1, part, at[:-1], size[own])
         first = np.full(len(pick), _LAST_ID)
         np.minimum.at(first, index, doc[own])
         part = part[_ragged(at[pick], size[own][pick])]
@@ -414,7 +433,7 @@ def _covered(table: pa.Table, least: pa.Table, buckets: int):
     data, offsets, (key, code, count, row, place) = _shared_runs(table, shared)
     gone = np.zeros(len(data), bool)
     if len(key):
-        pick, index = _pieces(key, code, count, buckets)
+        pick, index = _pieces(key, code, count, buckets, data, place, count + LENGTH - 1)
         answers = sorted(
             zip(*(least.column(c).to_pylist() for c in ("bucket", "counts", "docs")), strict=True)
         )
@@ -437,8 +456,10 @@ def _covered(table: pa.Table, least: pa.Table, buckets: int):
 
 def _plan(df: DataFrame, columns: list[str], id_col: str, text_col: str):
     """The rows dealt to shards, and each shard's answers from the buckets."""
-    parts = partitions(df)
     text = F.coalesce(F.col(text_col), F.lit(""))
+    # By the bytes there are, whatever the session's number of partitions.
+    n_bytes = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    parts = max(partitions(df), -(-n_bytes // (2 * SHARD_BYTES)))
     rows = df.select(
         *columns,
         F.col(id_col).cast("long").alias("__id"),

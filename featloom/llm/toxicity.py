@@ -2,8 +2,9 @@
 
 Features: densities of a learned and of a general lexicon, lexicon words near second-person words,
 capitals, punctuation, symbols, digits and obfuscated spellings. The lexicon, the trees and the
-calibration are learned from a bounded sample of labelled rows; trees and calibration from different
-halves of it. Trees are grown in numpy on histograms with the logistic loss.
+calibration are learned from a bounded sample of labelled rows; what is calibrated is what lexicon and
+trees of the other parts of the sample say of each part. Trees are grown in numpy on histograms with the
+logistic loss. Of a repeated id the least text counts; equal texts with both labels count as toxic.
 
 Null text counts as empty; an empty text gets the score of its all-zero features. An empty table
 gives an empty result; repeated rows each get a row. Labels other than 0 and 1 are ignored.
@@ -23,6 +24,8 @@ from .common import blocks, bounded_sample, checkpoint, flat, map_arrow
 
 #: Bound of the training sample, in labelled documents.
 TRAIN_DOCS = 8000
+#: Parts of the sample for calibration.
+FOLDS = 3
 LEXICON_WORDS = 48
 LEXICON_LEAST = 4
 LEXICON_Z = 4.0
@@ -297,28 +300,39 @@ def learn(documents: DataFrame, labels: DataFrame, seed: int = 3) -> Scorer:
         TRAIN_DOCS,
     )
     # At most TRAIN_DOCS rows of two numbers go to each task.
-    joined = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    sample = checkpoint(
-        joined.withColumn("__text", F.xxhash64(F.coalesce("text", F.lit(""))))
-        .dropDuplicates(["__text"])
-        .select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    joined = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    # One row a labelled id, then one row a text; where equal texts have both labels it counts as toxic.
+    of_id = joined.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    one = of_id.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("__text")).agg(
+        F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"), F.first("text").alias("text")
     )
+    fold = F.pmod(F.xxhash64(F.lit(seed), "__text"), F.lit(FOLDS))
+    sample = checkpoint(one.select("doc_id", "text", "toxic", fold.cast("int").alias("fold")))
+    # Calibrated on what words and trees of the other folds say of each fold, which they have not seen.
+    margins, truth = [], []
+    for k in range(FOLDS):
+        x, y, mine = _examples(sample, learn_lexicon(sample.where(F.col("fold") != k)), k)
+        if mine.any() and not mine.all():
+            margins.append(boost(x[~mine], y[~mine]).margin(x[mine]))
+            truth.append(y[mine])
     lexicon = learn_lexicon(sample)
-    rows = _feature_table(sample, "doc_id", lexicon).join(F.broadcast(picked), "doc_id").collect()
-    rows.sort(key=lambda r: r.doc_id)
-    x = np.array([r.x for r in rows]).reshape(-1, len(FEATURES))
-    y = np.array([r.toxic for r in rows], float)
-    half = np.random.default_rng(seed).random(len(y)) < 0.6
-    if not half.any() or half.all():
-        half[:] = True
-        other = half
-    else:
-        other = ~half
-    forest = boost(x[half], y[half])
-    centre, share = isotonic(forest.margin(x[other]), y[other])
+    x, y, _ = _examples(sample, lexicon, 0)
+    forest = boost(x, y)
+    if margins:
+        centre, share = isotonic(np.concatenate(margins), np.concatenate(truth))
+    else:  # too few to set any apart
+        centre, share = isotonic(forest.margin(x), y)
     return Scorer(lexicon, forest, centre, share)
 
 
+def _examples(sample: DataFrame, lexicon: frozenset[str], fold: int):
+    """(features, labels, which are of the fold) of the sample, by id: at most TRAIN_DOCS rows."""
+    marks = sample.select("doc_id", "toxic", "fold")
+    rows = sorted(_feature_table(sample, "doc_id", lexicon).join(marks, "doc_id").collect(), key=lambda r: r.doc_id)
+    x = np.array([r.x for r in rows]).reshape(-1, len(FEATURES))
+    return x, np.array([r.toxic for r in rows], float), np.array([r.fold == fold for r in rows], bool)
+
+
 def score(df: DataFrame, scorer: Scorer, keep: list[str], text_col: str = "text") -> DataFrame:
     """Columns ``keep`` and score, predicted; a kept column may not be called like these."""
     if clash := {"score", "predicted"} & set(keep):

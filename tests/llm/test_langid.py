@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from featloom.llm import langid
 from featloom.llm.common import held_out
-from tests.llm.helpers import ODD, empty_docs, odd_docs, run, table
+from tests.llm.helpers import ODD, empty_docs, odd_docs, run, table, write_tables
 from tests.oracle import DATA
 
 FOLDER = f"{DATA}/sf0.01"
@@ -83,8 +83,7 @@ def test_odd_rows(spark, net):
 
 def test_empty_tables(spark, net):
     assert langid.identify(empty_docs(spark), net, keep=["doc_id"]).count() == 0
-    with pytest.raises(ValueError, match="no labelled rows"):
-        langid.learn(empty_docs(spark))
+    assert langid.learn(empty_docs(spark)) is None
 
 
 def test_labels_follow_a_change_of_language(spark, net):
@@ -95,3 +94,23 @@ def test_labels_follow_a_change_of_language(spark, net):
     half = len(docs["en"][:1024].encode())
     first = sum(min(s.end, half) - s.start for s in row.lang_spans if s.lang == "en" and s.start < half)
     assert first / half > 0.8
+
+
+def test_nothing_to_learn_from(spark, tmp_path):
+    """Empty tables, and rows that may all not be learned from: every text is undetermined."""
+    docs = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string").selectExpr("*", "CAST(NULL AS string) AS lang")
+    for k, (rows, n) in enumerate(((docs, 2), (docs.limit(0), 0))):
+        folder = write_tables(spark, str(tmp_path / str(k)), rows)
+        found = run(spark, "op2_language_id", folder).collect()
+        assert len(found) == n and all(r.lang_pred == "und" and r.score == 0 for r in found)
+    spans = langid.identify(docs, None, keep=["doc_id"], spans=True).collect()
+    assert [r.lang_spans for r in spans] == [[], []]
+
+
+def test_many_rows_of_one_key(spark):
+    texts = ["the river and the house ", "la maison et le fleuve "]
+    rows = [(None, texts[i % 2] * 3 + str(i), "ef"[i % 2]) for i in range(7000)]
+    net = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4))
+    assert net.langs == ("e", "f")
+    found = langid.identify(spark.createDataFrame([(t,) for t in texts], "text string"), net, keep=["text"]).collect()
+    assert {r.text: r.lang_pred for r in found} == dict(zip(texts, "ef", strict=True))

@@ -83,3 +83,19 @@ def test_odd_rows_and_empty_tables(spark):
     assert all(0 <= r.score <= 1 for r in tx.score(odd_docs(spark), none, ["doc_id"]).collect())
     with pytest.raises(ValueError, match="score"):
         tx.score(odd_docs(spark), scorer, ["score"])
+
+
+def test_one_model_whatever_the_order_of_rows(spark):
+    """Equal texts with both labels, repeated ids with several texts, one id 20,000 times."""
+    texts = ["you idiot, you stupid fool", "a kind word for the house", "the river is wide"]
+    docs = [(i, f"{texts[i % 3]} {i // 9}") for i in range(180)] + [(7, "another text of seven")] * 20_000 + [(8, "z"), (8, "y")]
+    marks = [(i, int(i % 3 == 0) if i % 10 else i // 10 % 2) for i in range(180)]
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    made = []
+    for rows in (docs, docs[::-1]):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3 + len(made))
+        scorer = tx.learn(df, labels.repartition(2))
+        made.append((sorted(scorer.lexicon), scorer.centre.tolist(), scorer.share.tolist()))
+        probe = spark.createDataFrame([(t,) for t in texts], "text string")
+        made[-1] += (sorted(map(repr, tx.score(probe, scorer, ["text"]).collect())),)
+    assert made[0] == made[1]
