@@ -33,9 +33,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A low score alone, as of a short text full of numbers, is no reason to lose a document. Learns from the labelled documents outside the held-out fifth; without any, only letters count.
     """
     known = docs.where(~held_out(F.col("doc_id"), 5, 0))
-    try:
-        net = langid.learn(known)
-    except ValueError:  # no labelled document
+    net = langid.learn(known)
+    if net is None:
         return docs.where(F.coalesce(F.regexp(F.col("text"), F.lit(r"\p{L}")), F.lit(False)))
     plain, names = _aside(docs)
     judged = langid.identify(plain, net, _text(docs, names), names)
