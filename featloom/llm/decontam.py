@@ -22,13 +22,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, flat, held, map_arrow
+from .common import blocks, checkpoint, flat, held, map_arrow
 
 Q = 8
 RATE = 0.1
@@ -132,7 +133,8 @@ def _grams(data: np.ndarray) -> np.ndarray:
 class Items:
     """A block of benchmark items with an index of their q-grams."""
 
-    ids: list[int | None]
+    ids: list[int | None]  # the first id of each text
+    every_id: list[list[int | None]]
     texts: list[bytes]
     budget: np.ndarray
     bound: np.ndarray
@@ -145,10 +147,13 @@ class Items:
 
 
 def index(rows: list[tuple[int | None, str | None]]) -> Items:
-    """The q-gram index of items (id, text)."""
+    """The q-gram index of items (id, text); items that are equal when folded are looked for once."""
     raw = [(i, np.frombuffer(t.encode(), np.uint8)) for i, t in rows if t]
-    kept = [(i, fold(t, np.array([0, len(t)]))[0].tobytes().strip()) for i, t in raw]
-    kept = sorted(((i, t) for i, t in kept if t), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    folded = [(i, fold(t, np.array([0, len(t)]))[0].tobytes().strip()) for i, t in raw]
+    by_text: dict[bytes, list[int | None]] = {}
+    for i, t in sorted(((i, t) for i, t in folded if t), key=lambda r: (r[0] is None, r[0] or 0, r[1])):
+        by_text.setdefault(t, []).append(i)
+    kept = [(ids[0], t) for t, ids in by_text.items()]
     length = np.array([len(t) for _, t in kept], np.int64)
     budget = np.minimum((RATE * length).astype(np.int64), np.maximum((length - Q) // Q, 0))
     bound = length - Q + 1 - Q * budget
@@ -161,7 +166,7 @@ def index(rows: list[tuple[int | None, str | None]]) -> Items:
     seen = np.zeros(1 << _TABLE_BITS, bool)
     seen[(gram >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
     return Items(
-        [i for i, _ in kept], [t for _, t in kept], budget, bound, gram,
+        [i for i, _ in kept], list(by_text.values()), [t for _, t in kept], budget, bound, gram,
         np.append(first, len(every)), item[order], at[order], seen,
         [k for k in range(len(kept)) if length[k] < Q],
     )
@@ -203,7 +208,12 @@ def _candidates(items: Items, data, offsets) -> list[tuple[int, int, int]]:
         entry = items.first[gram[k]] + np.arange(len(k)) - (cut[k] - cut[begin])
         r, item = row[k], items.item[entry]
         pair = (r - row[begin]) * n + item
-        enough = np.bincount(pair)[pair] >= items.bound[item]
+        if pair.max() < 8 * len(pair):
+            together = np.bincount(pair)[pair]
+        else:  # few of all pairs occur
+            _, which, times = np.unique(pair, return_inverse=True, return_counts=True)
+            together = times[which]
+        enough = together >= items.bound[item]
         if enough.any():
             k, entry, r, item = k[enough], entry[enough], r[enough], item[enough]
             diagonal = place[k] - offsets[r] - items.at[entry]
@@ -232,59 +242,81 @@ def _masks(item: bytes) -> dict[int, int]:
     return kept[item]
 
 
-def _near(item: bytes, region: bytes, budget: int) -> bool:
-    """Whether some substring of ``region`` is within the budget, a column of the programme as bits."""
+def _nearest(item: bytes, region: bytes) -> tuple[int, int]:
+    """(edits, end) of the substring of ``region`` nearest to ``item``, the first such end: a column of the programme as bits."""
     masks, every, top = _masks(item), (1 << len(item)) - 1, 1 << len(item) - 1
     up, down, cost = every, 0, len(item)
-    for c in region:
+    best = cost, 0
+    for end, c in enumerate(region, 1):
         same = masks.get(c, 0)
         level = same | down
         across = ((same & up) + up ^ up) | same
         more = (down | ~(across | up)) & every
         less = up & across
         cost += bool(more & top) - bool(less & top)
-        if cost <= budget:
-            return True
+        if cost < best[0]:
+            best = cost, end
         more = more << 1 & every
         up = (less << 1 | ~(level | more)) & every
         down = more & level
-    return False
+    return best
+
+
+def _slide(item8: np.ndarray, text8: np.ndarray, m: int, n: int, row: np.ndarray, diagonal: np.ndarray) -> None:
+    """Each row moved on along its diagonal while item and text agree, eight bytes at a time."""
+    live = np.flatnonzero(row >= 0)
+    while len(live):
+        i = row[live]
+        differ = item8[i] ^ text8[i + diagonal[live]]
+        low = differ & (~differ + np.uint64(1))
+        same = np.where(differ == 0, 8, (np.log2(np.maximum(low, 1).astype(np.float64)) // 8).astype(np.int64))
+        room = np.minimum(m - i, n - diagonal[live] - i)
+        row[live] = i + np.minimum(same, room)
+        live = live[(same == 8) & (room > 8)]
+
+
+def _length(item: bytes, text: bytes, edits: int) -> int:
+    """Bytes of the prefix of ``text`` that ``edits`` edits, the least that will do, make the item.
+
+    The band has ``2 * edits + 1`` diagonals, a cell on each: the furthest row of the item reached on it
+    so far. An edit goes one row on or to a neighbouring diagonal, equal bytes cost nothing.
+    """
+    m, n = len(item), len(text)
+    pad = np.zeros(16, np.uint8)
+    item8, text8 = (
+        np.ndarray((len(x) + 9,), "<u8", np.concatenate([np.frombuffer(x, np.uint8), pad]), 0, (1,)) for x in (item, text)
+    )
+    row = np.zeros(1, np.int64)
+    for k in range(edits + 1):
+        diagonal = np.arange(-k, k + 1)
+        if k:
+            far = -2 * (m + n + k)  # not reached
+            step = np.concatenate([[far], row + 1, [far]])
+            across = np.concatenate([[far, far], row])  # a byte of the text left out
+            down = np.concatenate([row + 1, [far, far]])  # a byte of the item left out
+            row = np.minimum(np.maximum(np.maximum(step, across), down), np.minimum(m, n - diagonal))
+        row[(row < 0) | (row + diagonal < 0)] = -2 * (m + n + k)
+        _slide(item8, text8, m, n, row, diagonal)
+        whole = np.flatnonzero(row == m)
+        if len(whole):
+            return int(m + diagonal[whole[0]])
+    raise AssertionError("the edits are not the least")
 
 
 def align(item: bytes, region: bytes, budget: int) -> tuple[int, int, int] | None:
     """(edits, start, end) of the substring of ``region`` nearest to ``item``, within the budget.
 
-    Rows of the dynamic programme are vectors; the chain of insertions in a row is a running minimum.
+    The first end with the least edits, then, backwards from it in a band, a start.
     """
     found = region.find(item)
     if found >= 0:
         return 0, found, found + len(item)
-    if budget <= 0 or not _near(item, region, budget):
+    if budget <= 0:
         return None
-    text = np.frombuffer(region, np.uint8)
-    n = len(text)
-    big = budget + 1
-    step = np.arange(n + 1)
-    cost = np.zeros(n + 1, np.int64)
-    source = step.copy()
-    for i, c in enumerate(item):
-        new = np.empty(n + 1, np.int64)
-        new[0] = cost[0] + 1
-        new[1:] = np.minimum(cost[:-1] + (text != c), cost[1:] + 1)
-        start = np.empty(n + 1, np.int64)
-        start[0] = source[0]
-        diagonal = cost[:-1] + (text != c) <= cost[1:] + 1
-        start[1:] = np.where(diagonal, source[:-1], source[1:])
-        slid = new - step
-        least = np.minimum.accumulate(slid)
-        own = np.maximum.accumulate(np.where(slid == least, step, 0))
-        cost, source = least + step, start[own]
-        if cost.min() >= big + 0 and i:
-            return None
-    best = int(cost.argmin())
-    if cost[best] > budget:
+    edits, end = _nearest(item, region)
+    if edits > budget:
         return None
-    return int(cost[best]), int(source[best]), best
+    return edits, end - _length(item[::-1], region[:end][::-1], edits), end
 
 
 def leaks(items: Items, data: np.ndarray, offsets: np.ndarray) -> list[dict[int, tuple[int, int, int]]]:
@@ -322,46 +354,64 @@ def leaks(items: Items, data: np.ndarray, offsets: np.ndarray) -> list[dict[int,
 _MATCHES = "array<struct<item_id:long,edits:int,start:long,end:long>>"
 
 
-def item_blocks(benchmark: DataFrame) -> list[Items]:
-    """The benchmark in blocks of bounded size, each read on its own."""
-    size = benchmark.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    count = -(-int(size) // BLOCK_BYTES)
-    out = []
-    for i in range(count):
-        mine = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(count)) == i
-        out.append(index([(r[0], r[1]) for r in benchmark.where(mine).select("item_id", "text").collect()]))
-    return out
+def n_blocks(benchmark: DataFrame) -> int:
+    """Blocks of about ``BLOCK_BYTES`` of different item texts."""
+    size = F.sum(F.octet_length("text"))
+    different = benchmark.select("text").distinct().agg(size.alias("n")).first().n or 0
+    return -(-int(different) // BLOCK_BYTES)
+
+
+def item_block(benchmark: DataFrame, number: int, count: int) -> Items:
+    """One block: each different text with its ids, the one part of the benchmark that the driver holds."""
+    mine = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(count)) == number
+    rows = benchmark.where(mine).groupBy("text").agg(
+        F.collect_list("item_id").alias("ids"), F.count_if(F.col("item_id").isNull()).alias("nulls")
+    )
+    return index([(i, r["text"]) for r in rows.collect() for i in [*r["ids"], *[None] * r["nulls"]]])
+
+
+def _with_leaks(df: DataFrame, items: Items, kept: int, out: str) -> DataFrame:
+    """The first ``kept`` columns and leaks by one block of items; column ``kept`` is the text."""
+    names = df.columns[:kept]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:kept])
+
+    def run(batch: pa.RecordBatch):
+        rows = [
+            [
+                {"item_id": i, "edits": v[0], "start": v[1], "end": v[2]}
+                for i, v in sorted(
+                    ((i, v) for k, v in found.items() for i in items.every_id[k]), key=lambda x: (x[0] is None, x[0] or 0)
+                )
+            ]
+            for found in leaks(items, *flat(batch.column(kept)))
+        ]
+        kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(rows, kind)], names=[*names, out])
+
+    return map_arrow(df, run, f"{schema}, {out} {_MATCHES}" if schema else f"{out} {_MATCHES}")
 
 
 def find_leaks(df: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """Columns ``keep`` and leaks: item, edits and byte range of the nearest region, by item.
 
-    ``benchmark`` has item_id and text.
+    ``benchmark`` has item_id and text. One block of items is found in one pass over the documents. Of
+    several, each is read on its own and its finds, the only rows it has, are written before the next.
     """
     if "leaks" in keep:
         raise ValueError("a kept column is named like the result: leaks")
-    made = df.select(
-        *keep, F.col(text_col).alias("__text"), F.array().cast(_MATCHES).alias("leaks")
-    )
-    n = len(keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in made.schema.fields)
-    for items in item_blocks(benchmark):
-
-        def run(batch: pa.RecordBatch, items=items):
-            found = leaks(items, *flat(batch.column(n)))
-            if any(found):
-                before = batch.column(n + 1).to_pylist()
-                merged = [
-                    old + [
-                        {"item_id": items.ids[k], "edits": v[0], "start": v[1], "end": v[2]}
-                        for k, v in sorted(new.items())
-                    ]
-                    for old, new in zip(before, found, strict=True)
-                ]
-                column = pa.array(merged, batch.schema.field(n + 1).type)
-            else:
-                column = batch.column(n + 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: n + 1], column], schema=batch.schema)
-
-        made = map_arrow(made, run, schema)
-    return made.drop("__text")
+    count = n_blocks(benchmark)
+    rows = df.select(*keep, F.col(text_col).alias("__text"))
+    if count == 0:
+        return rows.select(*keep, F.array().cast(_MATCHES).alias("leaks"))
+    if count == 1:
+        return _with_leaks(rows, item_block(benchmark, 0, 1), len(keep), "leaks")
+    rows = checkpoint(rows.withColumn("__row", F.monotonically_increasing_id()))
+    finds = [
+        checkpoint(_with_leaks(rows.select("__row", "__text"), item_block(benchmark, i, count), 1, "__leaks").where("size(__leaks) > 0"))
+        for i in range(count)
+    ]
+    # Each document with a find, and its finds of all blocks by item, a null id last.
+    merged = reduce(DataFrame.unionByName, finds).groupBy("__row").agg(F.flatten(F.collect_list("__leaks")).alias("__leaks"))
+    ordered = F.sort_array(F.transform("__leaks", lambda x: F.struct(x["item_id"].isNull().alias("none"), x.alias("leak"))))
+    found = merged.select("__row", F.transform(ordered, lambda x: x["leak"]).alias("leaks"))
+    return rows.join(found, "__row", "left").select(*keep, F.coalesce("leaks", F.array().cast(_MATCHES)).alias("leaks"))

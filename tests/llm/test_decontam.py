@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -27,11 +28,11 @@ def distance(item, text):
 def edited(rng, text, edits):
     out = list(text)
     for _ in range(edits):
-        k = rng.randrange(len(out))
+        k = rng.randrange(max(len(out), 1))
         kind = rng.randrange(3)
-        if kind == 0:
+        if kind == 0 and out:
             out[k] = rng.choice("xyz ")
-        elif kind == 1:
+        elif kind == 1 or not out:
             out.insert(k, rng.choice("xyz "))
         else:
             del out[k]
@@ -121,11 +122,54 @@ def test_blocks_of_the_benchmark_agree(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"before ITEM number {i} has its own words {i * 7919} after") for i in range(60)], "doc_id long, text string")
     whole = {r.doc_id: sorted(x.item_id for x in r.leaks) for r in dc.find_leaks(docs, bench, ["doc_id"]).collect()}
     monkeypatch.setattr(dc, "BLOCK_BYTES", 300)
-    assert len(dc.item_blocks(bench)) > 3
+    assert dc.n_blocks(bench) > 3
     assert whole == {r.doc_id: sorted(x.item_id for x in r.leaks) for r in dc.find_leaks(docs, bench, ["doc_id"]).collect()}
     assert all(i in whole[i] for i in range(40))
 
 
+def test_equal_items_are_found_once_and_named_all(spark, monkeypatch):
+    text = "a question that many items ask in the very same words"
+    rows = [(i, text) for i in range(400)] + [(None, text.upper()), (7, text), (500, "another question of quite other words here")]
+    bench = spark.createDataFrame(rows, "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"so: {text}?"), (2, "nothing of it"), (3, "x another question of quite other words here y " + text)], "doc_id long, text string")
+    want = sorted([*range(400), 7]) + [None]
+    for size in (dc.BLOCK_BYTES, 40):
+        monkeypatch.setattr(dc, "BLOCK_BYTES", size)
+        found = {r.doc_id: [x.item_id for x in r.leaks] for r in dc.find_leaks(docs, bench, ["doc_id"]).collect()}
+        assert found == {1: want, 2: [], 3: want[:-1] + [500, None]}
+    assert len(dc.index([(r[0], r[1]) for r in rows]).texts) == 2
+
+
+def test_alignment_of_random_texts():
+    """Edits, and an end and start that have them, also for regions shorter than the item."""
+    rng = random.Random(8)
+    for _ in range(400):
+        item = "".join(rng.choice("ab") for _ in range(rng.randint(1, 30)))
+        region = "".join(rng.choice("ab") for _ in range(rng.randint(0, 45)))
+        if rng.random() < 0.5:
+            region = region[:10] + edited(rng, item, rng.randint(0, 6)) + region[10:20]
+        budget = rng.randint(0, 12)
+        got = dc.align(item.encode(), region.encode(), budget)
+        want = distance(item, region)
+        assert (got is None) == (want > budget), (item, region, budget, got, want)
+        if got:
+            edits, start, end = got
+            assert edits == want and 0 <= start <= end <= len(region)
+            assert distance(item, region[start:end]) == want
+
+
+@pytest.mark.parametrize("edits", [5, 400, 1500, 4000])
+def test_long_items_align_fast(edits):
+    rng = random.Random(edits)
+    item = "".join(rng.choice("abcdefgh ") for _ in range(16_000))
+    region = "".join(rng.choice("abcdefgh ") for _ in range(2000)) + edited(rng, item, edits) + "xyz" * 600
+    start = time.process_time()
+    got = dc.align(item.encode(), region.encode(), 1600)
+    took = time.process_time() - start
+    assert (got is None) == (edits == 4000)
+    assert took < 1.0  # a fraction of it on a machine that does nothing else
+
+
 @pytest.mark.parametrize("bench", [[], [(1, None), (None, "  "), (3, "")], [(None, "the same line\nother"), (7, "word")]])
 def test_odd_rows(spark, bench):
     df = spark.createDataFrame(bench, "item_id long, text string")
