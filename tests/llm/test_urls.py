@@ -1,5 +1,8 @@
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from featloom.llm import urlrules
 from tests.llm.helpers import SF, run
 from tests.oracle import connect, duck_rows, spark_rows
@@ -50,14 +53,43 @@ def test_random_rules_and_urls(spark):
         assert found[i] == brute(url, rules), url
 
 
-def test_salted_sweep_agrees(spark, monkeypatch):
-    monkeypatch.setattr(urlrules, "PART_ROWS", 3)
+@pytest.mark.parametrize("cuts", [1, 2, 16])
+def test_cuts_agree(spark, monkeypatch, cuts):
+    monkeypatch.setattr(urlrules, "CUTS", cuts)
     rules = [("a", "/", "allow"), ("a", "/1", "block"), ("b.a", "/12", "allow")]
     urls = [f"http://{h}/{i}" for i in range(40) for h in ("a", "b.a", "c")]
     found, _ = judged(spark, urls, rules)
     assert all(found[i] == brute(u, rules) for i, u in enumerate(urls))
 
 
+def test_nested_intervals_and_odd_labels(spark):
+    """Stacks of depth, intervals that close, and hosts that hold the marks of keys themselves."""
+    odd = ["\x01", "a\x01b", "a\x02", "\x03", "\x03a", "a..b", ".", "com", "co", "comm", "b.com", "x.b.com", "bb.com", "z"]
+    rules = [(h, p, "block" if i % 2 else "allow") for i, h in enumerate(odd) for p in ("/", "/p", "/p/q", "/p/q/r\U0010ffff", "/pp")]
+    hosts = odd + [f"w.{h}" for h in odd] + ["a.b", "a.x.b.com", "\x02", "com\x01", "com\x02"]
+    urls = [f"h://{h}{p}" for h in hosts for p in ("/", "/p", "/p/", "/p/q/r", "/p/q/r\U0010ffff/", "/pq", "/q", "")]
+    found, _ = judged(spark, urls, rules)
+    assert all(found[i] == brute(u, rules) for i, u in enumerate(urls))
+
+
+def test_a_host_with_all_urls_is_spread(spark):
+    urls = [f"http://www.example.com/{i}/" for i in range(4000)]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id int, url string").repartition(4)
+    rules = spark.createDataFrame([("com", "/", "allow"), ("example.com", "/7", "block")], "host string, path string, verdict string")
+    made = urlrules.judge_urls(df, rules)
+    assert made.where("verdict = 'block'").count() == sum(u.startswith("http://www.example.com/7") for u in urls)
+    kept = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        known = rules.select(urlrules.host_key(F.col("host")).alias("key"), "path")
+        points = df.select(F.lit("com\x01example\x01www\x01").alias("key"), F.pmod(F.xxhash64("url"), F.lit(32)).cast("int").alias("salt"), "url")
+        swept = urlrules._sweep(points, urlrules._host_events(known), ["key"], 32)
+        sizes = swept.rdd.mapPartitions(lambda x: [sum(1 for _ in x)]).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", kept)
+    assert sum(sizes) == 4000 and max(sizes) < 2000
+
+
 def test_empty_tables(spark):
     rules = [("a", "/", "block")]
     assert judged(spark, [], rules)[1] == []
