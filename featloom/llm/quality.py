@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample
+from .common import bounded_sample, checkpoint
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: Bound of the training sample, in labelled documents.
@@ -149,7 +149,8 @@ def _grow(x: np.ndarray, bad: np.ndarray) -> tuple:
                         best = (gain, (name, side, float(threshold)), hit)
         if best[1] is None:
             break
-        conditions.append(best[1])
+        # A second threshold on one side of a share takes the place of the first, which it implies.
+        conditions = [c for c in conditions if c[:2] != best[1][:2]] + [best[1]]
         inside = best[2]
     return tuple(conditions)
 
@@ -183,7 +184,10 @@ def learn_list(x: np.ndarray, bad: np.ndarray, seed: int = 5) -> list[Rule]:
 
 
 def learn(documents: DataFrame, labels: DataFrame) -> list[Rule]:
-    """Rules from (doc_id, text) and (doc_id, quality 0/1), on a bounded sample of the labels."""
+    """Rules from (doc_id, text) and (doc_id, quality 0/1), on a bounded sample of the labels.
+
+    They are learned from texts that the base rule keeps, as no others reach them.
+    """
     picked = bounded_sample(
         labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality")),
         "doc_id",
@@ -192,13 +196,23 @@ def learn(documents: DataFrame, labels: DataFrame) -> list[Rule]:
     # At most TRAIN_DOCS rows of two numbers go to each task.
     sample = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
     shares = F.struct(*(c.alias(f"s_{k}") for k, c in share_columns().items()))
+    # Numbers only; written, so that the filter does not work them out once more.
+    measured = checkpoint(
+        with_statistics(sample).select("doc_id", "quality", base_failed().alias("failed"), shares.alias("s"))
+    )
     # One row a labelled id, of repeated ones that of the least statistics.
-    rows = with_statistics(sample).groupBy("doc_id", "quality").agg(F.min(shares).alias("s")).select("doc_id", "quality", "s.*").collect()
+    one = measured.where("NOT failed").groupBy("doc_id", "quality").agg(F.min("s").alias("s"))
+    rows = one.select("doc_id", "quality", "s.*").collect()
     rows.sort(key=lambda r: r.doc_id)
     x = np.array([[r[f"s_{k}"] for k in SHARES] for r in rows], float).reshape(-1, len(SHARES))
     return learn_list(x, np.array([r.quality == 0 for r in rows], bool))
 
 
+def base_failed() -> Column:
+    """The fixed rule: fewer than 50 words, or more than half of them in repeated windows."""
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
 def verdict(rules: list[Rule]) -> Column:
     """The list as one ordered conditional: the first rule that fits rejects, else the text stays."""
     out = None
@@ -210,7 +224,5 @@ def verdict(rules: list[Rule]) -> Column:
 
 def judge(df: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
     """The rows with ``COUNTS``, base_failed and kept."""
-    df = with_statistics(df, text_col)
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    df = df.withColumn("base_failed", failed)
+    df = with_statistics(df, text_col).withColumn("base_failed", base_failed())
     return df.withColumn("kept", ~F.col("base_failed") & verdict(rules)).drop(*EXTRA)
