@@ -20,7 +20,8 @@ def mean_pool(
 ) -> DataFrame:
     """Masked mean per sequence; without a mask, the plain mean over time.
 
-    A missing vector does not count; a sequence of nothing else gets a null vector.
+    A missing vector does not count; a sequence of nothing else gets a null vector. Vectors of two
+    widths in one sequence fail the query.
     """
     weight = F.lit(1.0) if mask is None else F.col(mask).cast("double")
     rows = tokens.select(seq, F.col(vec).alias("_v"), weight.alias("_m"))
@@ -29,11 +30,14 @@ def mean_pool(
         [seq],
         F.col("_v"),
         "sum(cast({x} AS double) * _m)",
-        carry={"_total": F.sum("_m")},
+        carry={"_total": F.sum("_m"), "_least": F.min("_width")},
         keep_empty=True,
     )
     floor = F.greatest(F.col("_total"), F.lit(MASK_FLOOR))
-    means = sums.withColumn("entries", F.transform("entries", lambda s: s / floor))
+    name = F.coalesce(F.col(seq).cast("string"), F.lit("null"))
+    wrong = F.raise_error(F.concat(F.lit("vectors of several widths in sequence "), name))
+    mean = F.transform("entries", lambda s: s / floor)
+    means = sums.withColumn("entries", F.when(F.col("_least").eqNullSafe(F.col("width")), mean).otherwise(wrong))
     return chunked.gather(means, [seq], vec)
 
 

@@ -79,3 +79,12 @@ def test_float_vectors_pool_in_double(spark):
     floats = df.withColumn("vec", F.col("vec").cast("array<float>"))
     got = pooled(pooling.mean_pool(floats, mask=None))
     assert np.allclose(got[0], x[0].astype("float32").astype("float64").mean(0), atol=1e-12)
+
+
+@pytest.mark.parametrize("widths", [(2, 3), (32, 64), (40, 33)])
+def test_mean_of_two_widths_is_an_error(spark, widths):
+    rows = [("ok", 0, 1, [1.0] * 5), ("ok", 1, 1, None)] + [("s", i, 1, [1.0] * w) for i, w in enumerate(widths)]
+    df = spark.createDataFrame(rows, "seq_id string, pos int, mask int, vec array<float>")
+    assert pooling.mean_pool(df.where("seq_id = 'ok'")).first().vec == [1.0] * 5
+    with pytest.raises(Exception, match="several widths in sequence s"):
+        pooling.mean_pool(df).collect()
