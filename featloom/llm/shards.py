@@ -1,20 +1,27 @@
 """Shards by balanced label propagation.
 
-Documents start in shards by the hash of their id. Every linked document learns, from aggregated
-votes, which shard most of its neighbours are in among those that still have room for its whole group,
-and asks to move there; a shard admits whole groups, large ones first, up to its equal share of all
-documents. Refused groups ask again, until no group is left. A group that no shard has room for fills
-shards one after another under the same quota; the pairs this cuts are logged. Unlinked documents of
-overfull shards then fill the others, so that the counts of two shards differ by one at most; they cut
-nothing wherever they go.
-
-Links are given by group: rows with the same non-null group value are all neighbours of one another,
-which is never written out as pairs. Votes are sums by group and shard, ``shards`` numbers a
-group, so a group with a third of all rows is summed before it is shuffled; rounds read these sums
-only. What is open never exceeds the room left, so fewer than ``shards`` groups at a time find no
-room, and only these come to the driver. The labels of large groups, a bounded number, are broadcast to the
-rows; the join that carries the others is an ordinary one. Ranks are row numbers inside hash buckets plus
-bucket offsets: no shard is sorted in one task.
+Documents start in shards by the hash of their id. In each round every linked document counts, by a join
+of the links with the labels as they are now, how many of its neighbours are in each shard. One that has
+more in another shard than in its own asks to move there. Of neighbours that ask, the one with the most to
+gain may move, so that moves do not undo each other and every round cuts fewer links than the one before.
+A shard admits as many as it has room for, largest gains first: its equal share of all documents, less
+the linked ones it has. Full shards swap documents one for one. The rounds end when nothing moves.
+
+Links are given as pairs, or by group: rows with the same non-null group value. A group is linked as a
+star of stars: its members in up to ``SALTS`` parts, each around its first member, and these around the
+first of all, so a group with a third of all rows has as many links as rows and no very large star.
+
+Every two members of a group are alike, which its stars do not say. So at the end a group that lies in
+several shards goes to the one most of its rows are in among those that have room for all of it: groups ask
+with the votes that the propagation left, large ones first, until no group is left. A group that no shard
+has room for fills shards one after another under the same quota; the pairs this cuts are logged. Unlinked
+documents then fill the shards, so that the counts of two shards differ by one at most.
+
+Votes of groups are sums by group and shard, ``shards`` numbers a group, so a group with a third of all
+rows is summed before it is shuffled. What is open never exceeds the room left, so fewer than ``shards``
+groups at a time find no room, and only these come to the driver. The labels of large groups, a bounded
+number, are broadcast to the rows; the join that carries the others is an ordinary one. Ranks are row
+numbers inside hash buckets plus bucket offsets: no shard is sorted in one task.
 
 A null id counts as an id like any other, and repeated rows each get a slot. An empty table gives an
 empty result. Columns of the input that are called like results are replaced.
@@ -34,6 +41,8 @@ from .common import checkpoint
 
 SHARDS = 8
 BUCKETS = 512
+#: Stars of a group at most.
+SALTS = 256
 
 _log = logging.getLogger(__name__)
 
@@ -72,6 +81,110 @@ def _bucket() -> Column:
     )
 
 
+def star_links(rows: DataFrame, salts: int = SALTS) -> DataFrame:
+    """(a, b): the links of the rows (node, group), a star of stars for each group."""
+    salted = rows.select("node", "group", F.pmod(_hash("node"), F.lit(salts)).alias("salt"))
+    centres = checkpoint(salted.groupBy("group", "salt").agg(F.min("node").alias("centre")))
+    hubs = centres.groupBy("group").agg(F.min("centre").alias("hub"))
+    return (
+        salted.join(centres, ["group", "salt"])
+        .select(F.col("node").alias("a"), F.col("centre").alias("b"))
+        .unionByName(centres.join(hubs, "group").select(F.col("centre").alias("a"), F.col("hub").alias("b")))
+        .where("a <> b")
+    )
+
+
+def _wishes(links: DataFrame, labels: DataFrame, open_: list[bool]) -> DataFrame:
+    """(node, label, degree, here, target, gain, h) of every linked node; ``here``: neighbours in its own shard.
+
+    The target is the shard with the most neighbours among the open ones and its own, by a hash of node
+    and shard among equal ones.
+    """
+    shards = len(open_)
+    near = links.join(labels.select(F.col("node").alias("b"), F.col("label").alias("of")), "b")
+    votes = near.groupBy("a").agg(F.array(*[F.count_if(F.col("of") == s) for s in range(shards)]).alias("votes"))
+    known = labels.join(votes, F.col("node") == F.col("a")).withColumn("here", F.col("votes")[F.col("label")])
+    choices = [
+        F.when(
+            F.lit(open_[s]) | (F.col("label") == s),
+            F.struct(F.col("votes")[s], (F.col("label") == s).alias("own"), F.xxhash64("node", F.lit(s)), F.lit(s).alias("s")),
+        )
+        for s in range(shards)
+    ]
+    best = F.array_max(F.array(*choices))["s"]
+    return known.select(
+        "node", "label", F.aggregate("votes", F.lit(0).cast("long"), lambda x, y: x + y).alias("degree"), "here",
+        best.alias("target"), (F.col("votes")[best] - F.col("here")).alias("gain"), F.xxhash64(F.lit(3), "node").alias("h"),
+    )
+
+
+def _admitted(asked: list[list[int]], free: list[int]) -> list[list[int]]:
+    """How many may move from each shard to each other: swaps one for one, then what the room allows."""
+    shards, room = len(free), [max(n, 0) for n in free]
+    out = [[min(asked[i][j], asked[j][i]) for j in range(shards)] for i in range(shards)]
+    for j in range(shards):
+        for i in range(shards):
+            more = min(asked[i][j] - out[i][j], room[j])
+            out[i][j] += more
+            room[j] -= more
+    return out
+
+
+def propagate_labels(labels: DataFrame, links: DataFrame, share: list[int]) -> tuple[DataFrame, list[int]]:
+    """(labels of all nodes in the end, links cut before each round and in the end).
+
+    ``labels``: node and label, of linked nodes at least; ``links``: pairs of nodes a and b; ``share``: the
+    most nodes of each shard. A shard that has more to begin with admits none until it has fewer.
+    """
+    shards = len(share)
+    both = links.where("a <> b")
+    both = checkpoint(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels, cuts, swap, blocked = checkpoint(labels.select("node", "label")), [], False, None
+    while True:
+        counts = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count("*").alias("n")).collect()}
+        free = [share[s] - counts.get(s, 0) for s in range(shards)]
+        # In turns: to shards with room, then, if none of that is left to do, by swaps.
+        wishes = checkpoint(_wishes(both, labels, [swap or n > 0 for n in free]))
+        cut = wishes.agg(F.sum(F.col("degree") - F.col("here"))).first()[0] or 0
+        cuts.append(cut // 2)
+        wants = wishes.where("gain > 0")
+        if blocked is not None:
+            wants = wants.join(blocked, "node", "left_anti")
+        rank = F.struct("gain", "h", "node")
+        rivals = (
+            both.join(wants.select(F.col("node").alias("b"), rank.alias("r")), "b")
+            .groupBy("a")
+            .agg(F.max("r").alias("rival"))
+        )
+        movers = checkpoint(
+            wants.join(rivals, F.col("node") == F.col("a"), "left")
+            .where(F.col("rival").isNull() | (rank > F.col("rival")))
+            .select("node", "label", "target", "gain", "h", (F.col("label") * shards + F.col("target")).alias("pair"))
+        )
+        asked = [[0] * shards for _ in range(shards)]
+        for r in movers.groupBy("label", "target").agg(F.count("*").alias("n")).collect():
+            asked[r["label"]][r["target"]] = r["n"]
+        may = _admitted(asked, free)
+        moved = sum(map(sum, may))
+        if not moved:
+            if swap and not sum(map(sum, asked)):
+                return labels, cuts
+            if swap:  # those that nobody makes room for let their neighbours ask
+                mine = movers.select("node")
+                blocked = mine if blocked is None else checkpoint(blocked.unionByName(mine))
+            swap, cuts = True, cuts[:-1]
+            continue
+        swap, blocked = False, None
+        # Larger gains first, by powers of two.
+        bucket = -BUCKETS * F.floor(F.log2("gain")) + F.pmod("h", F.lit(BUCKETS))
+        order = [F.col("gain").desc(), F.col("h"), F.col("node")]
+        limit = F.array(*[F.lit(n) for row in may for n in row])[F.col("pair")]
+        go = with_rank(movers, "pair", bucket, order, "rank").where(F.col("rank") < limit)
+        new = go.select("node", F.col("target").alias("new"))
+        labels = checkpoint(labels.join(new, "node", "left").select("node", F.coalesce("new", "label").alias("label")))
+        _log.info("%d links cut, %d documents move", cuts[-1], moved)
+
+
 def _round(groups: DataFrame, free: list[int]) -> DataFrame:
     """One round of open groups: ``__label`` is the shard that admits the whole group, or null."""
     # Most votes, then a hash, so that ties spread over the shards.
@@ -251,7 +364,7 @@ def propagate(
 
     ``group``: a 64-bit number or null; rows that share it are linked.
     """
-    base = checkpoint(
+    start = checkpoint(
         df.select(
             F.col(id_col).alias("__id"),
             F.coalesce(size, F.lit(0)).cast("long").alias("__size"),
@@ -262,7 +375,20 @@ def propagate(
             "__shard", F.pmod(_hash(F.lit(29), F.col("__id_hash")), F.lit(shards)).cast("int")
         )
     )
-    total = base.count()
+    total = start.count()
+    # Named by content, so that no result depends on partitions; equal rows are one node.
+    named = start.withColumn("node", _hash("__id_hash", "__group_hash", "__size", "__crc"))
+    nodes = named.where("__group_hash IS NOT NULL").select("node", F.col("__group_hash").alias("group"), "__shard").distinct()
+    links = checkpoint(star_links(nodes))
+    linked = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    own = nodes.join(linked, "node", "left_semi").select("node", F.col("__shard").alias("label"))
+    labels, cuts = propagate_labels(own, links, [total // shards + (s < total % shards) for s in range(shards)])
+    _log.info("links cut by round: %s", cuts)
+    base = checkpoint(
+        named.join(labels, "node", "left")
+        .withColumn("__shard", F.coalesce("label", "__shard"))
+        .select(start.columns)
+    )
     rows = checkpoint(_place(base, total, shards))
     rows = checkpoint(_settle(rows, total, shards))
     slotted = with_rank(rows, "__shard", F.pmod("__id_hash", F.lit(BUCKETS)), [F.col("__id_hash"), *_order()], "slot")

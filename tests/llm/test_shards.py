@@ -1,6 +1,8 @@
+import random
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from featloom.llm import shards
@@ -91,3 +93,101 @@ def test_odd_rows(spark):
     even(rows)
     empty = shards.propagate(empty_docs(spark), "doc_id", F.octet_length("text"), F.crc32(text), F.xxhash64("text"))
     assert empty.count() == 0
+
+
+def hashes(spark, n, k):
+    rows = spark.range(n).select(F.col("id").alias("node"), F.xxhash64(F.lit(3), F.col("id")).alias("h"), *[
+        F.xxhash64(F.col("id"), F.lit(s)).alias(f"t{s}") for s in range(k)
+    ]).collect()
+    return {r.node: (r.h, [r[f"t{s}"] for s in range(k)]) for r in rows}
+
+
+def plain_propagation(labels, links, share, h):
+    """The rounds in the plainest way: dictionaries, no ranks, no joins."""
+    k, labels = len(share), dict(labels)
+    near = defaultdict(set)
+    for a, b in links:
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    cuts, swap, blocked = [], False, set()
+    while True:
+        free = [share[s] - sum(x == s for x in labels.values()) for s in range(k)]
+        wants = {}
+        for v in near:
+            votes = Counter(labels[u] for u in near[v])
+            own = labels[v]
+            target = max(
+                (s for s in range(k) if swap or free[s] > 0 or s == own),
+                key=lambda s: (votes[s], s == own, h[v][1][s]),
+            )
+            if votes[target] > votes[own] and v not in blocked:
+                wants[v] = (votes[target] - votes[own], h[v][0], v, target)
+        cuts.append(sum(labels[a] != labels[b] for a in near for b in near[a]) // 2)
+        movers = [w for v, w in wants.items() if all(wants[u][:3] < w[:3] for u in near[v] if u in wants)]
+        asked = [[sum(labels[w[2]] == i and w[3] == j for w in movers) for j in range(k)] for i in range(k)]
+        may = shards._admitted(asked, free)
+        if not sum(map(sum, may)):
+            if swap and not movers:
+                return labels, cuts
+            if swap:
+                blocked |= {w[2] for w in movers}
+            swap, cuts = True, cuts[:-1]
+            continue
+        swap, blocked = False, set()
+        moves = {}
+        for i in range(k):
+            for j in range(k):
+                pair = [w for w in movers if labels[w[2]] == i and w[3] == j]
+                pair.sort(key=lambda w: (-(w[0].bit_length() - 1) * 512 + w[1] % 512, -w[0], w[1], w[2]))
+                moves |= {w[2]: j for w in pair[: may[i][j]]}
+        labels |= moves
+
+
+def links_of(kind, n, rng):
+    if kind == "stars":
+        return [(i, i - i % 7) for i in range(n)]
+    if kind == "chain":
+        return [(i, i + 1) for i in range(n - 1)]
+    if kind == "unequal":
+        cuts = [0, 1, 3, 10, 12, 40, n // 2, n]
+        return [(i, a) for a, b in zip(cuts, cuts[1:]) for i in range(a, b)]
+    return [(rng.randrange(n), rng.randrange(n)) for _ in range(2 * n)]
+
+
+@pytest.mark.parametrize("kind", ["stars", "chain", "unequal", "random"])
+@pytest.mark.parametrize("spare", [0, 15])
+def test_propagation_equals_the_plain_rounds(spark, kind, spare):
+    rng = random.Random(kind + str(spare))
+    n, k = 60, 3
+    share = [n // k + spare] * k
+    start = {i: i % k if spare else (i * 7) % k for i in range(n)}
+    links = links_of(kind, n, rng)
+    nodes = spark.createDataFrame(list(start.items()), "node long, label int").repartition(3)
+    pairs = spark.createDataFrame(links, "a long, b long").repartition(2)
+    found, cuts = shards.propagate_labels(nodes, pairs, share)
+    found = {r.node: r.label for r in found.collect()}
+    want, want_cuts = plain_propagation(start, links, share, hashes(spark, n, k))
+    assert found == want and cuts == want_cuts
+    assert all(a > b for a, b in zip(cuts, cuts[1:]))
+    assert len(cuts) > 1 or not spare  # full shards may have nothing to swap
+    counts = Counter(found.values())
+    assert all(counts[s] <= share[s] for s in range(k))
+
+
+def test_stars_of_a_group_hold_it_together(spark):
+    rows = spark.range(700).select(F.col("id").alias("node"), F.when(F.col("id") < 500, F.lit(1)).otherwise(F.col("id") % 50).alias("group"))
+    links = [(r.a, r.b) for r in shards.star_links(rows, 8).collect()]
+    root = {i: i for i in range(700)}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[find(a)] = find(b)
+    group = {r.node: r.group for r in rows.collect()}
+    assert len({find(i) for i in range(700)}) == len(set(group.values()))
+    assert len(links) == 700 - len(set(group.values()))
+    assert max(Counter(b for _, b in links).values()) < 150
