@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featloom.functions.stats import log_two_sided_p
+from featloom.operators.exact import exact_moments
 from featloom.operators.reshape import nan_to_null, to_long
 
 KEYS = ["user_id", "feat"]
@@ -76,7 +77,11 @@ def residuals(aligned: DataFrame) -> DataFrame:
 
 
 def paired_ttest(
-    truth: DataFrame, baseline: DataFrame, pred: DataFrame, nan_policy: str = "propagate"
+    truth: DataFrame,
+    baseline: DataFrame,
+    pred: DataFrame,
+    nan_policy: str = "propagate",
+    reproducible: bool = False,
 ) -> DataFrame:
     """Paired t-test of baseline against prediction residuals, per outcome.
 
@@ -86,17 +91,26 @@ def paired_ttest(
     user has null t and p; ``omit`` tests the pairs there are. Fewer than two
     pairs, or differences without spread, give null. Sorted by p, null last; by
     its logarithm, so that order follows t also where p is too small to print.
+    With ``reproducible`` t and p are equal to the last bit under any partitioning.
     """
     if nan_policy not in ("propagate", "omit"):
         raise ValueError(f"nan_policy: {nan_policy}")
     rows = residuals(_side_by_side(truth, baseline, pred)).withColumn(
         "difference", F.col("baseline_residual") - F.col("pred_residual")
     )
-    tests = rows.where("_pred = 1").groupBy("feat").agg(
-        F.count("difference").alias("n"),
-        F.avg("difference").alias("_mean"),
-        F.stddev_samp("difference").alias("_sd"),
-    )
+    pairs = rows.where("_pred = 1")
+    if reproducible:
+        moments = exact_moments(pairs, ["feat"], ["difference"]).select(
+            "feat", F.col("n").alias("_n"), F.col("mean").alias("_mean"), F.col("std").alias("_sd")
+        )
+        every = pairs.groupBy("feat").agg(F.count("difference").alias("n"))
+        tests = every.join(moments, "feat", "left").drop("_n")
+    else:
+        tests = pairs.groupBy("feat").agg(
+            F.count("difference").alias("n"),
+            F.avg("difference").alias("_mean"),
+            F.stddev_samp("difference").alias("_sd"),
+        )
     t = F.try_divide(F.col("_mean"), F.col("_sd") / F.sqrt(F.col("n").cast("double")))
     if nan_policy == "propagate":
         t = F.when(F.col("n") == _common_users(rows).scalar(), t)

@@ -7,15 +7,27 @@ from pyspark.sql import functions as F
 
 from featloom import fixed
 from featloom.functions import vectors
-from featloom.operators import chunked
+from featloom.operators import chunked, exact
 from featloom.operators.reshape import nan_to_null
 from featloom.operators.sizing import broadcast_if_small
 
 
 def outcome_stats(
-    segments: DataFrame, by: str = "dataset_name", cols: list[str] = fixed.OUTCOMES
+    segments: DataFrame,
+    by: str = "dataset_name",
+    cols: list[str] = fixed.OUTCOMES,
+    reproducible: bool = False,
 ) -> DataFrame:
-    """Mean and sample standard deviation of every outcome, one row per corpus."""
+    """Mean and sample standard deviation of every outcome, one row per corpus.
+
+    With ``reproducible`` equal to the last bit under any partitioning; a corpus without any value is left out.
+    """
+    if reproducible:
+        moments = exact.exact_moments(segments, [by], cols)
+        picked = [
+            F.max(F.when(F.col("column") == c, F.col(m))).alias(f"{c}_{m}") for c in cols for m in ("mean", "std")
+        ]
+        return moments.groupBy(by).agg(*picked)
     aggregates = []
     for c in cols:
         x = nan_to_null(F.col(c).cast("double"))
@@ -43,12 +55,13 @@ def zscore_rescale(
     by: str = "dataset_name",
     target: DataFrame | tuple[float, float] = (0.0, 1.0),
     cols: list[str] = fixed.OUTCOMES,
+    reproducible: bool = False,
 ) -> DataFrame:
     """z-score per corpus, then rescale to a target mean and std.
 
     ``target`` is two numbers or the one-row frame of
     :func:`embedding_distribution`. A corpus whose std is zero, or of a single
-    row, gives null.
+    row, gives null. ``reproducible`` as in :func:`outcome_stats`.
     """
     if isinstance(target, DataFrame):
         goal = target.select(F.struct("mean", "std")).scalar()
@@ -56,7 +69,7 @@ def zscore_rescale(
         goal = F.struct(*[F.lit(float(x)).alias(n) for x, n in zip(target, ("mean", "std"))])
     # The target rides on the statistics, so its subquery is planned once.
     stats = broadcast_if_small(
-        outcome_stats(segments, by, cols).withColumn("_goal", goal),
+        outcome_stats(segments, by, cols, reproducible).withColumn("_goal", goal),
         probe=segments.select(by).distinct(),
     )
     scaled = {

@@ -73,6 +73,12 @@ def paired_ttest(v):
     return _rounded(compare.paired_ttest(*_frames(v)))
 
 
+@query("AGG-8", TTEST)
+def paired_ttest_exact(v):
+    """The same, equal to the last bit under any partitioning."""
+    return _rounded(compare.paired_ttest(*_frames(v), reproducible=True))
+
+
 @query("AGG-8 RSH-1 PRJ-2 SRT-2", TTEST)
 def model_comparison(v):
     """The whole job from a wide truth table."""

@@ -12,21 +12,30 @@ OUTCOMES = fixed.OUTCOMES
 SPREAD = "((message_id % 4294967296) * 1640531527) % 4294967296"
 
 
-@query(
-    "AGG-3",
+OUTCOME_STATS = (
     "SELECT dataset_name, "
     + ", ".join(
         f"round(avg({c}), 6) + 0.0 AS {c}_mean, round(stddev_samp({c}), 6) + 0.0 AS {c}_std"
         for c in OUTCOMES
     )
-    + " FROM {segments} GROUP BY dataset_name",
+    + " FROM {segments} GROUP BY dataset_name"
 )
+
+
+@query("AGG-3", OUTCOME_STATS)
 def outcome_stats(v):
     stats = prep.outcome_stats(v.segments)
     names = [c for c in stats.columns if c != "dataset_name"]
     return stats.select("dataset_name", *[r6(c).alias(c) for c in names])
 
 
+@query("AGG-3", OUTCOME_STATS)
+def outcome_stats_exact(v):
+    stats = prep.outcome_stats(v.segments, reproducible=True)
+    names = [c for c in stats.columns if c != "dataset_name"]
+    return stats.select("dataset_name", *[r6(c).alias(c) for c in names])
+
+
 @query(
     "VEC-9 AGG-3 AGG-4",
     """WITH dist AS (
