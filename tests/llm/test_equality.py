@@ -96,6 +96,18 @@ def test_pieces_of_one_hash_are_told_apart():
     assert len(pick) == 3 and index[0] == index[2] and len(set(index.tolist())) == 3
 
 
+def test_one_byte_anywhere_tells_pieces_apart():
+    rng = np.random.default_rng(3)
+    for size in (50, 51, 56, 57, 63, 64, 200):
+        piece = rng.integers(0, 256, size).astype(np.uint8)
+        copies = np.tile(piece, size + 2)
+        for k in range(size):
+            copies[(k + 1) * size + k] ^= 1
+        place = np.arange(size + 2) * size
+        found = suffixdedup._unlike(copies, place, np.zeros(size + 2, np.int64), np.full(size + 2, size))
+        assert found.tolist() == [False] + [True] * size + [False]
+
+
 QUERIES = [f"op{n}" for n in range(1, 14)] + ["pipeline"]
 
 
