@@ -126,7 +126,8 @@ def _groups(classes: DataFrame) -> DataFrame:
     members = checkpoint(banded.join(hubs, "key").select("hub", "node").distinct())
     sized = members.join(classes.select("node", "__n"), "node")
     share = F.greatest(F.count("*") / TILE, F.sum("__n") / TILE_SHINGLES)
-    parts = sized.groupBy("hub").agg(F.ceil(share).cast("int").alias("parts"))
+    # Written, so that the join with it is between two plain exchanges, which Spark can split at a large hub.
+    parts = checkpoint(sized.groupBy("hub").agg(F.ceil(share).cast("int").alias("parts")))
     return (
         members.join(parts, "hub")
         .groupBy("node")
