@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from featloom import fixed
 from featloom.functions.text import null_if_token
+from featloom.sources.records import csv_texts
 
 INT, DOUBLE, BOOL, TEXT, MISSING = 1, 2, 4, 8, 16
 
@@ -17,7 +18,7 @@ def read_csv(
     path: str | list[str],
     schema: T.StructType | None = None,
     na_tokens: list[str] = fixed.PANDAS_NA,
-    multi_line: bool = True,
+    multi_line: bool | str = True,
 ) -> DataFrame:
     """Read CSV; missing-value tokens, and NaN, become null.
 
@@ -27,8 +28,8 @@ def read_csv(
     rows in one aggregate: whole numbers, then numbers, then True/False, then
     text; a whole-number column with missing values is double.
     ``multi_line`` lets quoted values hold line breaks, but then a file is one
-    task: for large files without such values turn it off, or convert them to
-    Parquet once.
+    task. For large files pass ``"split"``, which reads splits in parallel, twice
+    (:mod:`featloom.sources.records`), or False where no value has a line break.
     """
     raw = _texts(spark, path, multi_line)
     if schema is None:
@@ -44,7 +45,7 @@ def read_wide_csv(
     path: str | list[str],
     text_columns: list[str],
     na_tokens: list[str] = fixed.PANDAS_NA,
-    multi_line: bool = True,
+    multi_line: bool | str = True,
 ) -> DataFrame:
     """A feature file: the named columns as text, the others as doubles, without reading it first."""
     raw = _without_tokens(_texts(spark, path, multi_line), na_tokens)
@@ -65,12 +66,16 @@ def _without_tokens(raw: DataFrame, na_tokens: list[str]) -> DataFrame:
     return raw.select(*[null_if_token(F.col(f"`{n}`"), na_tokens).alias(n) for n in raw.columns])
 
 
-def _texts(spark: SparkSession, path: str | list[str], multi_line: bool) -> DataFrame:
+def _texts(spark: SparkSession, path: str | list[str], multi_line: bool | str) -> DataFrame:
     """All columns as text under the header's names; files with another header fail the query."""
+    if multi_line not in (True, False, "split"):
+        raise ValueError(f"multi_line: {multi_line}")
     reader = spark.read.option("header", True).option("encoding", "UTF-8")
-    reader = reader.option("multiLine", multi_line).option("escape", '"').option("nullValue", "")
+    reader = reader.option("multiLine", multi_line is True).option("escape", '"').option("nullValue", "")
     first = path if isinstance(path, str) else path[0]
     names = reader.csv(first).columns
+    if multi_line == "split":
+        return csv_texts(spark, path, names)
     text = T.StructType([T.StructField(n, T.StringType()) for n in names])
     return reader.option("enforceSchema", False).schema(text).csv(path)
 
