@@ -43,6 +43,8 @@ SHARDS = 8
 BUCKETS = 512
 #: Stars of a group at most.
 SALTS = 256
+#: Links, both ways, for each task of a round.
+TASK_LINKS = 20_000
 
 _log = logging.getLogger(__name__)
 
@@ -139,12 +141,19 @@ def propagate_labels(labels: DataFrame, links: DataFrame, share: list[int]) -> t
     shards = len(share)
     both = links.where("a <> b")
     both = checkpoint(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels, cuts, swap, blocked = checkpoint(labels.select("node", "label")), [], False, None
+    tasks = 1 + both.count() // TASK_LINKS
+
+    def written(df: DataFrame) -> DataFrame:
+        """Rows of a round, in as many files as the links are worth."""
+        return checkpoint(df.coalesce(tasks))
+
+    labels, cuts, swap, blocked = written(labels.select("node", "label")), [], False, None
+    free = list(share)
+    for r in labels.groupBy("label").agg(F.count("*").alias("n")).collect():
+        free[r["label"]] -= r["n"]
     while True:
-        counts = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count("*").alias("n")).collect()}
-        free = [share[s] - counts.get(s, 0) for s in range(shards)]
         # In turns: to shards with room, then, if none of that is left to do, by swaps.
-        wishes = checkpoint(_wishes(both, labels, [swap or n > 0 for n in free]))
+        wishes = written(_wishes(both, labels, [swap or n > 0 for n in free]))
         cut = wishes.agg(F.sum(F.col("degree") - F.col("here"))).first()[0] or 0
         cuts.append(cut // 2)
         wants = wishes.where("gain > 0")
@@ -156,7 +165,7 @@ def propagate_labels(labels: DataFrame, links: DataFrame, share: list[int]) -> t
             .groupBy("a")
             .agg(F.max("r").alias("rival"))
         )
-        movers = checkpoint(
+        movers = written(
             wants.join(rivals, F.col("node") == F.col("a"), "left")
             .where(F.col("rival").isNull() | (rank > F.col("rival")))
             .select("node", "label", "target", "gain", "h", (F.col("label") * shards + F.col("target")).alias("pair"))
@@ -171,17 +180,20 @@ def propagate_labels(labels: DataFrame, links: DataFrame, share: list[int]) -> t
                 return labels, cuts
             if swap:  # those that nobody makes room for let their neighbours ask
                 mine = movers.select("node")
-                blocked = mine if blocked is None else checkpoint(blocked.unionByName(mine))
+                blocked = mine if blocked is None else written(blocked.unionByName(mine))
             swap, cuts = True, cuts[:-1]
             continue
         swap, blocked = False, None
-        # Larger gains first, by powers of two.
-        bucket = -BUCKETS * F.floor(F.log2("gain")) + F.pmod("h", F.lit(BUCKETS))
-        order = [F.col("gain").desc(), F.col("h"), F.col("node")]
-        limit = F.array(*[F.lit(n) for row in may for n in row])[F.col("pair")]
-        go = with_rank(movers, "pair", bucket, order, "rank").where(F.col("rank") < limit)
+        go = movers
+        if may != asked:
+            # Larger gains first, by powers of two.
+            bucket = -BUCKETS * F.floor(F.log2("gain")) + F.pmod("h", F.lit(BUCKETS))
+            order = [F.col("gain").desc(), F.col("h"), F.col("node")]
+            limit = F.array(*[F.lit(n) for row in may for n in row])[F.col("pair")]
+            go = with_rank(movers, "pair", bucket, order, "rank").where(F.col("rank") < limit)
         new = go.select("node", F.col("target").alias("new"))
-        labels = checkpoint(labels.join(new, "node", "left").select("node", F.coalesce("new", "label").alias("label")))
+        labels = written(labels.join(new, "node", "left").select("node", F.coalesce("new", "label").alias("label")))
+        free = [n + sum(may[s]) - sum(row[s] for row in may) for s, n in enumerate(free)]
         _log.info("%d links cut, %d documents move", cuts[-1], moved)
 
 
