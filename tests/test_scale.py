@@ -38,7 +38,7 @@ def test_no_cross_joins(spark, no_auto_broadcast, name):
 BROADCASTS = {  # hinted: statistics, widths and offsets behind a size check, and constants
     "batch_numbers", "hashed_batch_sizes", "encoder_lookup", "padded_sequences",
     "rescaled_outcomes", "token_masks", "training_batches", "shuffled_segments",
-    "encoded_distinct_inputs",
+    "encoded_distinct_inputs", "truth_wide", "model_comparison",  # hot inputs; column names
 }
 
 
