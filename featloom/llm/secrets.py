@@ -387,7 +387,12 @@ def learn(df: DataFrame, text: str = "text", train_docs: int = TRAIN_DOCS, windo
 
 
 def find_secrets(df: DataFrame, field: crf.Field | None, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns ``keep`` and ``spans``, an array of (kind, start, end) by start, then kind as in KINDS."""
+    """The columns ``keep`` and ``spans``, an array of (kind, start, end) by start, then kind as in KINDS.
+
+    A kept column may not be called spans.
+    """
+    if "spans" in keep:
+        raise ValueError("a kept column is named like the result: spans")
     n_keep = len(keep)
 
     def task(batch):

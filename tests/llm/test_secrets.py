@@ -138,6 +138,8 @@ def test_odd_rows_and_clashing_columns(spark, field):
     for r in found:
         assert [tuple(s) for s in r.spans if s.kind != "tagged"] == plain_base(r.text)
     assert secrets.find_secrets(empty_docs(spark), field, ["doc_id"]).count() == 0
+    with pytest.raises(ValueError, match="spans"):
+        secrets.find_secrets(docs, field, ["doc_id", "spans"])
 
 
 def test_hot_copies_count_once_in_training(spark):
