@@ -33,7 +33,9 @@ BLANK = 0x2581
 OWN_BLANK = 0x110000
 SEED = 1
 TEMPERATURE = 1.0
-_BLOCK = 3 << 18
+_BLOCK = 1 << 19
+#: Units compared with their like at a time.
+_SLICE = 1 << 13
 _FILTER_BITS = 20
 
 
@@ -209,8 +211,13 @@ def _kinds(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np
     _, first, kind = np.unique(_part(_prefix(codes), starts, sizes), return_index=True, return_inverse=True)
     alike = sizes == sizes[first[kind]]
     to = np.where(alike, starts[first[kind]], starts)
-    differ = codes[np.repeat(to - starts, sizes) + np.arange(len(codes))] != codes
-    odd = np.flatnonzero(~alike | (np.add.reduceat(differ, starts, dtype=np.int64) > 0))
+    unlike = ~alike
+    for a in range(0, len(starts), _SLICE):  # a bounded number of units at a time
+        s = slice(a, a + _SLICE)
+        low, high = int(starts[a]), int(starts[s][-1] + sizes[s][-1])
+        differ = codes[np.repeat(to[s] - starts[s], sizes[s]) + np.arange(low, high)] != codes[low:high]
+        unlike[s] |= np.add.reduceat(differ, starts[s] - low, dtype=np.int64) > 0
+    odd = np.flatnonzero(unlike)
     kind[odd] = len(first) + np.arange(len(odd))  # each a kind of its own
     return np.append(first, odd), kind
 
