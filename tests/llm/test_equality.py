@@ -10,7 +10,6 @@ import pytest
 
 from featloom.llm import lattice, minhash, shingles, suffixdedup
 from tests.llm.helpers import SF
-from tests.oracle import DATA
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
